@@ -1,0 +1,30 @@
+"""Connected components of edges that stay distributed: alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def _mark(df: DataFrame) -> tuple:
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """From (u, v) edges: (node, root) with root the smallest node reachable; roots and nodes without an edge are
+    absent. Each step is two group minima and joins back to them, so a node with very many neighbours is never
+    gathered; the number of steps grows with the logarithm of the longest path."""
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    mark = _mark(now)
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, mark = mark, _mark(now)
+        if mark == last:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, urlfilter
+from . import langid, minhash, templates, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.query,
         "op2_url_filter": urlfilter.query,
+        "op3_minhash_dedup": minhash.query,
+        "op10_line_dedup": templates.query,
     }
 
 

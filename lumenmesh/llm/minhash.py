@@ -6,8 +6,8 @@ bits of all minima, packed as two bit planes, give a collision-corrected estimat
 estimate lets through (five standard deviations below the threshold) is confirmed on the full sets.
 
 A bucket is never expanded into all its pairs. Its members are compared with one pivot; the links found are closed into
-components; only buckets that still hold several components go on, with another pivot, and at last with those pairs of
-different components whose estimate passes. Pairs within one component change nothing and aren't compared. A pair at
+components; only in buckets that still hold several components the pairs of different components are compared, within a
+join that gives out links alone. Pairs within one component change nothing and aren't compared. A pair at
 exactly the threshold shares no band with a chance of 2e-6.
 
 Defined cases: empty and null texts have no set, are linked with nothing and kept; texts of fewer than five words are one
@@ -147,9 +147,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(100 * shared >= PERCENT * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return both.where(similar("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -157,29 +155,35 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     bands = signed.select("doc_id", F.explode("bands").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     star = bands.join(pivots, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    seen = written(star.join(_side(signed, "a"), "a").join(_side(signed, "b"), "b").where(may_link()).select("a", "b"), "pairs")
-    roots = components(confirm(seen, docs))
-    for turn in ("star", "rest"):
-        known = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        open_keys = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        live = known.join(open_keys, "key")
-        if turn == "star":
-            pivots = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "root")).alias("p"))
-            pairs = live.join(pivots, "key").where("root <> p.root").select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-            pairs = pairs.join(_side(signed, "a"), "a").join(_side(signed, "b"), "b").where(may_link()).select("a", "b")
-        else:
-            live = live.join(signed.select("doc_id", "n", "bits"), "doc_id")
-            left = live.select("key", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "root", "n", "bits")))
-            right = live.select("key", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "n", "bits")))
-            pairs = left.join(right, (left["key"] == right["key"]) & F.expr("root_a < root_b") & may_link())
-            pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(confirm(fresh, docs)))
-        seen = seen.unionByName(fresh)
-    return roots
+    likely = star.join(_side(signed, "a"), "a").join(_side(signed, "b"), "b").where(may_link())
+    roots = components(confirm(written(likely.select("a", "b"), "pairs"), docs))
+    # what is left: members of buckets with several components that have an unlinked partner the estimate lets through;
+    # their full sets are compared within the join, so that only links come out of it
+    known = bands.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    open_keys = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    live = known.join(open_keys, "key").join(signed.select("doc_id", "n", "bits"), "doc_id")
+    left, right = _sides(live)
+    live = written(left.join(right, (left["key"] == right["key"]) & F.expr("root_a <> root_b") & may_link(), "left_semi"), "open-buckets")
+    live = live.select("key", *(F.col(f"{c}_a").alias(c) for c in ("doc_id", "root", "n", "bits")))
+    if live.isEmpty():
+        return roots
+    ids = written(live.select("doc_id").distinct(), "candidates")
+    sets = written(full_sets(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")), "sets")
+    left, right = _sides(live.join(sets, "doc_id"))
+    more = left.join(right, (left["key"] == right["key"]) & F.expr("root_a < root_b") & may_link() & similar("members_a", "members_b"))
+    more = more.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct()
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows twice, with _a and _b after all columns but key."""
+    rest = [c for c in rows.columns if c != "key"]
+    return tuple(rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rest)) for side in "ab")
+
+
+def similar(a: str, b: str) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= PERCENT * (F.size(a) + F.size(b) - shared)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

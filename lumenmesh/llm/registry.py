@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, templates, urlfilter
+from . import ctw, decontam, langid, minhash, pieces, templates, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,10 @@ def queries() -> dict:
         "op1_language_id": langid.query,
         "op2_url_filter": urlfilter.query,
         "op3_minhash_dedup": minhash.query,
+        "op4_toxicity": toxicity.query,
+        "op5_lm_score": ctw.query,
+        "op6_sentencepiece": pieces.query,
+        "op7_decontamination": decontam.query,
         "op10_line_dedup": templates.query,
     }
 

@@ -70,3 +70,27 @@ def template_drops(rows, min_docs=5, lead=4, least=10):
             if len(ds) >= min_docs and len({x for _, x in open_[t]}) > 1 and d != min(ds):
                 drops.add((d, i))
     return drops
+
+
+def benchmark_overlaps(docs, items, span=10, masks=((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 9)), around=3):
+    """{(doc_id, item_id): (matched, compared)} by the same rule, every window against every window."""
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    index = defaultdict(list)
+    for item, text in items:
+        b = word.findall((text or "").lower())
+        for at in range(len(b) - span + 1):
+            for m, mask in enumerate(masks):
+                index[(m, *(b[at + o] for o in mask))].append((item, at, b))
+    best = {}
+    for doc, text in docs:
+        t = word.findall((text or "").lower())
+        for pos in range(len(t) - span + 1):
+            for m, mask in enumerate(masks):
+                for item, at, b in index.get((m, *(t[pos + o] for o in mask)), ()):
+                    span_js = [j for j in range(max(0, at - around), min(len(b), at + span + around)) if 0 <= pos - at + j < len(t)]
+                    n, k = sum(t[pos - at + j] == b[j] for j in span_js), len(span_js)
+                    if k >= 10 and 4 * n >= 3 * k:
+                        best[doc, item] = max(best.get((doc, item), (0, 0, 0)), (n / k, n, k))
+    return {k: v[1:] for k, v in best.items()}

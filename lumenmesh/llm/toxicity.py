@@ -34,7 +34,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou", "#": "aeiou",
 }
 SEPARATORS = " .-_*"
-COST_LEET, COST_REPEAT, COST_GAP, COST_ANY = 0.5, 0.7, 0.1, 2.0
+COST_LEET, COST_REPEAT, COST_GAP, COST_ANY, COST_SEPARATOR = 0.5, 0.7, 0.1, 2.0, 6.0
 #: Beginnings of words that are features, in letters.
 STARTS = (3, 4, 5, 6, 7, 8)
 #: A weighted feature is in at least so many toxic documents of the sample, with log-odds of at least LEAST_ODDS.
@@ -106,7 +106,7 @@ class Channel:
             lower = text
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, c in enumerate(lower):
-            options = [(c, 0.0 if c.isalpha() else COST_ANY)]
+            options = [(c, 0.0 if c.isalpha() else COST_SEPARATOR if c in SEPARATORS else COST_ANY)]
             options += [(x, COST_LEET) for x in LEET.get(c, "")]
             if c in SEPARATORS and 0 < i < len(lower) - 1:
                 options.append(("", COST_GAP))

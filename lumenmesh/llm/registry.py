@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontam, langid, minhash, pieces, templates, toxicity, urlfilter
+from . import collision, ctw, decontam, langid, minhash, pieces, pii, templates, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op5_lm_score": ctw.query,
         "op6_sentencepiece": pieces.query,
         "op7_decontamination": decontam.query,
+        "op8_pii": pii.query,
+        "op9_collision_nn": collision.query,
         "op10_line_dedup": templates.query,
     }
 

@@ -355,26 +355,41 @@ def _channel(data: bytes) -> Channel:
     return Channel(np.frombuffer(data, np.float32))
 
 
+def _probabilities(texts: list[str], m: dict) -> np.ndarray:
+    if not len(m["keys"]):
+        return np.full(len(texts), m["share"])
+    x = summaries(restored(texts, _channel(m["costs"])), m["keys"], m["weights"], np.zeros(len(texts), int))
+    return 1 / (1 + np.exp(-np.clip(x @ m["line"][:4] + m["line"][4], -30, 30)))
+
+
+def _sent(docs: DataFrame, model: dict):
+    return docs.sparkSession.sparkContext.broadcast(model | {"costs": model["costs"].tobytes()})
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, predicted (1 from 0.5 on); one row per row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model | {"costs": model["costs"].tobytes()})
+    held = _sent(docs, model)
 
     def run(batches):
-        m = held.value
-        channel, line = _channel(m["costs"]), m["line"]
         for batch in batches:
-            texts = _strings(batch.column("text"))
-            if len(m["keys"]):
-                x = summaries(restored(texts, channel), m["keys"], m["weights"], np.zeros(len(texts), int))
-                p = 1 / (1 + np.exp(-np.clip(x @ line[:4] + line[4], -30, 30)))
-            else:
-                p = np.full(len(texts), m["share"])
+            p = _probabilities(_strings(batch.column("text")), held.value)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, score double, predicted int")
 
 
+def screen(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs with a score under 0.5."""
+    held = _sent(docs, model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(_strings(batch.column("text")), held.value) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic) of a hashed sample of labels of about twice the size that `fit` takes."""
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by collision counting.
 
-Rows are dealt into shards by a hash of their id. A shard holds, for each of 48 random projections, the sorted array of its
+Rows are dealt into shards by a hash of their id. A shard holds, for each of 64 random projections, the sorted array of its
 vectors' values. A query opens a window around its own value in every array; the windows grow together (virtual rehashing:
 level t is a bucket width of WIDTHS[t] centred on the query), and a vector that lies in at least THRESHOLD of the windows is
 verified by its exact distance. A query is done in a shard once the tenth distance found is so small that, by the level's
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PROJECTIONS, THRESHOLD = 48, 32
+PROJECTIONS, THRESHOLD = 64, 40
 #: Half widths of the windows, level by level, in units of the shard's scale (root mean square distance).
 WIDTHS = (0.08, 0.12, 0.18, 0.27, 0.4, 0.6, 0.9, 1.35, 2.0)
 #: A level is trusted for distances up to this many times its half width.

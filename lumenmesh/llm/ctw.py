@@ -69,8 +69,8 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(flat, starts, ends), np.diff(cuts)
 
 
-def gathered(train: DataFrame) -> DataFrame:
-    """(kind, key, n): kind 0 counts 5-grams, kind 1 words."""
+def gathered(train: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n): kind 0 counts byte grams of depth + 1, kind 1 words."""
 
     def summed(parts):
         keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -92,7 +92,7 @@ def gathered(train: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t.lower() for t in byte_texts(batch.column("text"))]
             for a, b in chunks(texts, _CHUNK):
-                for kind, keys in ((0, grams(texts[a:b])[0]), (1, words_of(texts[a:b])[0])):
+                for kind, keys in ((0, grams(texts[a:b], depth)[0]), (1, words_of(texts[a:b])[0])):
                     d, at = coded(keys)
                     held[kind].append((d, np.bincount(at, minlength=len(d))))
                 held[1].append((np.array([END_WORD]), np.array([b - a])))
@@ -202,30 +202,30 @@ class Tree:
         return out
 
 
-def grow(counts: DataFrame, most: int = MOST_CONTEXTS) -> Tree:
+def grow(counts: DataFrame, depth: int = DEPTH, most: int = MOST_CONTEXTS) -> Tree:
     """The tree from gathered counts; collects the kept contexts only, at most `most` at a depth."""
-    five = counts.where("kind = 0")
-    total = five.agg(F.sum("n")).first()[0] or 0
+    deep = counts.where("kind = 0")
+    total = deep.agg(F.sum("n")).first()[0] or 0
     levels = []
-    for d in range(DEPTH + 1):
-        level = five.groupBy(F.col("key").bitwiseAND((1 << (8 * d + 8)) - 1).alias("key")).agg(F.sum("n").alias("n")) if d < DEPTH else five.select("key", "n")
+    for d in range(depth + 1):
+        level = deep.groupBy(F.col("key").bitwiseAND((1 << (8 * d + 8)) - 1).alias("key")).agg(F.sum("n").alias("n")) if d < depth else deep.select("key", "n")
         context = F.shiftright("key", 8)
         kept = level.groupBy(context.alias("context")).agg(F.sum("n").alias("of")).where(F.col("of") * most >= total).select("context")
         rows = level.withColumn("context", context).join(kept, "context", "left_semi").select("key", "n").toArrow()
         levels.append((rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(float)))
-    return Tree(levels)
+    return Tree(levels, depth)
 
 
-def train(docs: DataFrame) -> dict:
+def train(docs: DataFrame, depth: int = DEPTH, most: int = MOST_CONTEXTS) -> dict:
     """Model of the texts of docs: the tree, and the base's counts."""
-    counts = gathered(docs)
+    counts = gathered(docs, depth)
     words = counts.where("kind = 1").select(F.col("key").alias("word"), F.col("n").alias("c"))
     tokens, distinct = words.agg(F.sum("c"), F.count("*")).first()
     tokens = tokens or 0
     often = words.where(F.col("c") * MOST_WORDS >= tokens).toArrow()
     key, c = often.column("word").to_numpy(), often.column("c").to_numpy()
     order = np.argsort(key)
-    return {"tree": grow(counts), "words": words, "tokens": tokens, "distinct": distinct, "key": key[order], "c": c[order]}
+    return {"tree": grow(counts, depth, most), "words": words, "tokens": tokens, "distinct": distinct, "key": key[order], "c": c[order]}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             texts = [t.lower() for t in byte_texts(batch.column("text"))]
             for a, b in chunks(texts, _CHUNK):
                 part = texts[a:b]
-                packed, n = grams(part)
+                packed, n = grams(part, tree.depth)
                 d, at = coded(packed)
                 logs = np.add.reduceat(tree.log10(d)[at], np.concatenate([[0], np.cumsum(n)[:-1]]))
                 h, size = words_of(part)

@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import chunks, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words remembered by a Python worker before it forgets them all; a bound on memory, not on what is encoded.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers before it forgets those not seen again; a bound on memory, not on what is encoded.
+REMEMBERED = 600_000
 UNKNOWN_PENALTY = 10.0
+#: Two places in one number; the place that stands for the start of a text.
+SHIFT = 32
+START = (1 << 31) - 1
 
 
 class Model:
@@ -57,12 +60,18 @@ class Model:
         self.ids = {t: i for t, (i, _) in usable.items()}
         self.longest = max([1, *map(len, usable)])
         self.lowest = min([0.0, *self.score.values()]) - UNKNOWN_PENALTY
-        tails: dict[str, set[int]] = {}
+        # by the last one, two and three characters: lengths of the pieces that end so, the longest first
+        tails: tuple[dict, ...] = ({}, {}, {})
         for t in usable:
-            tails.setdefault(t[-2:], set()).add(len(t))
-        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
-        self.whole: dict[str, bool] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+            tails[min(len(t), 3) - 1].setdefault(t[-3:], set()).add(len(t))
+        for shorter, longer in ((tails[0], tails[1]), (tails[1], tails[2])):
+            for k, v in longer.items():
+                v |= shorter.get(k[1:], tails[0].get(k[-1:], set()))
+        self.ends1, self.ends2, self.ends3 = ({k: tuple(sorted(v, reverse=True)) for k, v in d.items()} for d in tails)
+        #: Place -> string; beyond the pieces come characters that no piece is, as they turn up.
+        self.names = [p[0] for p in self.pieces]
+        self.strange: dict[str, int] = {}
+        self.fits: dict[int, bool] = {}
         across = any(MARK in t.lstrip(MARK) for t in usable)
         used = set("".join(usable))
         alone = "".join(c for c in "\n\r\t" if c not in used)
@@ -77,6 +86,7 @@ class Model:
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)[:-1]])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _raw(self, i: int) -> bytes:
         text, _, kind = self.pieces[i]
@@ -98,67 +108,97 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def allowed(self, before: str, piece: str) -> bool:
-        """May a BPE path go on from piece `before` ('' at the start) with this one?"""
-        if not before:
-            known = self.whole.get(piece)
-            if known is None:
-                known = self.whole[piece] = len(self.merged(piece)) == 1
-            return known
-        known = self.fits.get((before, piece))
+    def allowed(self, key: int) -> bool:
+        """May a BPE path go on from one place to another? key: the first (START for none), shifted, and the second."""
+        before, piece = key >> SHIFT, self.names[key & (1 << SHIFT) - 1]
+        parts = [piece] if before == START else [self.names[before], piece]
+        known = self.fits[key] = self.merged("".join(parts)) == parts
+        return known
+
+    def lengths(self, text: str, end: int) -> tuple[int, ...]:
+        """Lengths of the pieces that may end there."""
+        return (
+            (self.ends3.get(text[end - 3 : end]) if end > 2 else None) or (self.ends2.get(text[end - 2 : end]) if end > 1 else None) or self.ends1.get(text[end - 1], ())
+        )
+
+    def place(self, c: str) -> int:
+        """The place of a character that no piece is."""
+        known = self.strange.get(c)
         if known is None:
-            known = self.fits[before, piece] = self.merged(before + piece) == [before, piece]
+            known = self.strange[c] = len(self.names)
+            self.names.append(c)
         return known
 
-    def emit(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return [i]
-        return [self.byte_id.get(b, self.unknown) for b in piece.encode()] if self.byte_id else [self.unknown]
+    def emit(self, place: int) -> list[int]:
+        if place < len(self.pieces):
+            return [place]
+        return [self.byte_id.get(b, self.unknown) for b in self.names[place].encode()] if self.byte_id else [self.unknown]
 
 
 class Stream:
-    """One search: feed characters, take committed ids; `held` never exceeds about two windows."""
+    """One search: feed characters, take committed ids. Position i of the held text has the start `back[i]` and the place
+    `last[i]` of the piece that ends there."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.text, self.back, self.best, self.done = model, "", [0], [0.0], ""
+        self.m, self.text, self.back, self.last, self.best = model, "", [0], [START], [0.0]
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
         step = 2 * self.m.longest
         for i in range(0, len(text), step):
-            self._extend(text[i : i + step])
-            out += self._commit()
+            (self._merge if self.m.bpe else self._maximise)(text[i : i + step])
+            if len(self.text) > step:
+                out += self._commit()
         return out
 
-    def _extend(self, more: str) -> None:
-        m, back, best, done = self.m, self.back, self.best, self.done
+    def _merge(self, more: str) -> None:
+        m, back, last = self.m, self.back, self.last
+        ends3, ends2, ends1, ids, fits, allowed = m.ends3.get, m.ends2.get, m.ends1, m.ids.get, m.fits.get, m.allowed
         start = len(self.text)
         self.text = text = self.text + more
         for end in range(start + 1, len(text) + 1):
-            if m.bpe:
-                for n in m.tails.get(text[max(0, end - 2) : end], ()) + m.tails.get(text[end - 1 : end], ()):
-                    at = end - n
-                    if at >= 0 and text[at:end] in m.ids and m.allowed(text[back[at] : at] if at else done, text[at:end]):
+            for n in (end > 2 and ends3(text[end - 3 : end])) or (end > 1 and ends2(text[end - 2 : end])) or ends1.get(text[end - 1], ()):
+                at = end - n
+                if at >= 0 and (place := ids(text[at:end])) is not None:
+                    key = last[at] << SHIFT | place
+                    ok = fits(key)
+                    if ok is None:
+                        ok = allowed(key)
+                    if ok:
                         back.append(at)
+                        last.append(place)
                         break
-                else:
-                    back.append(end - 1)
             else:
-                top, frm = best[end - 1] + m.lowest, end - 1
-                for n in m.tails.get(text[max(0, end - 2) : end], ()) + m.tails.get(text[end - 1 : end], ()):
-                    if n <= end and (s := m.score.get(text[end - n : end])) is not None and (s := best[end - n] + s) > top:
-                        top, frm = s, end - n
-                back.append(frm)
-                best.append(top)
+                back.append(end - 1)
+                place = ids(text[end - 1])
+                last.append(m.place(text[end - 1]) if place is None else place)
+
+    def _maximise(self, more: str) -> None:
+        m, back, last, best = self.m, self.back, self.last, self.best
+        start = len(self.text)
+        self.text = text = self.text + more
+        for end in range(start + 1, len(text) + 1):
+            top, frm, which = best[end - 1] + m.lowest, end - 1, None
+            for n in m.lengths(text, end):
+                place = m.ids.get(text[end - n : end]) if n <= end else None
+                if place is not None and (total := best[end - n] + m.pieces[place][1]) > top:
+                    top, frm, which = total, end - n, place
+            back.append(frm)
+            last.append(m.place(text[end - 1]) if which is None else which)
+            best.append(top)
 
     def _path(self, end: int) -> list[int]:
-        cuts = [end]
-        while cuts[-1]:
-            cuts.append(self.back[cuts[-1]])
+        places = []
+        while end:
+            places.append(self.last[end])
+            end = self.back[end]
         out: list[int] = []
-        for b, a in zip(cuts[:0:-1], cuts[-2::-1]):
-            out += self.m.emit(self.text[b:a])
+        few = len(self.m.pieces)
+        for p in reversed(places):
+            if p < few:
+                out.append(p)
+            else:
+                out += self.m.emit(p)
         return out
 
     def _commit(self) -> list[int]:
@@ -172,8 +212,7 @@ class Stream:
         if not cut:
             return []
         out = self._path(cut)
-        self.done = self.text[self.back[cut] : cut]
-        self.text, self.back = self.text[cut:], [max(0, b - cut) for b in self.back[cut:]]
+        self.text, self.back, self.last = self.text[cut:], [max(0, b - cut) for b in self.back[cut:]], self.last[cut:]
         if not self.m.bpe:
             self.best = [s - self.best[cut] for s in self.best[cut:]]
         return out
@@ -182,23 +221,44 @@ class Stream:
         return self._path(len(self.text))
 
 
-def encode_text(model: Model, text: str | None) -> np.ndarray:
-    """The ids of a whole text."""
-    if not text:
-        return np.zeros(0, np.int32)
-    text = (MARK if model.prefix else "") + text.replace(" ", MARK)
-    seen, out = model.seen, []
-    for word in [text] if model.splitter is None else model.splitter.findall(text):
-        ids = seen.get(word)
-        if ids is None:
-            search = Stream(model)
-            ids = array("i", search.feed(word) + search.finish()).tobytes()
-            if len(word) <= 64:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen[word] = ids
-        out.append(ids)
-    return np.frombuffer(b"".join(out), np.int32)
+def learn_words(model: Model, words: set[str]) -> None:
+    """Searches words and remembers their ids. In sorted order a word goes on from what it shares with the one before."""
+    search, before = Stream(model), ""
+    for word in sorted(words):
+        if len(word) > 2 * model.longest:
+            alone = Stream(model)
+            model.seen[word] = array("i", alone.feed(word) + alone.finish()).tobytes()
+            continue
+        n = 0
+        for a, b in zip(word, before):
+            if a != b:
+                break
+            n += 1
+        search.text = word[:n]
+        del search.back[n + 1 :], search.last[n + 1 :], search.best[n + 1 :]
+        search.feed(word[n:])
+        model.seen[word] = array("i", search.finish()).tobytes()
+        before = word
+
+
+def encode_texts(model: Model, texts: list) -> list[np.ndarray]:
+    """The ids of whole texts."""
+    out: list[np.ndarray] = []
+    mark = MARK if model.prefix else ""
+    full = [t or "" for t in texts]
+    for a, b in chunks(full, 1 << 22):
+        marked = [(mark + t.replace(" ", MARK)) if t else "" for t in full[a:b]]
+        split = [[t] if model.splitter is None else model.splitter.findall(t) for t in marked]
+        words = set().union(*split)
+        if len(model.seen) > REMEMBERED // 2:
+            model.seen, model.older = {}, model.seen
+        fresh = words - model.seen.keys()
+        again = fresh & model.older.keys()
+        model.seen.update((w, model.older[w]) for w in again)
+        learn_words(model, fresh - again)
+        seen = model.seen
+        out += [np.frombuffer(b"".join([seen[w] for w in ws]), np.int32) for ws in split]
+    return out
 
 
 def decode_ids(model: Model, ids: np.ndarray) -> bytes:
@@ -232,7 +292,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", ids: st
     def run(batches):
         model = _loaded("", held.value)
         for batch in batches:
-            found = [encode_text(model, t) for t in batch.column(text).to_pylist()]
+            found = encode_texts(model, batch.column(text).to_pylist())
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
             names = [n for n in batch.schema.names if n != text]
@@ -267,7 +327,7 @@ def round_trip(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         model = _loaded("", held.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [encode_text(model, t) for t in texts]
+            found = encode_texts(model, texts)
             same = [decode_ids(model, x) == (t or "").replace(MARK, " ").encode() for t, x in zip(texts, found)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))

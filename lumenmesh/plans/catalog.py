@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lumenmesh.operators import mesh
+from lumenmesh.plans import mesh_queries, table_queries, tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    """Boundary edges of the mesh that the order lines make."""
+    return mesh.boundary_edges(tables.faces(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    return mesh_queries.queries() | table_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return mesh_queries.oracle_sql() | table_queries.oracle_sql()

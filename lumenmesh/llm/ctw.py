@@ -1,9 +1,9 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Every byte is eight binary decisions; each decision of the byte tree has its own tree of contexts, the last 0 to 4 bytes.
+Every byte is eight binary decisions; each decision of the byte tree has its own tree of contexts, the last 0 to 5 bytes.
 A context's zeros and ones give a Krichevsky-Trofimov estimate; from the leaves up, a node's weighted probability is the
 mean of its own estimate and the product of its children's, which fixes how much of a prediction each depth gives. After
-training the tree is frozen, so a byte's code length depends on its context only: distinct 5-grams are looked up once.
+training the tree is frozen, so a byte's code length depends on its context only: distinct 6-grams are looked up once.
 
 Counts are taken over all training texts and grow with them; the model that is sent out keeps the contexts that make up
 at least 1/MOST_CONTEXTS of all positions, which are at most MOST_CONTEXTS at a depth. The rest of a node's counts form
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, chunks, crc_mod, table, word_bounds, word_hashes, written
 
-DEPTH = 4
-MOST_CONTEXTS, MOST_WORDS = 1 << 17, 1 << 21
+DEPTH = 5
+MOST_CONTEXTS, MOST_WORDS = 1 << 18, 1 << 21
 #: Ends a text and fills the context before it; never a byte of UTF-8.
 END = 0xFF
 #: Stands for the end token among word hashes.
 END_WORD = np.uint64(0x454E44)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 22
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +116,14 @@ def _next_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1.0)
 
 
+def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(want), int), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return at, keys[at] == want
+
+
 class Tree:
     """The frozen, weighted tree: for each depth, sorted node keys (context, then bits of the byte so far, led by a 1)
     and the probability of a one there where no deeper node applies."""
@@ -151,8 +159,10 @@ class Tree:
                 sofar, left = sofar + left * stop * _next_one(zeros, ones), left * (1 - stop)
             self.keys.append(key)
             self.ones.append(sofar + left * rest)
-        self.known = np.sort(levels[depth][0])
-        self.logs = self._by_bits(self.known)
+        #: Kept contexts; for each depth the bytes seen there, with their log10 probability where no deeper context is kept.
+        self.contexts = [np.unique(g >> np.uint64(8)) for g, _ in levels]
+        self.seen = [np.sort(g) for g, _ in levels]
+        self.logs = [self._by_bits(g, d) for d, g in enumerate(self.seen)]
 
     @staticmethod
     def _bits(packed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,19 +184,17 @@ class Tree:
         """The key of the node with the d latest bytes of context."""
         return key & np.uint64((1 << (8 * d + 8)) - 1)
 
-    def _by_bits(self, packed: np.ndarray) -> np.ndarray:
+    def _by_bits(self, packed: np.ndarray, deepest: int) -> np.ndarray:
         """log10 probability of each packed byte given its context, bit by bit from the deepest node there is."""
         out = np.zeros(len(packed))
         context, byte = packed >> np.uint64(8), packed & np.uint64(255)
         for k in range(8):
             key = (context << np.uint64(8)) | (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
             one, open_ = np.full(len(packed), 0.5), np.arange(len(packed))
-            for d in range(self.depth, -1, -1):
-                if not len(self.keys[d]) or not len(open_):
-                    continue
-                want = self._parent(key[open_], d)
-                at = np.minimum(np.searchsorted(self.keys[d], want), len(self.keys[d]) - 1)
-                found = self.keys[d][at] == want
+            for d in range(deepest, -1, -1):
+                if not len(open_):
+                    break
+                at, found = _find(self.keys[d], self._parent(key[open_], d))
                 one[open_[found]] = self.ones[d][at[found]]
                 open_ = open_[~found]
             bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
@@ -194,11 +202,19 @@ class Tree:
         return out
 
     def log10(self, packed: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return self._by_bits(packed)
-        at = np.minimum(np.searchsorted(self.known, packed), len(self.known) - 1)
-        out, seen = self.logs[at], self.known[at] == packed
-        out[~seen] = self._by_bits(packed[~seen])
+        """log10 probability of packed bytes: from the deepest kept context of each, bit by bit for bytes never seen there."""
+        out, open_ = np.zeros(len(packed)), np.arange(len(packed))
+        for d in range(self.depth, -1, -1):
+            whole = self._parent(packed[open_], d)
+            _, here = _find(self.contexts[d], whole >> np.uint64(8))
+            mine, whole = open_[here], whole[here]
+            at, found = _find(self.seen[d], whole)
+            out[mine[found]] = self.logs[d][at[found]]
+            if not found.all():
+                out[mine[~found]] = self._by_bits(packed[mine[~found]], d)
+            open_ = open_[~here]
+        if len(open_):
+            out[open_] = self._by_bits(packed[open_], 0)
         return out
 
 

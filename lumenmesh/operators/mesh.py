@@ -154,7 +154,7 @@ def bbox_vote(faces: DataFrame, vertices: DataFrame, share: float = 0.05, least:
                  ((F.col(f"hi{a}") - F.col(f"c{a}") if s > 0 else F.col(f"c{a}") - F.col(f"lo{a}")) <= share * (F.col(f"hi{a}") - F.col(f"lo{a}"))).alias("near"))
         for a in "xyz" for sign, s in (("+", 1.0), ("-", -1.0))
     ))
-    near = g.select(F.inline(sides)).where("near").groupBy("side").agg(F.avg("out").alias("out"), F.count("*").alias("n")).where(F.col("n") >= least)
+    near = g.select(F.inline(sides)).where("near").groupBy("side").agg(F.round(F.avg("out"), 9).alias("out"), F.count("*").alias("n")).where(F.col("n") >= least)
     return near.agg(F.count_if(F.col("out") > 0).alias("outward"), F.count_if(F.col("out") <= 0).alias("inward")).withColumn(
         "looks_outward", F.when(F.col("outward") + F.col("inward") > 0, F.col("outward") >= F.col("inward"))
     )
@@ -320,3 +320,67 @@ def ear_clip(loops: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["loop_id", "fid", "v0", "v1", "v2"])
 
     return loops.groupBy("loop_id").applyInPandas(clip, "loop_id long, fid long, v0 long, v1 long, v2 long")
+
+
+def clip_mesh(faces: DataFrame, vertices: DataFrame, normal: tuple[float, float, float], offset: float) -> tuple[DataFrame, DataFrame]:
+    """The part of the mesh strictly above a plane: vertices with the crossing points added, and faces (source, piece, v0..v2)
+    with winding kept. A crossing point's id is a negative hash of its edge, so both faces of an edge share it and no global
+    numbering is needed."""
+    height = sum(F.lit(float(k)) * F.col(a) for k, a in zip(normal, "xyz")) - float(offset)
+    at = faces
+    for c in CORNERS:
+        at = at.join(vertices.select(F.col("vid").alias(c), (height > 0).alias(f"up_{c}")), c)
+    n = sum(F.col(f"up_{c}").cast("int") for c in CORNERS)
+    odd = F.when(n == 1, F.when(F.col("up_v0"), 0).when(F.col("up_v1"), 1).otherwise(2)).when(n == 2, F.when(~F.col("up_v0"), 0).when(~F.col("up_v1"), 1).otherwise(2)).otherwise(0)
+    ring = F.array(*CORNERS, "v0", "v1")
+    turned = at.select("fid", n.alias("n"), odd.alias("odd"), ring.alias("ring")).select("fid", "n", *(F.get("ring", F.col("odd") + i).alias(x) for i, x in enumerate("ijk")))
+    point = lambda a, b: _crossing_id(F.least(a, b), F.greatest(a, b))
+    tri = lambda *v: F.struct(*(c.alias(x) if isinstance(c, Column) else F.col(c).alias(x) for c, x in zip(v, CORNERS)))
+    pieces = (
+        F.when(F.col("n") == 3, F.array(tri("i", "j", "k")))
+        .when(F.col("n") == 1, F.array(tri("i", point("i", "j"), point("k", "i"))))
+        .when(F.col("n") == 2, F.array(tri(point("i", "j"), "j", "k"), tri(point("i", "j"), "k", point("k", "i"))))
+    )
+    out = turned.where("n > 0").select(F.col("fid").alias("source"), F.posexplode(pieces).alias("piece", "t")).select("source", "piece", "t.*")
+    edges = face_edges(faces).select("u", "v").distinct()
+    for c in ("u", "v"):
+        edges = edges.join(vertices.select(F.col("vid").alias(c), *(F.col(a).alias(f"{a}{c}") for a in "xyz"), height.alias(f"h{c}")), c)
+    edges = edges.where((F.col("hu") > 0) != (F.col("hv") > 0)).withColumn("t", F.col("hu") / (F.col("hu") - F.col("hv")))
+    made = edges.select(_crossing_id("u", "v").alias("vid"), *((F.col(f"{a}u") + F.col("t") * (F.col(f"{a}v") - F.col(f"{a}u"))).alias(a) for a in "xyz"))
+    return vertices.where(height > 0).select("vid", "x", "y", "z").unionByName(made), out
+
+
+def _crossing_id(u, v) -> Column:
+    return -F.shiftrightunsigned(F.xxhash64(u, v), 1) - 1
+
+
+def section_loops(segments: DataFrame, positions: DataFrame, least_area: float = 1e-12) -> DataFrame:
+    """segments: a, b (ids of crossing points); positions: vid, x, y in the plane. loop_id, pos, vid of the closed loops:
+    components in which every point has two segments, walked from the smallest id, with an area."""
+    e = segments.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
+    found = components(e)
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    of = both.join(found.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    degree = of.groupBy("root", "u").agg(F.count("*").alias("n")).groupBy("root").agg(F.bool_and(F.col("n") == 2).alias("closed")).where("closed")
+    at = of.join(degree, "root", "left_semi").join(positions.select(F.col("vid").alias("u"), "x", "y"), "u")
+
+    def walk(pdf):
+        import pandas as pd
+
+        nbrs, xy = {}, {}
+        for u, v, x, y in zip(pdf["u"], pdf["v"], pdf["x"], pdf["y"]):
+            nbrs.setdefault(u, []).append(v)
+            xy[u] = (x, y)
+        start = min(nbrs)
+        path, before = [start], None
+        while True:
+            step = min(n for n in nbrs[path[-1]] if n != before) if before is not None else min(nbrs[start])
+            if step == start:
+                break
+            before = path[-1]
+            path.append(step)
+        area = sum(xy[a][0] * xy[b][1] - xy[b][0] * xy[a][1] for a, b in zip(path, path[1:] + path[:1])) / 2
+        return pd.DataFrame({"loop_id": start, "pos": range(len(path)), "vid": path, "area": abs(area)})
+
+    loops = at.groupBy("root").applyInPandas(walk, "loop_id long, pos int, vid long, area double")
+    return loops.where(F.col("area") > least_area)

@@ -197,7 +197,7 @@ def queries() -> dict:
         "companion_views": lambda s, d: V.companion_views(_pairs(s, d), 2),
         "view_hardening": lambda s, d: rounded(V.harden(_pairs(s, d)), "score", digits=4),
         "conflict_texels": lambda s, d: V.conflicts(_pairs(s, d), _texels(_pairs(s, d)), _views(s)),
-        "face_view_support": lambda s, d: rounded(V.face_view_support(_pairs(s, d), _texel_face(_pairs(s, d))), "support", digits=3),
+        "face_view_support": lambda s, d: rounded(V.face_view_support(_pairs(s, d), _texel_face(_pairs(s, d))), "support", digits=5),
         "dominant_view": _dominant,
         "weighted_blend": lambda s, d: rounded(V.blend(_candidates(_pairs(s, d))), "r", "g", "b"),
         "colour_spread": lambda s, d: rounded(V.colour_spread(_candidates(_pairs(s, d))), "spread"),
@@ -240,7 +240,7 @@ def oracle_sql() -> dict:
         "face_normals_area": _q("SELECT fid, " + ", ".join(f"round({c},4)+0.0 AS {c}" for c in ("nx", "ny", "nz", "cx", "cy", "cz")) + f", round({length}/2,4)+0.0 AS area, {length} <= 1e-12 AS degenerate FROM geo", F_, V_, C_),
         "vertex_normals": _q("SELECT vid, " + ", ".join(f"round(n{a}/greatest({length},1e-10),6)+0.0 AS n{a}" for a in "xyz") + " FROM (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT v0 AS vid, nx, ny, nz FROM geo UNION ALL SELECT v1, nx, ny, nz FROM geo UNION ALL SELECT v2, nx, ny, nz FROM geo) GROUP BY vid)", F_, V_, C_),
         "outward_ratio": _q(f"SELECT round(avg(CASE WHEN nx*(cx-mx)+ny*(cy-my)+nz*(cz-mz) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6)+0.0 AS ratio, count(*) AS n FROM geo, (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM vertices) WHERE {length} > 1e-12", F_, V_, C_),
-        "bbox_vote": _q("SELECT count(*) FILTER (o > 0) AS outward, count(*) FILTER (o <= 0) AS inward, CASE WHEN count(*) > 0 THEN count(*) FILTER (o > 0) >= count(*) FILTER (o <= 0) END AS looks_outward FROM (SELECT side, avg(o) AS o FROM six GROUP BY side HAVING count(*) >= 2)", F_, V_, C_,
+        "bbox_vote": _q("SELECT count(*) FILTER (o > 0) AS outward, count(*) FILTER (o <= 0) AS inward, CASE WHEN count(*) > 0 THEN count(*) FILTER (o > 0) >= count(*) FILTER (o <= 0) END AS looks_outward FROM (SELECT side, round(avg(o),9) AS o FROM six GROUP BY side HAVING count(*) >= 2)", F_, V_, C_,
                         "box AS (SELECT " + ", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in "xyz") + " FROM vertices)", f"six AS ({sides6})"),
         "face_components": _q("SELECT fid, component FROM comp", F_, E_, ADJACENCY, REACH),
         "small_components": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= greatest(1, floor(0.002*(SELECT count(*) FROM faces))))", F_, E_, ADJACENCY, REACH),
@@ -260,7 +260,7 @@ SELECT loop_id, round(sum(x*y2-x2*y)/2,4)+0.0 AS area FROM q GROUP BY loop_id"""
         "companion_views": _q("SELECT texel, rank-1 AS place, view FROM top WHERE rank > 0", *S),
         "view_hardening": _q("SELECT texel, rank, view, round(score,4)+0.0 AS score FROM top JOIN two USING (texel) WHERE rank = 0 OR NOT coalesce(score1 > 0 AND score0 > 2*score1, false)", *S, TWO),
         "conflict_texels": _q("SELECT * FROM conflict", *S, TWO, TEXELS, VIEWS, CONFLICT),
-        "face_view_support": _q("SELECT texel//16 AS fid, view, round(sum(score),3)+0.0 AS support, count(*) AS coverage FROM top GROUP BY 1, 2", *S),
+        "face_view_support": _q("SELECT texel//16 AS fid, view, round(sum(score),5)+0.0 AS support, count(*) AS coverage FROM top GROUP BY 1, 2", *S),
         "dominant_view": _q("""SELECT n.fid, b.view FROM (SELECT texel//16 AS fid, count(DISTINCT texel) AS n, count(DISTINCT texel) FILTER (texel IN (SELECT texel FROM conflict)) AS bad FROM top GROUP BY 1) n
 JOIN (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY support DESC, view) AS k FROM (SELECT texel//16 AS fid, view, sum(score) AS support, count(*) AS coverage FROM top WHERE texel IN (SELECT texel FROM conflict) GROUP BY 1, 2)) b
 ON b.fid=n.fid AND b.k=1 WHERE bad >= 2 AND bad >= 0.2*n AND coverage >= 0.7*bad""", *S, TWO, TEXELS, VIEWS, CONFLICT),

@@ -70,7 +70,7 @@ def _composite(s, d):
     g = T.grid(s, d)
     base = g.select("px", "py", *((F.col("value") / k).alias(c) for c, k in zip("rgb", (255, 300, 400))))
     out = P.composite(base, [(g.where("px < 30").select("px", "py"), (0.0, 1.0, 0.0), 0.45), (g.where("py < 20").select("px", "py"), (1.0, 0.5, 0.0), 0.35)])
-    return rounded(out, "r", "g", "b")
+    return rounded(out, "r", "g", "b", digits=10)
 
 
 def _bilinear(s, d):
@@ -155,11 +155,11 @@ def queries() -> dict:
         "label_boundary": lambda s, d: P.label_boundary(_labels(s, d)),
         "masked_gaussian": lambda s, d: rounded(P.gaussian(g(s, d), 1.5, 3), "value", digits=4),
         "grid_fill2": lambda s, d: rounded(P.grow(g(s, d).where("(px + py) % 5 = 0"), 64, 64, 2), "value", digits=4),
-        "grid_downsample": lambda s, d: rounded(P.downsample(g(s, d), 4), "value", digits=4),
+        "grid_downsample": lambda s, d: rounded(P.downsample(g(s, d), 4), "value", digits=7),
         "bilinear_sample": _bilinear,
         "alpha_composite": _composite,
         "mean_difference": lambda s, d: rounded(P.mean_difference(g(s, d), g(s, d).select((F.col("px") + 1).alias("px"), "py", "value")), "difference", digits=4),
-        "luma": lambda s, d: rounded(g(s, d).select("px", "py", P.luma(F.col("value"), F.col("value") / 2, F.col("value") / 3).alias("y")), "y", digits=4),
+        "luma": lambda s, d: rounded(g(s, d).select("px", "py", P.luma(F.col("value"), F.col("value") / 2, F.col("value") / 3).alias("y")), "y", digits=7),
         "name_sanitize": _names,
         "tolerant_cast": _casts,
         "tier_bucket": lambda s, d: T.read(s, d, "part").select("p_partkey", K.memory_tier(F.col("p_retailprice") * 10).alias("tier")),
@@ -214,19 +214,19 @@ SELECT stage, stream, seq, text, updates FROM (SELECT *, row_number() OVER (PART
         "label_boundary": f"WITH {G}, l AS (SELECT px, py, CAST(floor(value/40) AS BIGINT) AS label FROM grid) SELECT DISTINCT a.px, a.py FROM l a, {nb} JOIN l b ON b.px=a.px+dx AND b.py=a.py+dy WHERE a.label <> b.label",
         "masked_gaussian": f"WITH {G} SELECT a.px, a.py, round(sum(b.value*exp(-((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py))/4.5))/sum(exp(-((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py))/4.5)),4)+0.0 AS value FROM grid a JOIN grid b ON abs(a.px-b.px) <= 3 AND abs(a.py-b.py) <= 3 GROUP BY 1, 2",
         "grid_fill2": f"WITH {G}, g0 AS (SELECT px, py, value FROM grid WHERE (px+py)%5=0), {grow(0)}, {grow(1)} SELECT px, py, round(value,4)+0.0 AS value FROM g2",
-        "grid_downsample": f"WITH {G} SELECT px//4 AS px, py//4 AS py, round(avg(value),4)+0.0 AS value FROM grid GROUP BY 1, 2",
+        "grid_downsample": f"WITH {G} SELECT px//4 AS px, py//4 AS py, round(avg(value),7)+0.0 AS value FROM grid GROUP BY 1, 2",
         "bilinear_sample": f"""WITH {G}, s AS (SELECT range AS id, range*7%640/10.0::DOUBLE AS u, range*13%640/10.0::DOUBLE AS v FROM range(500)),
 q AS (SELECT id, CAST(greatest(0, least(63, floor(u)+dx)) AS BIGINT) AS px, CAST(greatest(0, least(63, floor(v)+dy)) AS BIGINT) AS py, (CASE dx WHEN 1 THEN u-floor(u) ELSE 1-u+floor(u) END)*(CASE dy WHEN 1 THEN v-floor(v) ELSE 1-v+floor(v) END) AS w FROM s, (VALUES (0,0),(1,0),(0,1),(1,1)) o(dx,dy))
 SELECT id, round(sum(w*value),5)+0.0 AS value FROM q JOIN grid USING (px, py) GROUP BY id""",
-        "alpha_composite": f"WITH {G}, a AS (SELECT px, py, value/255 AS r, value/300 AS g, value/400 AS b FROM grid), b1 AS (SELECT px, py, CASE WHEN px<30 THEN r*0.55 ELSE r END AS r, CASE WHEN px<30 THEN g*0.55+0.45 ELSE g END AS g, CASE WHEN px<30 THEN b*0.55 ELSE b END AS b FROM a) SELECT px, py, round(CASE WHEN py<20 THEN r*0.65+0.35 ELSE r END,6)+0.0 AS r, round(CASE WHEN py<20 THEN g*0.65+0.175 ELSE g END,6)+0.0 AS g, round(CASE WHEN py<20 THEN b*0.65 ELSE b END,6)+0.0 AS b FROM b1",
+        "alpha_composite": f"WITH {G}, a AS (SELECT px, py, value/255 AS r, value/300 AS g, value/400 AS b FROM grid), b1 AS (SELECT px, py, CASE WHEN px<30 THEN r*0.55 ELSE r END AS r, CASE WHEN px<30 THEN g*0.55+0.45 ELSE g END AS g, CASE WHEN px<30 THEN b*0.55 ELSE b END AS b FROM a) SELECT px, py, round(CASE WHEN py<20 THEN r*0.65+0.35 ELSE r END,10)+0.0 AS r, round(CASE WHEN py<20 THEN g*0.65+0.175 ELSE g END,10)+0.0 AS g, round(CASE WHEN py<20 THEN b*0.65 ELSE b END,10)+0.0 AS b FROM b1",
         "mean_difference": f"WITH {G} SELECT round(avg(abs(a.value-b.value)),4)+0.0 AS difference, count(*) AS n FROM grid a JOIN grid b ON a.px=b.px+1 AND a.py=b.py",
-        "luma": f"WITH {G} SELECT px, py, round(0.299*value+0.587*value/2+0.114*value/3,4)+0.0 AS y FROM grid",
+        "luma": f"WITH {G} SELECT px, py, round(0.299*value+0.587*value/2+0.114*value/3,7)+0.0 AS y FROM grid",
         "name_sanitize": f"SELECT p_partkey, nullif(substr({name},1,80),'') AS name, coalesce(nullif(substr({slug},1,80),''),'main') AS slug FROM part",
         "tolerant_cast": f"SELECT p_partkey, coalesce(try_cast(t AS BIGINT),-1) AS i, coalesce(try_cast(t AS DOUBLE),-1.5) AS f, CASE WHEN lower(trim(t)) IN ('1','true','yes','on') THEN true ELSE false END AS b, CASE WHEN lower(trim(t)) IN ('yes','no') THEN lower(trim(t)) ELSE 'none' END AS c FROM (SELECT p_partkey, {text} AS t FROM part)",
         "tier_bucket": "SELECT p_partkey, CASE WHEN p_retailprice*10 >= 17000 THEN 't17' WHEN p_retailprice*10 >= 14000 THEN 't14' WHEN p_retailprice*10 >= 10000 THEN 't10' WHEN p_retailprice*10 >= 7000 THEN 't7' ELSE 't_other' END AS tier FROM part",
         "rule_classify": "SELECT conv_id, turn, CASE WHEN contains(lower(text),'ing') THEN 'gerund' WHEN contains(lower(text),'or') THEN 'either' WHEN contains(lower(text),'the') THEN 'article' ELSE 'other' END AS rule FROM conversations",
         "checkpoint_resolve": "SELECT event_id, CASE WHEN event_id%10=0 THEN 'bake' WHEN event_id%11=0 THEN 'current' WHEN regexp_matches(event_type,'click') THEN 'load' WHEN regexp_matches(event_type,'purchase|signup') THEN 'train' WHEN regexp_matches(event_type,'view$') THEN 'bake' ELSE 'current' END AS checkpoint FROM events",
-        "frame_key_extract": "SELECT page_id, CASE WHEN len(runs)=1 THEN CAST(runs[1] AS INTEGER) END AS frame FROM (SELECT page_id, list_distinct(list_filter(regexp_extract_all(url || '/0' || page_id, '[0-9]+'), x -> length(x)=5)) AS runs FROM pages)",
+        "frame_key_extract": "SELECT page_id, CASE WHEN len(runs)=1 THEN CAST(runs[1] AS INTEGER) END AS frame FROM (SELECT page_id, list_distinct(list_filter(regexp_extract_all(url || '/0' || page_id, '[0-9]+'), lambda x: length(x)=5)) AS runs FROM pages)",
         "progress_lines": "SELECT event_id, round(CASE WHEN event_id%2=0 THEN 5+45.0*event_id/5000 ELSE 55+0.25*(event_id%100) END::DOUBLE,4)+0.0 AS progress FROM events",
         "face_budget": "SELECT o_orderkey, greatest(50000, least(o_orderkey*7, o_custkey*100, 300000)) AS budget FROM orders",
         "param_ladder": """WITH p AS (SELECT p_partkey, CAST(p_size/10000.0 AS DOUBLE) AS v, CAST(p_size/1000.0 AS DOUBLE) AS t, p_size AS b, p_size%5 AS d, p_size*3000 AS k FROM part),

@@ -111,3 +111,65 @@ def test_rules(spark):
     assert [tuple(x) for x in r.select(rules.sanitize_name(F.col("s")), rules.branch_slug(F.col("s"))).collect()] == [("a-b-c", "a-b-c"), (None, "main"), ("ünï-code", "ünï-code")]
     t = spark.createDataFrame([("frame_00012.jpg",), ("00012_00013",), ("123456",), (None,)], "s string")
     assert [x[0] for x in t.select(rules.frame_number(F.col("s"))).collect()] == [12, None, None, None]
+
+
+def test_label_smoothing_in_place(spark):
+    from lumenmesh.operators import labels
+
+    view = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (9, 4)], "fid long, view long")
+    adjacency = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "fid long, nbr long")
+    support = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (1, 1, 0.4), (2, 1, 0.5), (9, 4, 1.0)], "fid long, view long, support double")
+    assert got(labels.smooth_labels(view, adjacency, support)) == [(0, 1), (1, 1), (2, 1), (9, 4)]
+
+
+def test_region_labelling(spark):
+    from lumenmesh.operators import labels
+
+    f = spark.createDataFrame([(0, 0, 1, {0: 0.45, 1: 0.4}), (1, 0, 0, {0: 0.40, 1: 0.42}), (2, 0, 1, {0: 0.45, 1: 0.4}), (5, 5, 3, {3: 0.1, 4: 0.0})], "fid long, region long, base long, costs map<long,double>")
+    links = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "fid long, nbr long, weight double")
+    assert got(labels.label_regions(f, links)) == [(0, 0, 1), (1, 0, 1), (2, 0, 1), (5, 5, 3)]
+
+
+def test_proposal_and_orientation(spark):
+    from lumenmesh.operators import cleanup
+
+    p = spark.createDataFrame([("a", 3, 1, 5), ("b", 0, 0, 9)], "name string, removed_faces long, removed_components long, largest long")
+    doc, apply = cleanup.proposal(p, 4, True).first()
+    assert apply and '"largest":9' in doc and '"faces":3' in doc
+    assert cleanup.proposal(p.where("1=0"), 4, True).first()["apply"] is False
+    ask = spark.range(1).select(*(cleanup.orientation(F.lit(a), F.lit(b), F.lit(c)) for a, b, c in ((0.7, 0.2, 0.1), (0.2, 0.7, 0.9), (0.5, 0.5, 0.9), (0.5, 0.5, 0.1))))
+    assert tuple(ask.first()) == ("keep", "flip", "keep", "flip")
+
+
+def test_principal_axes(spark):
+    from lumenmesh.operators import planes
+
+    pts = spark.createDataFrame([(1, float(x), float(y), 0.1 * (x - y)) for x in range(5) for y in range(3)], "k long, x double, y double, z double")
+    row = planes.principal_axes(pts, "k").first()
+    assert row.n == 15 and all(math.isclose(sum(c * c for c in a), 1) for a in row.axes)
+    assert abs(row.axes[2][0]) > 0.9 and abs(row.axes[0][2]) > 0.9
+
+
+def test_ransac_finds_the_plane(spark):
+    from lumenmesh.operators import planes
+
+    pts = spark.range(400).selectExpr("id", "id % 20 / 20.0D AS x", "floor(id / 20) / 20.0D AS y", "IF(id % 10 = 0, id / 100.0D, 0.5D) AS z")
+    nx, ny, nz, d, n = planes.ransac_plane(pts, 60).first()
+    assert math.isclose(abs(nz), 1, abs_tol=1e-9) and math.isclose(abs(d), 0.5, abs_tol=1e-9) and n >= 360
+
+
+def test_clip_shares_crossing_points(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 1.0, 2.0, 0.0), (3, 0.0, 2.0, 0.0)], "vid long, x double, y double, z double")
+    f = faces(spark, (0, 1, 2), (0, 2, 3))
+    pts, out = mesh.clip_mesh(f, v, (0.0, 1.0, 0.0), 1.0)
+    where = {r.vid: (r.x, r.y) for r in pts.collect()}
+    assert sorted(where.values()) == [(0.0, 1.0), (0.0, 2.0), (0.5, 1.0), (1.0, 1.0), (1.0, 2.0)]
+    tris = [tuple(where[i] for i in (r.v0, r.v1, r.v2)) for r in out.collect()]
+    areas = [((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) / 2 for a, b, c in tris]
+    assert len(tris) == 3 and math.isclose(sum(areas), 1.0) and min(areas) > 0
+
+
+def test_section_loops(spark):
+    seg = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (7, 8), (8, 9)], "a long, b long")
+    pos = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in ((1, 0, 0), (2, 2, 0), (3, 2, 1), (4, 0, 1), (7, 0, 0), (8, 1, 0), (9, 2, 5))], "vid long, x double, y double")
+    assert got(mesh.section_loops(seg, pos)) == [(1, i, v, 2.0) for i, v in enumerate((1, 2, 3, 4))]

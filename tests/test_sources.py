@@ -124,3 +124,18 @@ def test_deduplication_and_sessions(spark, stream):
     logs.run_once(logs.deduplicated(live.unionByName(live), "365 days"), logs.idempotent_sink(str(tmp / "once")), str(tmp / "cp"))
     assert spark.read.parquet(str(tmp / "once")).count() == events.count()
     assert logs.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_ply_round_trip(spark, tmp_path):
+    from lumenmesh.sources import ply
+
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    body = b"".join(struct.pack("<3f3B", i, 2 * i, 0.5, 255, 0, 51 * i) for i in range(4)) + struct.pack("<B4i", 4, 0, 1, 2, 3)
+    (tmp_path / "a.ply").write_bytes(head + body)
+    vertices, faces = ply.read_ply(spark, str(tmp_path / "a.ply"))
+    assert sorted((r.vid, r.x, r.y, r.r, round(r.b, 3)) for r in vertices.collect()) == [(i, float(i), 2.0 * i, 1.0, round(0.2 * i, 3)) for i in range(4)]
+    assert sorted(tuple(r)[1:] for r in faces.collect()) == [(0, 0, 1, 2), (1, 0, 2, 3)]
+    ply.write_ply(ply.ply_lines(vertices, faces), tmp_path / "out")
+    again, triangles = ply.read_ply(spark, str(next((tmp_path / "out").glob("part-*"))))
+    assert sorted(tuple(r)[1:5] for r in again.collect()) == sorted(tuple(r)[1:5] for r in vertices.collect())
+    assert sorted(tuple(r)[1:] for r in triangles.collect()) == [(0, 0, 1, 2), (1, 0, 2, 3)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 #: White space that separates words: space and \x09-\x0D.
 SPACE = "[\\x20\\x09-\\x0D]"
 IS_SPACE = np.zeros(256, bool)
@@ -106,6 +108,17 @@ def chunks(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def sliced(batches, rows: int = 1000):
+    """Batches of so many rows at most, so that few texts are copied at a time; at the end the worker gives free memory back,
+    as it lives on for other tasks."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

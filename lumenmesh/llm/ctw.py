@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, crc_mod, table, word_bounds, word_hashes, written
+from .common import byte_texts, chunks, crc_mod, sliced, table, word_bounds, word_hashes, written
 
 DEPTH = 5
 MOST_CONTEXTS, MOST_WORDS = 1 << 18, 1 << 21
@@ -34,7 +34,7 @@ MOST_CONTEXTS, MOST_WORDS = 1 << 18, 1 << 21
 END = 0xFF
 #: Stands for the end token among word hashes.
 END_WORD = np.uint64(0x454E44)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +89,14 @@ def gathered(train: DataFrame, depth: int = DEPTH) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({"kind": np.full(m, kind, np.int32), "key": d[i : i + m].view(np.int64), "n": n[i : i + m]})
                     parts.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t.lower() for t in byte_texts(batch.column("text"))]
             for a, b in chunks(texts, _CHUNK):
                 for kind, keys in ((0, grams(texts[a:b], depth)[0]), (1, words_of(texts[a:b])[0])):
                     d, at = coded(keys)
                     held[kind].append((d, np.bincount(at, minlength=len(d))))
                 held[1].append((np.array([END_WORD]), np.array([b - a])))
-                if sum(len(d) for parts in held.values() for d, _ in parts) > 4_000_000:
+                if sum(len(d) for parts in held.values() for d, _ in parts) > 2_000_000:
                     yield from flush()
         yield from flush()
 
@@ -254,7 +254,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         m = held.value
         tree, key, c = m["tree"], m["key"], m["c"]
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t.lower() for t in byte_texts(batch.column("text"))]
             for a, b in chunks(texts, _CHUNK):
                 part = texts[a:b]

@@ -107,3 +107,17 @@ def parameter_ladder(voxel: Column, trunc: Column, baselines: Column, dilate: Co
     c = rung("safe", lo(voxel, 0.005), lo(trunc, 0.04), hi(baselines, 16), lo(dilate, 3), hi(blocks, 75_000))
     steps = F.array(a, b, c)
     return F.filter(steps, lambda s, i: (i == 0) | (s["p"] != F.get(steps, i - 1)["p"]))
+
+
+def utc_iso(ts: Column) -> Column:
+    """A zone-less UTC timestamp as text, to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def alias_of(text: Column, aliases: dict[str, str], default: str) -> Column:
+    """The canonical name of a trimmed, lower-cased alias."""
+    s = F.lower(F.trim(text))
+    out = F.lit(default)
+    for name, canonical in aliases.items():
+        out = F.when(s == name, canonical).otherwise(out)
+    return out

@@ -102,3 +102,28 @@ def orientation(camera_facing: Column, camera_away: Column, outward: Column, lea
     """keep or flip by what the cameras see; if that is unclear, by the outward ratio; null if nothing is known."""
     by_camera = F.when((camera_facing >= least) & (camera_facing - camera_away >= margin), "keep").when((camera_away >= least) & (camera_away - camera_facing >= margin), "flip")
     return F.coalesce(by_camera, F.when(outward >= 0.5, "keep").when(outward < 0.5, "flip"))
+
+
+def mask_consistency(samples: DataFrame) -> DataFrame:
+    """samples: outside, ground (booleans of sampled points in sampled views). One row: shares and score, four digits; nulls
+    without samples."""
+    g = samples.agg(F.count("*").alias("n"), F.avg(F.col("outside").cast("double")).alias("outside"), F.avg(F.col("ground").cast("double")).alias("ground"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("outside") + F.col("ground")) / 2))
+    return g.select("n", F.bround("outside", 4).alias("outside"), F.bround("ground", 4).alias("ground"), F.bround(score, 4).alias("score"))
+
+
+def loop_flags(loops: DataFrame, least: int = 3) -> DataFrame:
+    """loops: loop_id, pos, vid of paths whose last vertex repeats the first where closed. loop_id, n, and why it can't be
+    filled: small, open or self_touching, else fillable."""
+    ends = loops.groupBy("loop_id").agg(F.count("*").alias("rows"), F.count_distinct("vid").alias("distinct"), F.min_by("vid", "pos").alias("first"), F.max_by("vid", "pos").alias("last"))
+    closed = F.col("first") == F.col("last")
+    n = F.col("rows") - closed.cast("int")
+    flag = F.when(~closed, "open").when(n < least, "small").when(F.col("distinct") < n, "self_touching").otherwise("fillable")
+    return ends.select("loop_id", n.alias("n"), flag.alias("flag"))
+
+
+def clip_offset(loops: DataFrame, lowest: float, height: float, share: float = 0.25, epsilon: float = 1e-4) -> DataFrame:
+    """loops: loop_id, distance (of each vertex above the plane). One row: how far to raise the cut so that it clears all
+    loops near the bottom, at most 30 % of the height."""
+    low = loops.groupBy("loop_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("top")).where(F.col("mean") - lowest <= share * height)
+    return low.agg(F.least(F.coalesce(F.max("top") + epsilon, F.lit(0.0)), F.lit(0.3 * height)).alias("offset"))

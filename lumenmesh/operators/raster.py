@@ -127,3 +127,22 @@ def mean_difference(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Mean absolute difference over the pixels that both have."""
     there = b.select(*keys, "px", "py", F.col("value").alias("other"))
     return a.join(there, [*keys, "px", "py"]).groupBy(*keys).agg(F.avg(F.abs(F.col("value") - F.col("other"))).alias("difference"), F.count("*").alias("n"))
+
+
+def median_colour(wedges: DataFrame, image: DataFrame, width: int, height: int, fallback: float = 176.0) -> DataFrame:
+    """wedges: u, v. One row: the median of each channel at the nearest pixels (v upwards, half to even, clipped); a grey
+    where nothing is found."""
+    px = F.greatest(F.lit(0), F.least(F.lit(width - 1), F.rint(F.col("u") * (width - 1)))).cast("long")
+    py = F.greatest(F.lit(0), F.least(F.lit(height - 1), F.rint((1 - F.col("v")) * (height - 1)))).cast("long")
+    at = wedges.select(px.alias("px"), py.alias("py")).join(image, ["px", "py"])
+    return at.agg(*(F.coalesce(F.median(c), F.lit(fallback)).alias(c) for c in "rgb"))
+
+
+def sobel(values: DataFrame, *keys: str) -> DataFrame:
+    """Gradient magnitude of pixels all of whose eight neighbours exist."""
+    weights = [((x, y), x * (2 if y == 0 else 1), y * (2 if x == 0 else 1)) for y in (-1, 0, 1) for x in (-1, 0, 1) if (x, y) != (0, 0)]
+    kernel = F.array(*(F.struct(F.lit(-x).alias("dx"), F.lit(-y).alias("dy"), F.lit(float(gx)).alias("gx"), F.lit(float(gy)).alias("gy")) for (x, y), gx, gy in weights))
+    moved = values.select(*keys, "px", "py", "value", F.inline(kernel))
+    g = moved.groupBy(*keys, (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("gx")).alias("sx"), F.sum(F.col("value") * F.col("gy")).alias("sy"))
+    whole = g.where("n = 8").join(values.select(*keys, "px", "py"), [*keys, "px", "py"], "left_semi")
+    return whole.select(*keys, "px", "py", F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")).alias("gradient"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenmesh.operators import mesh
-from lumenmesh.plans import mesh_queries, scene_queries, table_queries, tables
+from lumenmesh.plans import mesh_queries, scene_queries, stream_queries, table_queries, tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return mesh_queries.queries() | table_queries.queries() | scene_queries.queries()
+    return mesh_queries.queries() | table_queries.queries() | scene_queries.queries() | scene_queries.MORE | stream_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return mesh_queries.oracle_sql() | table_queries.oracle_sql() | scene_queries.oracle_sql()
+    return mesh_queries.oracle_sql() | table_queries.oracle_sql() | scene_queries.oracle_sql() | scene_queries.MORE_SQL | stream_queries.oracle_sql()

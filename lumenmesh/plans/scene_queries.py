@@ -198,3 +198,51 @@ def oracle_sql() -> dict:
         "slerp_turns": """WITH a AS (SELECT o_orderkey, o_orderkey%300/100.0::DOUBLE AS p, o_custkey%300/100.0::DOUBLE AS q FROM orders), b AS (SELECT *, cos(p)*cos(q)+sin(p)*sin(q) AS dot FROM a), c AS (SELECT *, CASE WHEN dot < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sg, acos(least(1.0::DOUBLE, abs(dot))) AS ang FROM b),
 e AS (SELECT *, CASE WHEN ang < 1e-6 THEN 0.75 ELSE sin(0.75*ang)/sin(ang) END AS wa, CASE WHEN ang < 1e-6 THEN 0.25 ELSE sin(0.25*ang)/sin(ang) END AS wb FROM c), f AS (SELECT o_orderkey, wa*cos(p)+wb*sg*cos(q) AS w, wa*sin(p)+wb*sg*sin(q) AS x FROM e) SELECT o_orderkey, round(w/sqrt(w*w+x*x),5)+0.0 AS w, round(x/sqrt(w*w+x*x),5)+0.0 AS x FROM f""",
     }
+
+
+def _consistency(s, d):
+    return U.mask_consistency(T.read(s, d, "lineitem").select((F.col("l_discount") > 0.05).alias("outside"), (F.col("l_tax") > 0.06).alias("ground")))
+
+
+def _flags(s, d):
+    o = T.read(s, d, "orders")
+    pos = F.col("o_orderkey")
+    return U.loop_flags(o.select(F.col("o_custkey").alias("loop_id"), pos.alias("pos"), (pos % 7).alias("vid")))
+
+
+def _offset(s, d):
+    li = T.read(s, d, "lineitem")
+    return rounded(U.clip_offset(li.select(F.col("l_suppkey").alias("loop_id"), (F.col("l_quantity") / 10).alias("distance")), 0.0, 10.0), "offset")
+
+
+def _sobel(s, d):
+    from lumenmesh.operators import raster
+
+    return rounded(raster.sobel(T.grid(s, d)), "gradient", digits=4)
+
+
+def _median(s, d):
+    from lumenmesh.operators import raster
+
+    g = T.grid(s, d)
+    image = g.select("px", "py", F.col("value").alias("r"), (F.col("value") / 2).alias("g"), (F.col("value") + 1).alias("b"))
+    wedges = s.range(300).select((F.col("id") * 7 % 100 / 100.0).alias("u"), (F.col("id") * 11 % 100 / 100.0).alias("v"))
+    return rounded(raster.median_colour(wedges, image, 64, 64), "r", "g", "b", digits=5)
+
+
+def _iso(s, d):
+    from lumenmesh.functions import rules
+
+    return T.read(s, d, "events").select("event_id", rules.utc_iso(F.col("ts")).alias("at"), rules.alias_of(F.col("event_type"), {"click": "press", "view": "look"}, "other").alias("kind"))
+
+
+MORE = {"mask_consistency": _consistency, "loop_flags": _flags, "clip_offset": _offset, "sobel_gradient": _sobel, "median_colour": _median, "utc_iso_alias": _iso}
+
+MORE_SQL = {
+    "mask_consistency": "SELECT count(*) AS n, round_even(avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END),4) AS outside, round_even(avg(CASE WHEN l_tax > 0.06 THEN 1.0::DOUBLE ELSE 0 END),4) AS ground, round_even((avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END)+avg(CASE WHEN l_tax > 0.06 THEN 1.0::DOUBLE ELSE 0 END))/2,4) AS score FROM lineitem",
+    "loop_flags": "WITH e AS (SELECT o_custkey AS loop_id, count(*) AS k, count(DISTINCT o_orderkey%7) AS dv, arg_min(o_orderkey%7, o_orderkey) = arg_max(o_orderkey%7, o_orderkey) AS closed FROM orders GROUP BY 1) SELECT loop_id, k - CAST(closed AS INT) AS n, CASE WHEN NOT closed THEN 'open' WHEN k - CAST(closed AS INT) < 3 THEN 'small' WHEN dv < k - CAST(closed AS INT) THEN 'self_touching' ELSE 'fillable' END AS flag FROM e",
+    "clip_offset": "SELECT round(least(coalesce(max(top)+1e-4,0),3.0),6)+0.0 AS \"offset\" FROM (SELECT avg(l_quantity/10) AS mean, max(l_quantity/10) AS top FROM lineitem GROUP BY l_suppkey) WHERE mean <= 2.5",
+    "sobel_gradient": f"WITH {T.GRID}, s AS (SELECT a.px, a.py, count(*) AS n, sum(b.value*(b.px-a.px)*(CASE WHEN b.py=a.py THEN 2 ELSE 1 END)) AS sx, sum(b.value*(b.py-a.py)*(CASE WHEN b.px=a.px THEN 2 ELSE 1 END)) AS sy FROM grid a JOIN grid b ON abs(a.px-b.px) <= 1 AND abs(a.py-b.py) <= 1 AND NOT (a.px=b.px AND a.py=b.py) GROUP BY 1, 2) SELECT px, py, round(sqrt(sx*sx+sy*sy),4)+0.0 AS gradient FROM s WHERE n = 8",
+    "median_colour": f"WITH {T.GRID}, w AS (SELECT CAST(greatest(0, least(63, round_even(range*7%100/100.0::DOUBLE*63,0))) AS BIGINT) AS px, CAST(greatest(0, least(63, round_even((1-range*11%100/100.0::DOUBLE)*63,0))) AS BIGINT) AS py FROM range(300)) SELECT round(coalesce(median(value),176),5)+0.0 AS r, round(coalesce(median(value/2),176),5)+0.0 AS g, round(coalesce(median(value+1),176),5)+0.0 AS b FROM w JOIN grid USING (px, py)",
+    "utc_iso_alias": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, CASE event_type WHEN 'click' THEN 'press' WHEN 'view' THEN 'look' ELSE 'other' END AS kind FROM events",
+}

@@ -91,14 +91,18 @@ def _log(s, d):
     return L.compact_log(c.select((F.col("conv_id") % 6).alias("stage"), "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), text.alias("text")).withColumnRenamed("role", "stream"), 200)
 
 
-NAMES = F.concat(F.lit(" /"), F.col("p_name"), F.lit("/"), F.col("p_type"), F.lit("..  x#"), F.col("p_size").cast("string"), F.lit("-"))
 LADDER_IN = ("p_size / 10000.0D", "p_size / 1000.0D", "p_size", "p_size % 5", "p_size * 3000")
 CHECKPOINTS = [("load", "click"), ("train", "purchase|signup"), ("bake", "view$")]
 FAILURES = [("ing", "gerund"), ("or", "either"), ("the", "article")]
 
 
+def _raw_name():
+    return F.concat(F.lit(" /"), F.col("p_name"), F.lit("/"), F.col("p_type"), F.lit("..  x#"), F.col("p_size").cast("string"), F.lit("-"))
+
+
 def _names(s, d):
-    return T.read(s, d, "part").select("p_partkey", K.sanitize_name(NAMES).alias("name"), K.branch_slug(NAMES).alias("slug"))
+    name = _raw_name()
+    return T.read(s, d, "part").select("p_partkey", K.sanitize_name(name).alias("name"), K.branch_slug(name).alias("slug"))
 
 
 def _casts(s, d):

@@ -173,3 +173,13 @@ def test_section_loops(spark):
     seg = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (7, 8), (8, 9)], "a long, b long")
     pos = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in ((1, 0, 0), (2, 2, 0), (3, 2, 1), (4, 0, 1), (7, 0, 0), (8, 1, 0), (9, 2, 5))], "vid long, x double, y double")
     assert got(mesh.section_loops(seg, pos)) == [(1, i, v, 2.0) for i, v in enumerate((1, 2, 3, 4))]
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

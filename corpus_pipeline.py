@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmesh.llm import decontam, minhash, pieces, templates, toxicity
-from lumenmesh.llm.common import small, table, written
+from lumenmesh.llm.common import equip, small, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but from the first document that has them; so do documents of which no word is left.
     n_chars, where there is such a column, is counted again for documents that lost lines."""
+    equip(spark)
     cut = templates.drop_templates(docs)
     lost = F.col(f"`{cut.columns[-1]}`") > 0
     cut = cut.where(~lost | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
@@ -35,6 +36,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    equip(spark)
     rows, ids = docs.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows > ids:  # repeated rows
         docs = docs.dropDuplicates(["doc_id", "text"])
@@ -50,6 +52,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become ids."""
+    equip(spark)
     return pieces.encode(docs)
 
 

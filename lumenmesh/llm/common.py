@@ -23,7 +23,7 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Rows whose keys may be broadcast; beyond it, the joins below are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def put(spark: SparkSession, name: str, data: bytes) -> str:
@@ -42,11 +42,16 @@ _equipped: set[str] = set()
 
 
 def equip(spark: SparkSession) -> None:
-    """Sends this package to Python workers, which may not find it on their own path."""
+    """Once a context: sends this package to Python workers, which may not find it on their own path, and keeps Arrow batches
+    small."""
     context = spark.sparkContext
     if context.applicationId in _equipped:
         return
     _equipped.add(context.applicationId)
+    # texts may be long: batches between the JVM and Python are kept small where the session has no wish of its own
+    for key, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, ours)
     root, held = Path(__file__).parents[1], io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         for p in sorted(root.rglob("*.py")):
@@ -138,16 +143,20 @@ _BYTE = _GEN.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_GEN.integers(0, 1 << 62, dtype=np.uint64)) * 8 + 5
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = CHUNK_BYTES + (CHUNK_BYTES >> 2)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64, kept and doubled as needed."""
+    """base**0 .. base**(n-1) mod 2**64; those for texts of usual chunks are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        out = np.ones(1, np.uint64)
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-        _POWERS[base] = have = out
+        size = max(n, 1) if n > KEPT_POWERS else KEPT_POWERS
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            more = have[: size - len(have)]
+            have = np.concatenate([have, more * np.uint64(pow(base, len(have), 1 << 64))])
+        if size == KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, crc_mod, table, written
+from .common import byte_texts, chunks, crc_mod, sliced, table, written
 
 ORDERS, BUCKETS = 4, 1 << 13
 #: Expected number of documents per language that the classifiers are fitted on.
@@ -104,7 +104,7 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
 
     def count(batches):
         sums = np.zeros((n, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             texts, cls = byte_texts(batch.column("text")), batch.column("cls").to_numpy()
             for a, b in chunks(texts):
                 grams, starts, lengths = ngrams(texts[a:b])
@@ -124,7 +124,7 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
 
     def judge(batches):
         right = np.zeros((n, code.shape[1] + 1))
-        for batch in batches:
+        for batch in sliced(batches):
             cls = batch.column("cls").to_numpy()
             ok = bit_scores(byte_texts(batch.column("text")), weights) * code[cls] > 0
             np.add.at(right, cls, np.column_stack([ok, np.ones(len(cls))]))
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     langs, code, weights, trust = (model[k] for k in ("langs", "code", "weights", "trust"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, letter = byte_texts(batch.column("text")), np.array(batch.column("letter").to_pylist(), bool)
             size = len(texts)
             if not langs:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, mix64, small, table, word_bounds, word_hashes, written
+from .common import byte_texts, chunks, mix64, sliced, small, table, word_bounds, word_hashes, written
 from .graph import components
 
 SHINGLE = 5
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), a 128-bit print of the set, the packed bits and the band keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = byte_texts(batch.column("text"))
             n, prints, low = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)), np.uint64), np.zeros((len(texts), HASHES), np.uint32)
             for i, s in enumerate(shingle_sets(texts)):
@@ -109,7 +109,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n and the whole set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sets = batch.column("doc_id"), list(shingle_sets(byte_texts(batch.column("text"))))
             for a, b in chunks(sets, 1 << 20):
                 ends = np.cumsum([0, *map(len, sets[a:b])]).astype(np.int32)

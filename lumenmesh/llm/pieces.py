@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a Python worker remembers before it forgets those not seen again; a bound on memory, not on what is encoded.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 UNKNOWN_PENALTY = 10.0
 #: Two places in one number; the place that stands for the start of a text.
 SHIFT = 32
@@ -246,7 +246,7 @@ def encode_texts(model: Model, texts: list) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     mark = MARK if model.prefix else ""
     full = [t or "" for t in texts]
-    for a, b in chunks(full, 1 << 22):
+    for a, b in chunks(full, 1 << 21):
         marked = [(mark + t.replace(" ", MARK)) if t else "" for t in full[a:b]]
         split = [[t] if model.splitter is None else model.splitter.findall(t) for t in marked]
         words = set().union(*split)
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", ids: st
 
     def run(batches):
         model = _loaded("", held.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = encode_texts(model, batch.column(text).to_pylist())
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
@@ -309,7 +309,7 @@ def decode(rows: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str
 
     def run(batches):
         model = _loaded("", held.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [decode_ids(model, np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             names = [n for n in batch.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, text])
@@ -325,7 +325,7 @@ def round_trip(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches):
         model = _loaded("", held.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             found = encode_texts(model, texts)
             same = [decode_ids(model, x) == (t or "").replace(MARK, " ").encode() for t, x in zip(texts, found)]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Gazetteers and cue words (fixed values).
@@ -234,7 +234,7 @@ def learn(docs: DataFrame) -> dict:
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for t in _texts(batch):
                 seen.update((k, *v) for k, _, _, _, v in candidates(t))
         keys = list(seen)
@@ -257,7 +257,7 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         known: dict[tuple, float] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             spans = []
             for t in _texts(batch):
                 found, free = [], 0

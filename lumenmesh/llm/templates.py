@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _powers, byte_texts, chunks, mix64, small, table, word_bounds, word_hashes, written
+from .common import _BASE, _BASE_INV, _powers, byte_texts, chunks, mix64, sliced, small, table, word_bounds, word_hashes, written
 
 MIN_DOCS = 5
 #: Leading tokens that a leaf shares; lines shorter than LEAST tokens have whole-line templates only.
@@ -75,7 +75,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
     """doc_id, line (number from 0) and the keys of every line with a word."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, ids = byte_texts(batch.column("text")), batch.column("doc_id")
             for a, b in chunks(texts):
                 k = keys_of(texts[a:b])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _powers, chunks, crc_mod, mix64, small, table, written
+from .common import _BASE, _BASE_INV, _powers, chunks, crc_mod, mix64, sliced, small, table, written
 
 #: Expected number of labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -94,7 +94,7 @@ class Channel:
 
     def __init__(self, costs: np.ndarray) -> None:
         self.cost = costs.reshape(-1).tolist()
-        self.restore = lru_cache(maxsize=100_000)(self._restore)
+        self.restore = lru_cache(maxsize=50_000)(self._restore)
 
     def _index(self, c: str) -> int:
         return int(_INDEX[ord(c)]) if ord(c) < _CODES and c.isalpha() else 1
@@ -234,7 +234,7 @@ def summaries(texts: list[str], keys: np.ndarray, weights: np.ndarray, which: np
     """For each text: its three largest weights (0 where fewer) over distinct features, and the log of its word count.
     weights has a column for each way of counting; which names the column for each text."""
     out = np.zeros((len(texts), 4))
-    for a, b in chunks(texts, 1 << 20):
+    for a, b in chunks(texts, 1 << 19):
         owner, h, n = features(texts[a:b])
         out[a:b, 3] = np.log1p(n)
         if not len(keys) or not len(h):
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
     def count_chars(batches):
         counts = np.zeros(SIZE**3, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             counts += trigrams(_strings(batch.column("text")))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "n": counts[at]})
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
     def restore(batches):
         channel = Channel(costs)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = restored(_strings(batch.column("text")), channel)
             yield pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "toxic": batch.column("toxic").cast(pa.int32())})
 
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
     share = bad / (bad + good)
 
     def toxic_features(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _strings(batch.column("text"))
             for a, b in chunks(texts):
                 owner, h, _ = features(texts[a:b])
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
     def count_features(batches):
         sums = np.zeros((2, len(keys)), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             texts, y = _strings(batch.column("text")), batch.column("toxic").to_numpy() > 0
             for a, b in chunks(texts):
                 owner, h, _ = features(texts[a:b])
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
     weights = np.stack([log_odds(t, c, share), log_odds(t, np.maximum(c - 1, 0), share), log_odds(np.maximum(t - 1, 0), c, share)], 1)
 
     def summarise(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             y = batch.column("toxic").to_numpy() > 0
             x = summaries(_strings(batch.column("text")), keys, weights, 1 + y.astype(int))
             yield pa.RecordBatch.from_pydict({**{f"x{i}": x[:, i] for i in range(4)}, "y": y.astype(float)})
@@ -371,7 +371,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     held = _sent(docs, model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             p = _probabilities(_strings(batch.column("text")), held.value)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
@@ -384,7 +384,7 @@ def screen(docs: DataFrame, model: dict) -> DataFrame:
     held = _sent(docs, model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(_probabilities(_strings(batch.column("text")), held.value) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

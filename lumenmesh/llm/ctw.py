@@ -34,7 +34,7 @@ MOST_CONTEXTS, MOST_WORDS = 1 << 18, 1 << 21
 END = 0xFF
 #: Stands for the end token among word hashes.
 END_WORD = np.uint64(0x454E44)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ def gathered(train: DataFrame, depth: int = DEPTH) -> DataFrame:
                     d, at = coded(keys)
                     held[kind].append((d, np.bincount(at, minlength=len(d))))
                 held[1].append((np.array([END_WORD]), np.array([b - a])))
-                if sum(len(d) for parts in held.values() for d, _ in parts) > 2_000_000:
+                if sum(len(d) for parts in held.values() for d, _ in parts) > 1_200_000:
                     yield from flush()
         yield from flush()
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import small, table, written
 
 MASKS = ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 9))
 SPAN = 10
@@ -88,7 +88,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without any confirmed overlap."""
-    found = overlaps(docs, items).select("doc_id").distinct()
+    found = written(overlaps(docs, items).select("doc_id").distinct(), "contaminated")
     return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -76,7 +76,7 @@ CONFLICT = """dirs AS (SELECT t.texel, view0, view1, a.cx-x AS ax, a.cy-y AS ay,
   FROM two t JOIN tex USING (texel) JOIN vw a ON a.cam=view0 JOIN vw b ON b.cam=view1 WHERE score1 > 0 AND score0 < 1.35*score1 AND view0 <> view1),
 conflict AS (SELECT texel, view0, view1 FROM dirs WHERE degrees(acos(greatest(-1, least(1, (ax*bx+ay*by_+az*bz)/
   (greatest(sqrt(ax*ax+ay*ay+az*az),1e-10)*greatest(sqrt(bx*bx+by_*by_+bz*bz),1e-10)))))) >= 20)"""
-PLANE = (0.0, 1.0, 0.0)
+PLANE = (1.0, 0.0, 0.0)
 
 
 def _mesh(f):
@@ -182,15 +182,15 @@ def queries() -> dict:
         "outward_ratio": _mesh(lambda f, v: rounded(M.outward_ratio(f, v), "ratio")),
         "bbox_vote": _mesh(M.bbox_vote),
         "face_components": lambda s, d: M.face_components(T.faces(s, d)),
-        "small_components": lambda s, d: M.drop_small_components(T.faces(s, d), 0.002),
+        "small_components": lambda s, d: M.drop_small_components(T.faces(s, d), 0.0003),
         "largest_component": lambda s, d: M.largest_component(T.faces(s, d)),
         "erosion3": _erosion,
-        "laplacian2": _mesh(lambda f, v: rounded(M.smooth(v, f, [0.5, 0.5]), *xyz)),
-        "taubin4": _mesh(lambda f, v: rounded(M.smooth(v, f, [0.5, -0.53] * 2), *xyz)),
+        "laplacian2": _mesh(lambda f, v: rounded(M.smooth(v, f, [0.5, 0.5]), *xyz, digits=10)),
+        "taubin4": _mesh(lambda f, v: rounded(M.smooth(v, f, [0.5, -0.53] * 2), *xyz, digits=10)),
         "kd_partition8": lambda s, d: M.kd_partition(T.points(s, d), 3),
-        "plane_clip_cases": _mesh(lambda f, v: M.clip_cases(f, v, PLANE, 14.0)),
-        "plane_crossings": _mesh(lambda f, v: rounded(M.plane_crossings(f, v, PLANE, 14.0), *xyz)),
-        "section_segments": _mesh(lambda f, v: M.section_segments(f, v, PLANE, 14.0)),
+        "plane_clip_cases": _mesh(lambda f, v: M.clip_cases(f, v, PLANE, 25.5)),
+        "plane_crossings": _mesh(lambda f, v: rounded(M.plane_crossings(f, v, PLANE, 25.5), *xyz)),
+        "section_segments": _mesh(lambda f, v: M.section_segments(f, v, PLANE, 25.5)),
         "loop_area": _loop_area,
         "topk_views": lambda s, d: rounded(_pairs(s, d), "score", digits=4),
         "best_view": lambda s, d: rounded(V.best_view(T.scores(s, d)), "score", digits=4),
@@ -218,7 +218,7 @@ def oracle_sql() -> dict:
     F_, D_, E_, V_, C_ = T.FACES, T.DENSE_FACES, T.EDGES, T.VERTICES, T.CORNERS
     S = (T.SCORES, T.RANKED, TOP)
     length = "sqrt(nx*nx+ny*ny+nz*nz)"
-    cross = "cut AS (SELECT u, v, du, dv, a.x+du/(du-dv)*(b.x-a.x) AS x, a.y+du/(du-dv)*(b.y-a.y) AS y, a.z+du/(du-dv)*(b.z-a.z) AS z FROM (SELECT DISTINCT s.u, s.v, a.y-14 AS du, b.y-14 AS dv FROM sides s JOIN vertices a ON a.vid=u JOIN vertices b ON b.vid=v) JOIN vertices a ON a.vid=u JOIN vertices b ON b.vid=v WHERE du*dv < 0)"
+    cross = "cut AS (SELECT u, v, du, dv, a.x+du/(du-dv)*(b.x-a.x) AS x, a.y+du/(du-dv)*(b.y-a.y) AS y, a.z+du/(du-dv)*(b.z-a.z) AS z FROM (SELECT DISTINCT s.u, s.v, a.x-25.5 AS du, b.x-25.5 AS dv FROM sides s JOIN vertices a ON a.vid=u JOIN vertices b ON b.vid=v) JOIN vertices a ON a.vid=u JOIN vertices b ON b.vid=v WHERE du*dv < 0)"
     xyz = "round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z"
     vadj = "vadj AS (SELECT DISTINCT u AS vid, v AS nbr FROM sides UNION SELECT DISTINCT v, u FROM sides), s0 AS (SELECT * FROM vertices)"
     weld = "weld AS (SELECT vid, min(vid) OVER (PARTITION BY round_even(x/4,0), round_even(y/4,0), round_even(z/4,0)) AS new_vid FROM vertices)"
@@ -243,13 +243,13 @@ def oracle_sql() -> dict:
         "bbox_vote": _q("SELECT count(*) FILTER (o > 0) AS outward, count(*) FILTER (o <= 0) AS inward, CASE WHEN count(*) > 0 THEN count(*) FILTER (o > 0) >= count(*) FILTER (o <= 0) END AS looks_outward FROM (SELECT side, round(avg(o),9) AS o FROM six GROUP BY side HAVING count(*) >= 2)", F_, V_, C_,
                         "box AS (SELECT " + ", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in "xyz") + " FROM vertices)", f"six AS ({sides6})"),
         "face_components": _q("SELECT fid, component FROM comp", F_, E_, ADJACENCY, REACH),
-        "small_components": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= greatest(1, floor(0.002*(SELECT count(*) FROM faces))))", F_, E_, ADJACENCY, REACH),
+        "small_components": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= greatest(1, floor(0.0003*(SELECT count(*) FROM faces))))", F_, E_, ADJACENCY, REACH),
         "largest_component": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)", F_, E_, ADJACENCY, REACH),
         "erosion3": _q("SELECT fid, keep FROM keep3", D_, E_, ADJACENCY, KEEP, *(_erosion_step(i) for i in range(3))),
-        "laplacian2": _q(f"SELECT vid, {xyz} FROM s2", F_, E_, V_, vadj, _smooth_step(0, 0.5), _smooth_step(1, 0.5)),
-        "taubin4": _q(f"SELECT vid, {xyz} FROM s4", F_, E_, V_, vadj, *(_smooth_step(i, f) for i, f in enumerate([0.5, -0.53] * 2))),
+        "laplacian2": _q("SELECT vid, " + xyz.replace(",6)", ",10)") + " FROM s2", F_, E_, V_, vadj, _smooth_step(0, 0.5), _smooth_step(1, 0.5)),
+        "taubin4": _q("SELECT vid, " + xyz.replace(",6)", ",10)") + " FROM s4", F_, E_, V_, vadj, *(_smooth_step(i, f) for i, f in enumerate([0.5, -0.53] * 2))),
         "kd_partition8": _q("SELECT id, part FROM k3", T.POINTS, "k0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS part FROM points)", *(_kd_step(i) for i in range(3))),
-        "plane_clip_cases": _q("SELECT fid, above, CASE above WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS pieces FROM (SELECT fid, CAST(y0>14 AS INT)+CAST(y1>14 AS INT)+CAST(y2>14 AS INT) AS above FROM corner)", F_, V_, C_),
+        "plane_clip_cases": _q("SELECT fid, above, CASE above WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS pieces FROM (SELECT fid, CAST(x0>25.5 AS INT)+CAST(x1>25.5 AS INT)+CAST(x2>25.5 AS INT) AS above FROM corner)", F_, V_, C_),
         "plane_crossings": _q(f"SELECT u, v, {xyz} FROM cut", F_, E_, V_, cross),
         "section_segments": _q("SELECT fid, min((u,v))[1] AS u0, min((u,v))[2] AS w0, max((u,v))[1] AS u1, max((u,v))[2] AS w1 FROM sides JOIN cut USING (u, v) GROUP BY fid HAVING count(*) = 2", F_, E_, V_, cross),
         "loop_area": """WITH p AS (SELECT CAST(c_nationkey AS BIGINT) AS loop_id, c_custkey AS pos, c_acctbal/100 AS x, CAST(c_custkey % 37 AS DOUBLE) AS y FROM customer),

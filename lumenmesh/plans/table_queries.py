@@ -147,7 +147,7 @@ def queries() -> dict:
         "strided_sample": lambda s, d: S.strided(frames(s, d), "idx", 150, 20),
         "reindex_subset": lambda s, d: S.first_faces(T.faces(s, d), 100),
         "asof_interpolate": _asof,
-        "missing_frames": lambda s, d: L.missing_frames(T.read(s, d, "orders").select((F.col("o_orderkey") * 3 % 5000).alias("idx")).distinct()),
+        "missing_frames": lambda s, d: L.missing_frames(T.read(s, d, "orders").select((F.col("o_orderkey") * 3 % 50021).alias("idx")).distinct()),
         "click_stack": _clicks,
         "log_compaction": _log,
         "mask_dilate": lambda s, d: P.dilate(_mask(s, d, 5, 0), 1, "frame"),
@@ -158,7 +158,7 @@ def queries() -> dict:
         "depth_replace": _depth_fill("replace"),
         "label_boundary": lambda s, d: P.label_boundary(_labels(s, d)),
         "masked_gaussian": lambda s, d: rounded(P.gaussian(g(s, d), 1.5, 3), "value", digits=4),
-        "grid_fill2": lambda s, d: rounded(P.grow(g(s, d).where("(px + py) % 5 = 0"), 64, 64, 2), "value", digits=4),
+        "grid_fill2": lambda s, d: rounded(P.grow(g(s, d).where("(px + py) % 5 = 0"), 64, 64, 2), "value", digits=9),
         "grid_downsample": lambda s, d: rounded(P.downsample(g(s, d), 4), "value", digits=7),
         "bilinear_sample": _bilinear,
         "alpha_composite": _composite,
@@ -200,7 +200,7 @@ def oracle_sql() -> dict:
         "asof_interpolate": f"""WITH {keys}, span AS (SELECT min(t)//86400*86400 AS lo, max(t) AS hi FROM k), g AS (SELECT DISTINCT user_id, unnest(range(lo, hi+1, 86400)) AS t FROM (SELECT DISTINCT user_id FROM k), span),
 a AS (SELECT g.user_id, g.t, k.t AS lo, k.value AS vlo FROM g ASOF LEFT JOIN k ON g.user_id=k.user_id AND g.t >= k.t), b AS (SELECT a.*, k.t AS hi, k.value AS vhi FROM a ASOF LEFT JOIN k ON a.user_id=k.user_id AND a.t <= k.t)
 SELECT user_id, t, round(CASE WHEN lo IS NULL OR hi IS NULL THEN NULL WHEN hi > lo THEN vlo+(t-lo)/(hi-lo)*(vhi-vlo) ELSE vlo END,5)+0.0 AS value FROM b""",
-        "missing_frames": "WITH s AS (SELECT DISTINCT o_orderkey*3%5000 AS idx FROM orders) SELECT range AS idx FROM range((SELECT min(idx) FROM s), (SELECT max(idx)+1 FROM s)) WHERE range NOT IN (SELECT idx FROM s)",
+        "missing_frames": "WITH s AS (SELECT DISTINCT o_orderkey*3%50021 AS idx FROM orders) SELECT range AS idx FROM range((SELECT min(idx) FROM s), (SELECT max(idx)+1 FROM s)) WHERE range NOT IN (SELECT idx FROM s)",
         "click_stack": """WITH RECURSIVE c AS (SELECT user_id AS session, CASE WHEN event_id%2=0 THEN 'object' ELSE 'ground' END AS mode, event_id AS seq, CASE WHEN event_id%29=0 THEN 'clear' WHEN event_id%3=0 THEN 'undo' ELSE 'add' END AS action, round(value,3) AS point FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY session, mode ORDER BY seq) AS k FROM c),
 f(session, mode, k, stack) AS (SELECT session, mode, 0::BIGINT, CAST([] AS STRUCT(seq BIGINT, point DOUBLE)[]) FROM n WHERE k=1 UNION ALL
@@ -217,7 +217,7 @@ SELECT stage, stream, seq, text, updates FROM (SELECT *, row_number() OVER (PART
         "depth_replace": fill("CASE WHEN m THEN CASE WHEN coalesce(hull,0) > 0 THEN hull ELSE 0 END ELSE depth END"),
         "label_boundary": f"WITH {G}, l AS (SELECT px, py, CAST(floor(value/40) AS BIGINT) AS label FROM grid) SELECT DISTINCT a.px, a.py FROM l a, {nb} JOIN l b ON b.px=a.px+dx AND b.py=a.py+dy WHERE a.label <> b.label",
         "masked_gaussian": f"WITH {G} SELECT a.px, a.py, round(sum(b.value*exp(-((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py))/4.5))/sum(exp(-((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py))/4.5)),4)+0.0 AS value FROM grid a JOIN grid b ON abs(a.px-b.px) <= 3 AND abs(a.py-b.py) <= 3 GROUP BY 1, 2",
-        "grid_fill2": f"WITH {G}, g0 AS (SELECT px, py, value FROM grid WHERE (px+py)%5=0), {grow(0)}, {grow(1)} SELECT px, py, round(value,4)+0.0 AS value FROM g2",
+        "grid_fill2": f"WITH {G}, g0 AS (SELECT px, py, value FROM grid WHERE (px+py)%5=0), {grow(0)}, {grow(1)} SELECT px, py, round(value,9)+0.0 AS value FROM g2",
         "grid_downsample": f"WITH {G} SELECT px//4 AS px, py//4 AS py, round(avg(value),7)+0.0 AS value FROM grid GROUP BY 1, 2",
         "bilinear_sample": f"""WITH {G}, s AS (SELECT range AS id, range*7%640/10.0::DOUBLE AS u, range*13%640/10.0::DOUBLE AS v FROM range(500)),
 q AS (SELECT id, CAST(greatest(0, least(63, floor(u)+dx)) AS BIGINT) AS px, CAST(greatest(0, least(63, floor(v)+dy)) AS BIGINT) AS py, (CASE dx WHEN 1 THEN u-floor(u) ELSE 1-u+floor(u) END)*(CASE dy WHEN 1 THEN v-floor(v) ELSE 1-v+floor(v) END) AS w FROM s, (VALUES (0,0),(1,0),(0,1),(1,1)) o(dx,dy))

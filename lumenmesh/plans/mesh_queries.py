@@ -189,7 +189,7 @@ def queries() -> dict:
         "taubin4": _mesh(lambda f, v: rounded(M.smooth(v, f, [0.5, -0.53] * 2), *xyz, digits=10)),
         "kd_partition8": lambda s, d: M.kd_partition(T.points(s, d), 3),
         "plane_clip_cases": _mesh(lambda f, v: M.clip_cases(f, v, PLANE, 25.5)),
-        "plane_crossings": _mesh(lambda f, v: rounded(M.plane_crossings(f, v, PLANE, 25.5), *xyz)),
+        "plane_crossings": _mesh(lambda f, v: rounded(M.plane_crossings(f, v, PLANE, 25.5), *xyz, digits=10)),
         "section_segments": _mesh(lambda f, v: M.section_segments(f, v, PLANE, 25.5)),
         "loop_area": _loop_area,
         "topk_views": lambda s, d: rounded(_pairs(s, d), "score", digits=4),
@@ -250,7 +250,7 @@ def oracle_sql() -> dict:
         "taubin4": _q("SELECT vid, " + xyz.replace(",6)", ",10)") + " FROM s4", F_, E_, V_, vadj, *(_smooth_step(i, f) for i, f in enumerate([0.5, -0.53] * 2))),
         "kd_partition8": _q("SELECT id, part FROM k3", T.POINTS, "k0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS part FROM points)", *(_kd_step(i) for i in range(3))),
         "plane_clip_cases": _q("SELECT fid, above, CASE above WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS pieces FROM (SELECT fid, CAST(x0>25.5 AS INT)+CAST(x1>25.5 AS INT)+CAST(x2>25.5 AS INT) AS above FROM corner)", F_, V_, C_),
-        "plane_crossings": _q(f"SELECT u, v, {xyz} FROM cut", F_, E_, V_, cross),
+        "plane_crossings": _q("SELECT u, v, " + xyz.replace(",6)", ",10)") + " FROM cut", F_, E_, V_, cross),
         "section_segments": _q("SELECT fid, min((u,v))[1] AS u0, min((u,v))[2] AS w0, max((u,v))[1] AS u1, max((u,v))[2] AS w1 FROM sides JOIN cut USING (u, v) GROUP BY fid HAVING count(*) = 2", F_, E_, V_, cross),
         "loop_area": """WITH p AS (SELECT CAST(c_nationkey AS BIGINT) AS loop_id, c_custkey AS pos, c_acctbal/100 AS x, CAST(c_custkey % 37 AS DOUBLE) AS y FROM customer),
 q AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM p WINDOW w AS (PARTITION BY loop_id ORDER BY pos))

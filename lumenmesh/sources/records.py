@@ -123,7 +123,7 @@ def _records(kind: str):
 PARAMETERS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
 _SCHEMAS = {
     "images": "file string, image_id long, q array<double>, t array<double>, camera_id long, name string, points long",
-    "cameras": "file string, camera_id long, model int, width long, height long, params array<double>",
+    "cameras": "file string, camera_id long, model long, width long, height long, params array<double>",
 }
 
 
@@ -136,7 +136,9 @@ def reconstruction(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                yield pa.RecordBatch.from_pylist([dict(zip(names, (file, *r))) for r in read(data)] or []) if data[:8].strip(b"\0") else pa.RecordBatch.from_pylist([])
+                rows = [dict(zip(names, (file, *r))) for r in read(data)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCHEMAS[kind])
 

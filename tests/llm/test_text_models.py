@@ -184,7 +184,7 @@ def test_unigram_search_matches_brute(tmp_path):
             best.append(max(options, key=lambda o: o[0]))
         ids = pieces.encode_texts(m, [text])[0]
         got = sum(m.pieces[i][1] if i else m.lowest for i in ids)
-        assert math.isclose(got, best[-1][0], rel_tol=1e-9)
+        assert math.isclose(got, best[-1][0], rel_tol=1e-6)  # the file holds single precision
 
 
 def test_round_trip_edges(odd_docs, no_docs):

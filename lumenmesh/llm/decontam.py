@@ -47,10 +47,10 @@ def positions(of: str) -> Column:
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """seed, item (number of a distinct token sequence), the tokens to compare, and where the window is in them."""
     found = items.select(F.filter(tokens(F.col("text")), lambda t: t != "").alias("toks")).where(F.size("toks") >= SPAN).distinct()
-    at = found.select("toks", positions("toks").alias("at"))
+    at = found.select("toks", F.xxhash64("toks").alias("item")).select("toks", "item", positions("toks").alias("at"))
     lo = F.greatest(F.lit(0), F.col("at") - AROUND)
     region = F.slice("toks", lo + 1, F.col("at") + SPAN + AROUND - lo)
-    return at.select(F.explode(seeds("toks", "at")).alias("seed"), F.xxhash64("toks").alias("item"), region.alias("region"), (F.col("at") - lo).alias("lead"))
+    return at.select(F.explode(seeds("toks", "at")).alias("seed"), "item", region.alias("region"), (F.col("at") - lo).alias("lead"))
 
 
 def document_windows(docs: DataFrame) -> DataFrame:

@@ -21,11 +21,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.screen(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but from the first document that has them; so do documents of which no word is left.
-    n_chars, where there is such a column, is counted again for documents that lost lines."""
-    equip(spark)
-    cut = templates.drop_templates(docs)
+def _without_lines(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
+    """docs without recurring lines and without the documents of which no word is left; n_chars, where there is such a column,
+    is counted again for documents that lost lines."""
+    cut = templates.drop_templates(docs, min_docs)
     lost = F.col(f"`{cut.columns[-1]}`") > 0
     cut = cut.where(~lost | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return cut.select(*(
@@ -34,15 +33,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ))
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur in many documents go, but from the first document that has them; so do documents of which
+    no word is left. Long lines of fewer documents go in the next stage: cut here, copies would be left as scraps that are no
+    longer like their original."""
+    equip(spark)
+    return _without_lines(docs, templates.MIN_DOCS)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    """One document of each group of near-duplicates stays, that with the smallest doc_id; then long lines that two or more of
+    the documents left share go from all but the first of them."""
     equip(spark)
     rows, ids = docs.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows > ids:  # repeated rows
         docs = docs.dropDuplicates(["doc_id", "text"])
     found = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = written(found.where("NOT kept").select("doc_id"), "near-duplicates")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return _without_lines(docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A line is a list of words; a word with a digit in it is a variable field and parses as one wildcard. The tree has a
 fixed depth: token count, then the leading tokens; a leaf groups the lines that share both. Within a leaf the template
 is generalised over one further variable stretch: of the tokens after the leading ones, cut into thirds, all but one third
-must agree. A template (a whole masked line, or a leaf with one third left open) recurs if at least ``min_docs``
-documents have it; its lines are then dropped from all documents but the first one (smallest doc_id), which keeps them.
+must agree. A template (a whole masked line, or a leaf with one third left open) recurs if at least MIN_DOCS documents have
+it, a whole line of LEAST tokens or more from LONG_DOCS documents on; its lines are then dropped from all documents but the
+first one (smallest doc_id), which keeps them.
 
 Unlike an online tree, the result doesn't depend on the order of lines: keys of all lines are made in one pass over the
 text, and recurrence is counted by them, hot lines summed before any shuffle.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import _BASE, _BASE_INV, _powers, byte_texts, chunks, mix64, sliced, small, table, word_bounds, word_hashes, written
 
-MIN_DOCS = 5
+MIN_DOCS, LONG_DOCS = 5, 2
 #: Leading tokens that a leaf shares; lines shorter than LEAST tokens have whole-line templates only.
 LEAD, LEAST = 4, 10
 _WILD = np.uint64(0x5851F42D4C957F2D)
@@ -93,11 +94,13 @@ def line_keys(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, schema)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, line) of the lines to drop, once each."""
+def recurring_lines(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
+    """(doc_id, line) of the lines to drop, once each. min_docs, where given, holds for long lines too."""
+    long_docs, min_docs = (LONG_DOCS, MIN_DOCS) if min_docs is None else (min_docs, min_docs)
     keys = written(line_keys(docs), "line-keys")
-    whole = keys.where("first").groupBy("whole").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"))
-    whole = written(whole.where(F.col("docs") >= min_docs).select("whole", "keeper"), "line-templates")
+    whole = keys.where("first").groupBy("whole").agg(F.count("*").alias("docs"), F.count("leaf").alias("long"), F.min("doc_id").alias("keeper"))
+    whole = whole.where(F.col("docs") >= F.when(F.col("long") > 0, long_docs).otherwise(min_docs))
+    whole = written(whole.select("whole", "keeper"), "line-templates")
     leaves = keys.where("first AND leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("docs"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
     leaves = written(leaves.where((F.col("docs") >= min_docs) & F.expr("lo <> hi")).select("leaf"), "leaves")
     variants = keys.join(small(leaves), "leaf", "left_semi").select("doc_id", "line", "whole", F.explode(F.array("third0", "third1", "third2")).alias("third"))
@@ -108,7 +111,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return dropped.unionByName(more).distinct()
 
 
-def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_templates(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
     """The rows of docs, their text without recurring lines; appended last: n_lines and n_dropped (or, where docs has such
     columns, the same with underscores before)."""
     total, lost = "n_lines", "n_dropped"

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import corpus_pipeline
 from conftest import LONG, SF
 from pyspark.sql import functions as F
 
@@ -68,6 +69,17 @@ def test_line_templates_generalise(spark):
     assert templates.recurring_lines(df.where("doc_id < 4")).count() == 0
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    shared = " ".join(f"shared{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i // 26]}" for i in range(60))
+    own = [" ".join(f"{w}{c}" for c in "abcdefghijklmnopqrstuvwxyz" for w in (f"own{d}", f"more{d}")).translate(str.maketrans("123", "xyz")) for d in (1, 2, 3)]
+    rows = [(1, f"{own[0]}\n{shared}\na short line"), (2, f"{shared}\n{own[1]}\na short line"), (3, f"{own[2]}\na short line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in templates.recurring_lines(df).collect()} == {(2, 0)}
+    assert templates.recurring_lines(df, 5).count() == 0
+    out = {r.doc_id: r.text for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()}
+    assert out == {1: rows[0][1], 2: f"{own[1]}\na short line", 3: rows[2][1]}
+
+
 def test_line_templates_edges(odd_docs, no_docs):
     out = templates.drop_templates(odd_docs, 2)
     assert out.columns == [*odd_docs.columns, "_n_lines", "_n_dropped"] and out.count() == odd_docs.count()

@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree.
 
-A line is a list of words; a word with a digit in it is a variable field and parses as one wildcard. The tree has a
-fixed depth: token count, then the leading tokens; a leaf groups the lines that share both. Within a leaf the template
+A line is a list of words; a word with a digit in it is a variable field and parses as one wildcard, if the words compared
+have at least as many constants (words with a letter and no digit) as wildcards: rows of numbers have little else than their
+values and are compared by these. The tree has a fixed depth: token count, then the leading tokens; a leaf groups the lines that share both. Within a leaf the template
 is generalised over one further variable stretch: of the tokens after the leading ones, cut into thirds, all but one third
 must agree. A template (a whole masked line, or a leaf with one third left open) recurs if at least MIN_DOCS documents have
 it, a whole line of LEAST tokens or more from LONG_DOCS documents on; its lines are then dropped from all documents but the
@@ -37,7 +38,11 @@ def keys_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     starts, ends = word_bounds(flat)
     h = word_hashes(flat, starts, ends)
     digits = np.concatenate([[0], np.cumsum((flat >= 48) & (flat <= 57))])
-    h[digits[ends] > digits[starts]] = _WILD
+    # ASCII letters and lead bytes of others; C2 and E2 lead signs, dashes and currencies for the most part
+    lower = flat | 32
+    letters = np.concatenate([[0], np.cumsum((lower >= 97) & (lower <= 122) & (flat < 128) | (flat >= 0xC3) & (flat != 0xE2))])
+    wild = digits[ends] > digits[starts]
+    excess = np.concatenate([[0], np.cumsum(((letters[ends] > letters[starts]) & ~wild).astype(np.int64) - wild)])
     line_ends = np.flatnonzero(flat == 10)
     of_text = np.cumsum([0, *(len(t) + 1 for t in texts)])
     line_text = np.searchsorted(of_text, line_ends, "right") - 1
@@ -46,23 +51,31 @@ def keys_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     lo, hi = first[:-1], first[1:]
     full = np.flatnonzero(hi > lo)
     lo, hi = lo[full], hi[full]
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _powers(_BASE, len(h)), out=total[1:])
     back = _powers(_BASE_INV, len(h) + 1)
-
-    def part(a, b):
-        return (total[b] - total[a]) * back[a]
-
     n = hi - lo
-    whole = mix64(part(lo, hi) + n.astype(np.uint64))
     long = n >= LEAST
     head = lo + np.minimum(LEAD, n)
-    leaf = np.where(long, mix64(part(lo, head) * np.uint64(3) + n.astype(np.uint64)), np.uint64(0))
     cuts = [head + (hi - head) * k // 3 for k in range(4)]
-    thirds = [
-        np.where(long, mix64(mix64(leaf + np.uint64(k + 1)) + mix64(part(head, cuts[k]) + np.uint64(1)) * np.uint64(5) + part(cuts[k + 1], hi)), np.uint64(0))
-        for k in range(3)
-    ]
+
+    def keys(h):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * _powers(_BASE, len(h)), out=total[1:])
+
+        def part(a, b):
+            return (total[b] - total[a]) * back[a]
+
+        leaf = np.where(long, mix64(part(lo, head) * np.uint64(3) + n.astype(np.uint64)), np.uint64(0))
+        thirds = [
+            np.where(long, mix64(mix64(leaf + np.uint64(k + 1)) + mix64(part(head, cuts[k]) + np.uint64(1)) * np.uint64(5) + part(cuts[k + 1], hi)), np.uint64(0))
+            for k in range(3)
+        ]
+        return mix64(part(lo, hi) + n.astype(np.uint64)), leaf, thirds
+
+    literal, _, literal_thirds = keys(h)
+    masked, leaf, thirds = keys(np.where(wild, _WILD, h))
+    of_line = excess[hi] - excess[lo]
+    whole = np.where(of_line >= 0, masked, literal)
+    thirds = [np.where(of_line - (excess[cuts[k + 1]] - excess[cuts[k]]) >= 0, thirds[k], literal_thirds[k]) for k in range(3)]
     text = line_text[full]
     order = np.lexsort((np.arange(len(full)), whole, text))
     new = np.ones(len(full), bool)

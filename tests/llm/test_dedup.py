@@ -80,6 +80,12 @@ def test_long_lines_recur_from_two_documents(spark):
     assert out == {1: rows[0][1], 2: f"{own[1]}\na short line", 3: rows[2][1]}
 
 
+def test_rows_of_numbers_are_compared_by_value(spark):
+    rows = [(i, f"{i}2 {i}4\n| {i}1.5 | {i}7 |\nBerlin {i} 2{i} 3{i}\n€ {i} – {i}3\n" + " ".join(f"{i}{j}" for j in range(12)) + f"\n12 34\nPage {i} of 90") for i in range(1, 7)]
+    got = {tuple(r) for r in templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, line) for i in range(2, 7) for line in (5, 6)}
+
+
 def test_line_templates_edges(odd_docs, no_docs):
     out = templates.drop_templates(odd_docs, 2)
     assert out.columns == [*odd_docs.columns, "_n_lines", "_n_dropped"] and out.count() == odd_docs.count()

@@ -16,14 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LIBC = ctypes.CDLL(None)
+if hasattr(_LIBC, "mallopt"):
+    # arrays from 1 MB on go back to the system when freed (M_MMAP_THRESHOLD), and threads share an arena (M_ARENA_MAX)
+    _LIBC.mallopt(-3, 1 << 20)
+    _LIBC.mallopt(-8, 1)
 #: White space that separates words: space and \x09-\x0D.
 SPACE = "[\\x20\\x09-\\x0D]"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Rows whose keys may be broadcast; beyond it, the joins below are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that one vectorised step works on; longer texts are worked on in parts.
+CHUNK_BYTES = 1 << 18
+#: Rows of one key in one task of a `dealt` join.
+HOT_ROWS = 2000
 
 
 def put(spark: SparkSession, name: str, data: bytes) -> str:
@@ -65,19 +71,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where none is named."""
+    """The folder that driver and executors share. Where none is named, a session on one machine gets one of its own; on a
+    cluster that is an error, as a local folder isn't shared."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, cut from its lineage by a table in the shared folder."""
+    """df, cut from its lineage by a table in the shared folder, which is deleted when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +97,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has few rows of a key, where a key may hold a large part of many.
+
+    counts: (keys, `rows`) of many, at least for the keys with most rows. Keys of more than HOT_ROWS rows (or of so many that
+    there are half a million such keys at most) are dealt, by the column `by`, over as many tasks as they need; one's rows
+    are copied for these. Only the list of such keys is broadcast."""
+    hot = written(counts.where(F.col("rows") > HOT_ROWS).select(*keys, F.col("rows").alias("_rows")), "hot-keys")
+    n, rows = hot.agg(F.count("*"), F.sum("_rows")).first()
+    if not n:
+        return many.join(one, keys, how)
+    most = HOT_ROWS if n <= 500_000 else rows // 500_000 + 1
+    hot = hot.where(F.col("_rows") > most).select(*keys, F.ceil(F.col("_rows") / most).cast("int").alias("_deals"))
+    hot = F.broadcast(hot)
+    deals = F.coalesce("_deals", F.lit(1))
+    left = many.join(hot, keys, "left").withColumn("_deal", F.pmod(F.xxhash64(by), deals).cast("int")).drop("_deals")
+    right = one.join(hot, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+    return left.join(right, [*keys, "_deal"], how).drop("_deal")
+
+
+def text_print(c: Column) -> list[Column]:
+    """Two 64-bit prints of a text, which tell rows of one doc_id apart."""
+    return [F.xxhash64(c).alias("_p"), F.xxhash64(F.lit(1), c).alias("_q")]
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; -1 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % n, F.lit(-1))
@@ -113,6 +148,20 @@ def chunks(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def parts(text: bytes, most: int = CHUNK_BYTES, ends: bytes = b" \t\n\v\f\r") -> list[bytes]:
+    """A long text in parts of about `most` bytes that end after one of `ends` (where there is one), so that no word is cut;
+    together they are the text."""
+    out, at = [], 0
+    while len(text) - at > 2 * most:
+        cut = max(text.rfind(bytes([c]), at + 1, at + most) for c in ends) + 1
+        if not cut:
+            later = [x for x in (text.find(bytes([c]), at + most) for c in ends) if x >= 0]
+            cut = min(later) + 1 if later else len(text)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
 def sliced(batches, rows: int = 1000):
     """Batches of so many rows at most, so that few texts are copied at a time; at the end the worker gives free memory back,
     as it lives on for other tasks."""

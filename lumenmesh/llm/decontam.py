@@ -5,12 +5,14 @@ every position of documents and benchmark items; equal hashes are hits. Around a
 masked window and 3 tokens on both sides, as far as the item goes) are compared in place with the document: the overlap
 counts if at least 75 % of them are equal, and at least 10 were compared, so substituted tokens are tolerated.
 
-The benchmark's windows are broadcast after their number has been checked; beyond the bound hits come from a shuffled
-join. In the broadcast plan the hashes are made and probed within one generated loop over the tokens of a document.
-
-Defined cases: null and empty texts, and texts and items under 10 tokens, have no window and match nothing; repeated items
-are compared once and reported each; repeated rows of a document give the same result once; a null doc_id is reported as
-null; other columns are ignored.
+The benchmark's windows are broadcast after their number has been checked; beyond the bound the same hits come from a
+shuffled join, in which seeds that very many positions share are dealt over several tasks. In the broadcast plan the hashes
+are made and probed within one generated loop over the tokens of a document.
+
+Defined cases: null and empty texts, and texts and items under 10 tokens, have no window and match nothing; a very long text
+is one array of tokens, in memory by a few times its size; repeated items are compared once and reported each; of several
+texts of a doc_id, a null one too, the best overlap is reported, each text being compared by itself; of equally good
+overlaps there is one row; repeated rows of a document give the same result once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import dealt, small, table, text_print, written
 
 MASKS = ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 9))
 SPAN = 10
@@ -32,7 +34,7 @@ BROADCAST_WINDOWS = 200_000
 
 
 def tokens(text: Column) -> Column:
-    return F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
 def seeds(of: str, at: str) -> Column:
@@ -46,16 +48,21 @@ def positions(of: str) -> Column:
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """seed, item (number of a distinct token sequence), the tokens to compare, and where the window is in them."""
-    found = items.select(F.filter(tokens(F.col("text")), lambda t: t != "").alias("toks")).where(F.size("toks") >= SPAN).distinct()
+    found = items.select(tokens(F.col("text")).alias("toks")).where(F.size("toks") >= SPAN).distinct()
     at = found.select("toks", F.xxhash64("toks").alias("item")).select("toks", "item", positions("toks").alias("at"))
     lo = F.greatest(F.lit(0), F.col("at") - AROUND)
     region = F.slice("toks", lo + 1, F.col("at") + SPAN + AROUND - lo)
     return at.select(F.explode(seeds("toks", "at")).alias("seed"), "item", region.alias("region"), (F.col("at") - lo).alias("lead"))
 
 
-def document_windows(docs: DataFrame) -> DataFrame:
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("doc_toks"))
-    return toks.select("doc_id", "doc_toks", positions("doc_toks").alias("pos")).select("doc_id", "doc_toks", "pos", F.explode(seeds("doc_toks", "pos")).alias("seed"))
+def document_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, the prints of the text, and its tokens; texts without a window are left out."""
+    return docs.select("doc_id", *text_print(F.col("text")), tokens(F.col("text")).alias("doc_toks"))
+
+
+def document_windows(toks: DataFrame) -> DataFrame:
+    at = toks.select("doc_id", "_p", "_q", "doc_toks", positions("doc_toks").alias("pos"))
+    return at.select("doc_id", "_p", "_q", "doc_toks", "pos", F.explode(seeds("doc_toks", "pos")).alias("seed"))
 
 
 def _rank() -> Column:
@@ -70,18 +77,25 @@ def _rank() -> Column:
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, compared, similarity): the best confirmed overlap of each document and item."""
-    windows = benchmark_windows(items)
+    windows, toks = benchmark_windows(items), document_tokens(docs)
     if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        hits = document_windows(docs).join(F.broadcast(windows), "seed")
+        hits = document_windows(toks).join(F.broadcast(windows), "seed")
     else:
-        hits = document_windows(docs).select("doc_id", "pos", "seed").join(windows, "seed").drop("seed")
-        toks = docs.select("doc_id", tokens(F.col("text")).alias("doc_toks"))
-        hits = hits.distinct().join(toks, "doc_id")
+        # hits first, without tokens; then each hit of a text meets the tokens of that very text
+        windows = written(windows, "windows")
+        keys = ["doc_id", "_p", "_q"]
+        found = document_windows(toks).select(*keys, "pos", "seed")
+        known = windows.groupBy("seed").agg(F.count("*").alias("of"))
+        rows = found.join(known, "seed").groupBy("seed").agg(F.count("*").alias("rows"))
+        found = written(dealt(found, windows, ["seed"], rows, "pos").drop("seed").distinct(), "hits")
+        # equal texts of a doc_id (null ones too) are compared once
+        once = toks.where(F.size("doc_toks") >= SPAN).groupBy(*keys).agg(F.any_value("doc_toks").alias("doc_toks"))
+        hits = found.alias("f").join(once.alias("t"), F.expr("f.doc_id <=> t.doc_id AND f._p = t._p AND f._q = t._q")).select("f.*", "t.doc_toks")
     best = hits.groupBy("doc_id", "item").agg(F.max(_rank()).alias("rank"))
     best = best.select(
         "doc_id", "item", F.shiftright(F.col("rank"), 5).bitwiseAND(31).alias("matched"), F.col("rank").bitwiseAND(31).alias("compared")
     ).where(F.col("matched") >= F.col("compared") * SHARE)
-    named = items.select("item_id", F.xxhash64(F.filter(tokens(F.col("text")), lambda t: t != "")).alias("item")).distinct()
+    named = items.select("item_id", F.xxhash64(tokens(F.col("text"))).alias("item")).distinct()
     out = best.join(named, "item")
     return out.select("doc_id", "item_id", "matched", "compared", (F.col("matched") / F.col("compared")).alias("similarity"))
 

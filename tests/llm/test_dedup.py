@@ -7,7 +7,8 @@ import corpus_pipeline
 from conftest import LONG, SF
 from pyspark.sql import functions as F
 
-from lumenmesh.llm import decontam, graph, minhash, templates
+from lumenmesh.llm import common, decontam, minhash, templates
+from lumenmesh.operators import graph
 
 
 def rows_of(df):
@@ -48,16 +49,81 @@ def test_near_duplicates_edges(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Each text of a doc_id is judged by itself; repeated rows, also very many, change nothing."""
+    rng = random.Random(8)
+    texts = [[f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "ab"]
+    a, b = " ".join(texts[0]), " ".join(texts[1])
+    near = [" ".join([*t[:-2], "x", "y"]) for t in texts]
+    rows = [(1, a), (5, near[0]), (5, b), (9, near[1]), (None, b), (None, None), (5, b)]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (9, 5, False)]
+
+
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """Groups of copies that are dealt over many tasks give what they give whole."""
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    rng = random.Random(6)
+    seed = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+    rows = [(i, " ".join(seed)) for i in range(40)]
+    for i in range(100, 220):
+        w = list(seed)
+        for j in rng.sample(range(100), rng.randrange(1, 6)):
+            w[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    want = brute.near_duplicates(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_sets_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"word{i % 977} and{i % 31}" for i in range(20_000)).encode()
+    odd = [text, b" " * 5000 + b"one two three" + b"\n" * 5000, b"z" * 200_000 + b" " + b"y" * 200_000, b" " * 9000, text[:5000] + b"z" * 100_000 + text[:5000]]
+    whole = list(minhash.shingle_sets(odd))
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(minhash, "parts", lambda t: common.parts(t, 1000))
+    cut = [next(minhash.shingle_sets([t])) for t in odd]
+    assert [x.tolist() for x in cut] == [x.tolist() for x in whole]
+    assert [len(x) for x in whole[1:4]] == [1, 1, 0]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {501: 500}
 
 
-def test_line_templates_match_brute(docs):
+def dropped(docs, min_docs=None):
+    return templates.recurring_lines(docs, min_docs).select("doc_id", "line").collect()
+
+
+def test_line_templates_match_brute(docs, monkeypatch):
     for min_docs in (2, 5):
-        got = {tuple(r) for r in templates.recurring_lines(docs, min_docs).collect()}
+        got = {tuple(r) for r in dropped(docs, min_docs)}
         assert got == brute.template_drops(rows_of(docs), min_docs)
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert {tuple(r) for r in dropped(docs, 2)} == brute.template_drops(rows_of(docs), 2)
+
+
+def test_lines_belong_to_a_text_not_to_an_id(spark):
+    shared = "shared line of all"
+    rows = [(i, f"{shared}\nown words {'abcdefgh'[i]} alone") for i in range(1, 7)] + [(5, "precious unique first line\nanother unique one"), (None, shared), (None, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.text) for r in templates.drop_templates(df).collect())
+    assert out == sorted([(1, rows[0][1]), (5, rows[6][1]), (0, shared), (0, shared)] + [(i, rows[i - 1][1].split("\n")[1]) for i in range(2, 7)])
+    alone = spark.createDataFrame([(3, shared)] * 9, "doc_id long, text string")
+    assert not dropped(alone)
+
+
+def test_line_keys_of_long_texts_in_parts(monkeypatch):
+    text = "\n".join(f"line {i % 50} of some words that go on {i % 7} and on until the end\n" for i in range(400)).encode()
+    whole = templates.keys_of([b"one\ntwo", text, b"", b"x\n" * 3])
+    monkeypatch.setattr(templates, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(templates, "parts", lambda t, ends: common.parts(t, 500, ends))
+    monkeypatch.setattr(templates, "chunks", lambda t: common.chunks(t, 500))
+    cut = templates.keys_of([b"one\ntwo", text, b"", b"x\n" * 3])
+    assert all((whole[c] == cut[c]).all() for c in whole) and len(whole["text"]) == 2 + 400 + 3
 
 
 def test_line_templates_generalise(spark):
@@ -74,15 +140,15 @@ def test_long_lines_recur_from_two_documents(spark):
     own = [" ".join(f"{w}{c}" for c in "abcdefghijklmnopqrstuvwxyz" for w in (f"own{d}", f"more{d}")).translate(str.maketrans("123", "xyz")) for d in (1, 2, 3)]
     rows = [(1, f"{own[0]}\n{shared}\na short line"), (2, f"{shared}\n{own[1]}\na short line"), (3, f"{own[2]}\na short line")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in templates.recurring_lines(df).collect()} == {(2, 0)}
-    assert templates.recurring_lines(df, 5).count() == 0
+    assert {tuple(r) for r in dropped(df)} == {(2, 0)}
+    assert not dropped(df, 5)
     out = {r.doc_id: r.text for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()}
     assert out == {1: rows[0][1], 2: f"{own[1]}\na short line", 3: rows[2][1]}
 
 
 def test_rows_of_numbers_are_compared_by_value(spark):
     rows = [(i, f"{i}2 {i}4\n| {i}1.5 | {i}7 |\nBerlin {i} 2{i} 3{i}\n€ {i} – {i}3\n" + " ".join(f"{i}{j}" for j in range(12)) + f"\n12 34\nPage {i} of 90") for i in range(1, 7)]
-    got = {tuple(r) for r in templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {tuple(r) for r in dropped(spark.createDataFrame(rows, "doc_id long, text string"))}
     assert got == {(i, line) for i in range(2, 7) for line in (5, 6)}
 
 
@@ -120,6 +186,31 @@ def test_overlaps_tolerate_substitution(spark):
     assert {r.doc_id for r in decontam.decontaminate(docs, items).collect()} == {2, 4}
 
 
+def test_overlaps_of_shared_and_null_ids(spark, monkeypatch):
+    """Quotes and signs around a passage change nothing; each text of a doc_id, null or not, is compared by itself."""
+    item = " ".join(f"token{c}" for c in "abcdefghij")
+    twisted = item.replace("tokene", "x").replace("tokeni", "y")
+    rows = [(1, twisted), (2, f'"{twisted}."'), (5, "nothing of it"), (5, f"« {item} »"), (None, item), (None, "other words"), (None, item), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "( " + item + " )")], "item_id long, text string")
+    want = {(d, i): n for d, n in ((1, (8, 10)), (2, (8, 10)), (5, (10, 10)), (None, (10, 10))) for i in (1, 2)}
+    assert {k: v for k, v in brute.benchmark_overlaps(rows, [(1, item), (2, item)]).items()} == want
+    for bound, hot in ((200_000, 2000), (1, 2000), (1, 1)):
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", bound)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = decontam.overlaps(docs, items).collect()
+        assert {(r.doc_id, r.item_id): (r.matched, r.compared) for r in got} == want and len(got) == len(want)
+
+
+def test_pipeline_stage_of_shared_and_null_ids(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(40)) for x in "abc")
+    rows = [(None, a, 1), (None, a, 1), (1, b, 2), (1, b, 1), (2, b, 5), (2, c, 5), (3, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=str)
+
+
 def test_overlaps_edges(odd_docs, no_docs):
     items = odd_docs.select(F.col("doc_id").alias("item_id"), "text")
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(odd_docs, items).collect()}

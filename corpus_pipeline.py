@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
 of documents. `run` writes each stage's result to the shared folder and reads it again for the next one.
 
-Rows with a null text are kept by every stage and have no ids in the end; rows that share a doc_id count as one document
-where a stage decides by doc_id; further columns pass through.
+Rows with a null text are kept by every stage and have no ids in the end. Rows that share a doc_id and a text count as one
+document from near-dedup on; texts of one doc_id are otherwise judged each, but all go if one of them overlaps a benchmark
+item. Rows of a null doc_id are never dropped as copies. Without labels of both kinds nothing is toxic, without benchmark items
+nothing is contaminated; further columns pass through.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenmesh.llm import decontam, minhash, pieces, templates, toxicity
-from lumenmesh.llm.common import equip, small, table, written
+from lumenmesh.llm.common import equip, small, table, text_print, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +43,28 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _without_lines(docs, templates.MIN_DOCS)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that share a doc_id and a text: the least by their columns. Rows of a null doc_id and of
+    doc_ids that aren't repeated pass by."""
+    rows, ids = docs.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    single = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").join(small(again), "doc_id", "left_anti").select(*docs.columns))
+    repeated = docs.join(small(again), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), *text_print(F.col("text")), F.struct(*docs.columns).alias("_row"))
+    return single.unionByName(repeated.groupBy("_id", "_p", "_q").agg(F.min("_row").alias("_row")).select("_row.*"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id; then long lines that two or more of
-    the documents left share go from all but the first of them."""
+    the documents left share go from all but the first of them. Texts that share a doc_id are judged each."""
     equip(spark)
-    rows, ids = docs.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows > ids:  # repeated rows
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    found = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = written(found.where("NOT kept").select("doc_id"), "near-duplicates")
-    return _without_lines(docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns))
+    docs = _once(docs)
+    gone = minhash.judged(docs).where("doc_id <> component_id").select("doc_id", "_p", "_q").distinct()
+    gone = written(gone, "near-duplicates")
+    prints = text_print(F.col("text"))
+    left = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", *prints).join(small(gone), ["doc_id", "_p", "_q"], "left_anti")
+    return _without_lines(left.select("_row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

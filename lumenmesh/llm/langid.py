@@ -5,8 +5,8 @@ between the languages whose bit is 1 and those whose bit is 0); decoding picks t
 logistic loss, where the weight of a bit for a language is how often the bit's classifier was right on it.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; without any learnable row every text
-is ``und``; ties go to the alphabetically first language; a null doc_id counts as not held out; other columns of
-the input are ignored.
+is ``und``; ties go to the alphabetically first language; a null doc_id counts as not held out; repeated rows are
+predicted alike; a very long text is read in parts that overlap by an n-gram; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, crc_mod, sliced, table, written
+from .common import CHUNK_BYTES, byte_texts, chunks, crc_mod, sliced, table, written
 
 ORDERS, BUCKETS = 4, 1 << 13
 #: Expected number of documents per language that the classifiers are fitted on.
@@ -65,19 +65,28 @@ def ngrams(texts: list[bytes]):
 def bit_scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Tempered log-odds of every bit for every text."""
     out = np.zeros((len(texts), weights.shape[1]))
-    for a, b in chunks(texts, 1 << 19):
-        grams, starts, lengths = ngrams(texts[a:b])
-        inside = np.repeat(np.arange(b - a), lengths)
-        at = np.arange(len(inside)) + inside * (ORDERS - 1)
-        full = np.flatnonzero(lengths)
-        if not len(full):
-            continue
-        first = (starts - np.arange(b - a) * (ORDERS - 1))[full]
-        for g in grams:
-            out[a + full] += np.add.reduceat(weights[g[at]], first, axis=0)
+    for a, b in chunks(texts):
+        if b - a == 1:
+            out[a] = sum(_bit_sums([texts[a][i : i + CHUNK_BYTES + ORDERS - 1]], weights, CHUNK_BYTES)[0] for i in range(0, len(texts[a]), CHUNK_BYTES))
+        else:
+            out[a:b] = _bit_sums(texts[a:b], weights)
     return out * TEMPER
 
 
+def _bit_sums(texts: list[bytes], weights: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Sums over the n-grams that begin at the bytes of each text, of the first `most` bytes where that is given."""
+    out = np.zeros((len(texts), weights.shape[1]))
+    grams, starts, lengths = ngrams(texts)
+    inside = np.repeat(np.arange(len(texts)), lengths)
+    at = np.arange(len(inside)) + inside * (ORDERS - 1)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        first = (starts - np.arange(len(texts)) * (ORDERS - 1))[full]
+        for g in grams:
+            out[full] += np.add.reduceat(weights[g[at[:most]]], first, axis=0)
+    return out
+
+
 def decode(scores: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
     """Probability of every language from the weighted logistic losses to its codeword."""
     z = np.clip(scores[:, None, :] * code[None, :, :], -500, 500)
@@ -107,11 +116,15 @@ def fit(train: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dic
         for batch in sliced(batches):
             texts, cls = byte_texts(batch.column("text")), batch.column("cls").to_numpy()
             for a, b in chunks(texts):
-                grams, starts, lengths = ngrams(texts[a:b])
-                inside = np.repeat(np.arange(b - a), lengths)
-                at = np.arange(len(inside)) + inside * (ORDERS - 1)
-                for g in grams:
-                    sums += np.bincount(cls[a:b][inside] * BUCKETS + g[at], minlength=n * BUCKETS).reshape(n, BUCKETS)
+                step = CHUNK_BYTES if b - a == 1 else max(1, max(map(len, texts[a:b])))
+                for i in range(0, max(1, len(texts[a])) if b - a == 1 else 1, step):  # a long text is counted in parts
+                    grams, starts, lengths = ngrams([t[i : i + step + ORDERS - 1] for t in texts[a:b]])
+                    inside = np.repeat(np.arange(b - a), lengths)
+                    at = np.arange(len(inside)) + inside * (ORDERS - 1)
+                    if b - a == 1:
+                        inside, at = inside[:step], at[:step]
+                    for g in grams:
+                        sums += np.bincount(cls[a:b][inside] * BUCKETS + g[at], minlength=n * BUCKETS).reshape(n, BUCKETS)
         c, f = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"cls": c.astype(np.int32), "feature": f.astype(np.int32), "n": sums[c, f]})
 

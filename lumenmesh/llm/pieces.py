@@ -8,7 +8,8 @@ Unigram models maximise the sum of scores. BPE models have no sums to maximise:
 neighbouring pieces are what merging their joined characters by rank gives; exactly one such path ends at each position,
 and it is the merge result, so the ids equal the library's. Characters outside the vocabulary become byte pieces.
 
-Pieces never reach across a word start (checked on loading), so words are searched one by one and remembered.
+Every text runs whole through one `Stream`. Pieces never reach across a word start (checked on loading), so there all paths
+have met: the stream commits, and what it found for a stretch between two such boundaries is remembered for the next time.
 
 Defined cases: null and empty texts have no ids; U+2581 counts as a space, as in the library, so it decodes to one; control
 strings such as ``<s>`` in a text are ordinary characters; repeated rows are encoded alike; a null doc_id is kept; other
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,11 @@ from .common import chunks, sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words that a Python worker remembers before it forgets those not seen again; a bound on memory, not on what is encoded.
-REMEMBERED = 300_000
+#: What a Python worker remembers: bytes of words of one generation of two, pairs of pieces, characters that no piece is.
+#: These bound memory, not what is encoded.
+REMEMBERED, FITS, STRANGE = 14 << 20, 250_000, 10_000
+#: Characters that a stream is fed at a time.
+BLOCK = 1 << 16
 UNKNOWN_PENALTY = 10.0
 #: Two places in one number; the place that stands for the start of a text.
 SHIFT = 32
@@ -87,6 +92,23 @@ class Model:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = self.widest = 0
+        #: What a stretch ends before.
+        self.stops = MARK + alone
+
+    def remember(self, word: str, ids: bytes) -> None:
+        self.held += 150 + 2 * len(word) + len(ids)
+        self.seen[word] = ids
+
+    def forget(self) -> None:
+        """Keeps what is remembered within bounds: words not seen again for a generation go."""
+        if self.held > REMEMBERED:
+            self.seen, self.older, self.held = {}, self.seen, 0
+        if len(self.fits) > FITS:
+            self.fits = {}
+        if len(self.strange) > STRANGE:
+            del self.names[len(self.pieces) :]
+            self.strange, self.fits = {}, {}
 
     def _raw(self, i: int) -> bytes:
         text, _, kind = self.pieces[i]
@@ -136,21 +158,90 @@ class Model:
 
 
 class Stream:
-    """One search: feed characters, take committed ids. Position i of the held text has the start `back[i]` and the place
-    `last[i]` of the piece that ends there."""
+    """One streaming search over a whole text: feed characters, take committed ids, finish.
+
+    Held are only the characters after the last committed boundary: position i of them has the start `back[i]` and the place
+    `last[i]` of the piece that ends there. A boundary is committed as soon as the paths of all positions from which a later
+    piece could start meet in it. Where a word starts that is known beforehand, as no piece reaches across (checked on
+    loading): the only position left is the start itself. The search from one such boundary to the next depends on the
+    characters between alone, so what it gave for a stretch is remembered and taken again. Inside of a stretch beyond
+    2 * longest characters the backpointers of the last `longest` positions are followed to where they meet.
+
+    `widest` is the most characters this search held uncommitted, `commits` the number of boundaries it committed."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.text, self.back, self.last, self.best = model, "", [0], [START], [0.0]
+        self.m, self.ahead, self.marks, self.widest, self.commits = model, "", False, 0, 0
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.text, self.back, self.last, self.best = "", [0], [START], [0.0]
+
+    def feed(self, text: str) -> list[bytes]:
+        """The ids (packed as 32-bit integers) that are sure after these characters."""
+        m = self.m
+        if m.splitter is None:
+            return [self.search(text)]
+        out: list[bytes] = []
+        if self.text:  # within a long stretch: up to its end, which marks at its beginning are not
+            n = len(text) - len(text.lstrip(MARK)) if self.marks else 0
+            self.marks = self.marks and n == len(text)
+            n = min((i for i in (text.find(c, n) for c in m.stops) if i >= 0), default=len(text))
+            out.append(self.search(text[:n]))
+            if n == len(text):
+                return out
+            out.append(self.close())
+            text = text[n:]
+        words = m.splitter.findall(self.ahead + text)
+        self.ahead = words.pop() if words else ""
+        out += self.take(words)
+        if len(self.ahead) > 2 * m.longest:
+            self.ahead, text = "", self.ahead
+            self.marks = not text.strip(MARK)
+            out.append(self.search(text))
+        return out
 
-    def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        step = 2 * self.m.longest
+    def finish(self) -> list[bytes]:
+        if self.text:
+            return [self.close()]
+        words = self.m.splitter.findall(self.ahead) if self.m.splitter else []
+        self.ahead = ""
+        return self.take(words)
+
+    def take(self, words: list[str]) -> list[bytes]:
+        """Commits whole stretches."""
+        self.commits += len(words)
+        try:
+            return list(map(self.m.seen.__getitem__, words))
+        except KeyError:
+            learn(self.m, set(words))
+            return list(map(self.m.seen.__getitem__, words))
+
+    def go_on(self, word: str, before: str) -> bytes:
+        """The ids of a stretch, searched from what it shares with the one before."""
+        n = len(commonprefix((word, before)))
+        self.text = word[:n]
+        del self.back[n + 1 :], self.last[n + 1 :], self.best[n + 1 :]
+        self._advance(word[n:])
+        return self._path(len(word))
+
+    def search(self, text: str) -> bytes:
+        """Searches on through a stretch; the ids up to where all paths meet."""
+        out, step = b"", 2 * self.m.longest
         for i in range(0, len(text), step):
-            (self._merge if self.m.bpe else self._maximise)(text[i : i + step])
+            self._advance(text[i : i + step])
             if len(self.text) > step:
                 out += self._commit()
         return out
 
+    def close(self) -> bytes:
+        """The rest of a stretch: its end is the one position left."""
+        return self._committed(len(self.text))
+
+    def _advance(self, more: str) -> None:
+        (self._merge if self.m.bpe else self._maximise)(more)
+        if len(self.text) > self.widest:
+            self.widest = len(self.text)
+
     def _merge(self, more: str) -> None:
         m, back, last = self.m, self.back, self.last
         ends3, ends2, ends1, ids, fits, allowed = m.ends3.get, m.ends2.get, m.ends1, m.ids.get, m.fits.get, m.allowed
@@ -187,77 +278,79 @@ class Stream:
             last.append(m.place(text[end - 1]) if which is None else which)
             best.append(top)
 
-    def _path(self, end: int) -> list[int]:
+    def _path(self, end: int) -> bytes:
         places = []
         while end:
             places.append(self.last[end])
             end = self.back[end]
-        out: list[int] = []
+        places.reverse()
         few = len(self.m.pieces)
-        for p in reversed(places):
-            if p < few:
-                out.append(p)
-            else:
-                out += self.m.emit(p)
-        return out
+        if places and max(places) >= few:
+            places = [i for p in places for i in ((p,) if p < few else self.m.emit(p))]
+        return array("i", places).tobytes()
 
-    def _commit(self) -> list[int]:
+    def _commit(self) -> bytes:
         """Ids up to the last boundary that all paths a later piece can follow have in common."""
         alive = set(range(max(0, len(self.text) - self.m.longest + 1), len(self.text) + 1))
         while len(alive) > 1:
             top = max(alive)
             alive.discard(top)
             alive.add(self.back[top])
-        cut = alive.pop()
+        return self._committed(alive.pop())
+
+    def _committed(self, cut: int) -> bytes:
+        """Ids up to a boundary; what is before it is forgotten."""
         if not cut:
-            return []
+            return b""
         out = self._path(cut)
+        self.commits += 1
+        if cut == len(self.text):
+            self._fresh()
+            return out
         self.text, self.back, self.last = self.text[cut:], [max(0, b - cut) for b in self.back[cut:]], self.last[cut:]
         if not self.m.bpe:
             self.best = [s - self.best[cut] for s in self.best[cut:]]
         return out
 
-    def finish(self) -> list[int]:
-        return self._path(len(self.text))
 
-
-def learn_words(model: Model, words: set[str]) -> None:
-    """Searches words and remembers their ids. In sorted order a word goes on from what it shares with the one before."""
+def learn(model: Model, words: set[str]) -> None:
+    """Searches the stretches that aren't remembered; in sorted order one goes on from what it shares with the one before."""
+    model.forget()
     search, before = Stream(model), ""
-    for word in sorted(words):
-        if len(word) > 2 * model.longest:
-            alone = Stream(model)
-            model.seen[word] = array("i", alone.feed(word) + alone.finish()).tobytes()
-            continue
-        n = 0
-        for a, b in zip(word, before):
-            if a != b:
-                break
-            n += 1
-        search.text = word[:n]
-        del search.back[n + 1 :], search.last[n + 1 :], search.best[n + 1 :]
-        search.feed(word[n:])
-        model.seen[word] = array("i", search.finish()).tobytes()
-        before = word
+    for word in sorted(w for w in words if w not in model.seen):
+        ids = model.older.get(word)
+        if ids is None and len(word) > 2 * model.longest:
+            search._fresh()
+            ids, before = search.search(word) + search.close(), ""
+        elif ids is None:
+            ids, before = search.go_on(word, before), word
+        model.remember(word, ids)
+    model.widest = max(model.widest, search.widest)
+
+
+def encode_text(model: Model, text: str | None, step: int = BLOCK) -> tuple[bytes, Stream]:
+    """The ids of a whole text, streamed through one search, and the search."""
+    stream = Stream(model)
+    if not text:
+        return b"", stream
+    out = []
+    for i in range(0, len(text), step):
+        part = text[i : i + step].replace(" ", MARK)
+        out += stream.feed((MARK if model.prefix and not i else "") + part)
+    return b"".join(out + stream.finish()), stream
 
 
 def encode_texts(model: Model, texts: list) -> list[np.ndarray]:
-    """The ids of whole texts."""
+    """The ids of whole texts, each streamed; what the texts of a chunk have in common is searched once beforehand."""
     out: list[np.ndarray] = []
     mark = MARK if model.prefix else ""
-    full = [t or "" for t in texts]
-    for a, b in chunks(full, 1 << 21):
-        marked = [(mark + t.replace(" ", MARK)) if t else "" for t in full[a:b]]
-        split = [[t] if model.splitter is None else model.splitter.findall(t) for t in marked]
-        words = set().union(*split)
-        if len(model.seen) > REMEMBERED // 2:
-            model.seen, model.older = {}, model.seen
-        fresh = words - model.seen.keys()
-        again = fresh & model.older.keys()
-        model.seen.update((w, model.older[w]) for w in again)
-        learn_words(model, fresh - again)
-        seen = model.seen
-        out += [np.frombuffer(b"".join([seen[w] for w in ws]), np.int32) for ws in split]
+    for a, b in chunks([t or "" for t in texts], 1 << 21):
+        # texts of one block: all their stretches are known at once
+        short = {i: model.splitter.findall(mark + t.replace(" ", MARK)) for i, t in enumerate(texts[a:b]) if t and len(t) <= BLOCK} if model.splitter else {}
+        learn(model, set().union(*short.values()))
+        for i, t in enumerate(texts[a:b]):
+            ids = b"".join(Stream(model).take(short[i])) if i in short else encode_text(model, t)[0]
+            out.append(np.frombuffer(ids, np.int32))
     return out
 
 

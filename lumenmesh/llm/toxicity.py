@@ -11,12 +11,14 @@ the largest weights of a document gives the score. When it is fitted, each docum
 
 Defined cases: null and empty texts score like a text without any weighted word; null labels are ignored, of several labels
 of one document the larger counts; without labels of both kinds every score is the share of toxic labels (0 without any);
-a null doc_id is scored and not held out; repeated rows score alike; other columns are ignored.
+a very long text is restored and read in parts, cut between words, and scored as a whole; a null doc_id is scored and not
+held out; repeated rows score alike; ties between readings go to the first found; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _powers, chunks, crc_mod, mix64, sliced, small, table, written
+from .common import _BASE, _BASE_INV, CHUNK_BYTES, _powers, chunks, crc_mod, mix64, sliced, small, table, written
 
 #: Expected number of labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -66,9 +68,24 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(flat < _CODES, flat, 0xFFFF), np.cumsum([0, *(len(t) + 1 for t in texts)])
 
 
+_CUT = re.compile(r"\w\w\s(?=\w\w)")
+
+
+def cut_text(text: str, most: int = CHUNK_BYTES) -> list[str]:
+    """A long text in parts of at most `most` characters, cut between two words of two or more letters where there are such
+    (so no spelled-out word is cut); together they are the text."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = max((m.end() for m in _CUT.finditer(text, at + most // 2, at + most)), default=at + most)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 def trigrams(texts: list[str]) -> np.ndarray:
     """Counts of (edge or letter, edge or letter, edge or letter) over the words of texts."""
     out = np.zeros(SIZE**3, np.int64)
+    texts = [p for t in texts for p in cut_text(t)]
     for a, b in chunks(texts):
         flat, _ = codes(texts[a:b])
         x = np.where(_LETTER[flat], _INDEX[_LOWER[flat]], 0)
@@ -94,7 +111,10 @@ class Channel:
 
     def __init__(self, costs: np.ndarray) -> None:
         self.cost = costs.reshape(-1).tolist()
-        self.restore = lru_cache(maxsize=50_000)(self._restore)
+        self.remembered = lru_cache(maxsize=20_000)(self._restore)
+
+    def restore(self, text: str) -> str:
+        return self.remembered(text) if len(text) <= 64 else self._restore(text)
 
     def _index(self, c: str) -> int:
         return int(_INDEX[ord(c)]) if ord(c) < _CODES and c.isalpha() else 1
@@ -181,6 +201,10 @@ def stretches(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def restored(texts: list[str], channel: Channel) -> list[str]:
     """Every text with its suspicious stretches replaced by their cheapest readings."""
+    if any(len(t) > CHUNK_BYTES for t in texts):
+        whole = [cut_text(t) for t in texts]
+        read = iter(restored([p for ps in whole for p in ps], channel))
+        return ["".join([next(read) for _ in ps]) for ps in whole]
     out: list[str] = []
     for a, b in chunks(texts):
         flat, offsets = codes(texts[a:b])
@@ -225,6 +249,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(texts_of), np.concatenate(hashes), np.bincount(owner, minlength=len(texts))
 
 
+def distinct_features(texts: list[str]):
+    """For ranges of texts: the range, text number within it and hash of every distinct feature, and the numbers of words."""
+    for a, b in chunks(texts):
+        if b - a == 1:
+            found = [features([p]) for p in cut_text(texts[a])]
+            h = np.unique(np.concatenate([np.unique(f[1]) for f in found]))
+            yield a, b, np.zeros(len(h), np.int64), h, np.array([sum(int(f[2].sum()) for f in found)])
+        else:
+            owner, h, n = features(texts[a:b])
+            order = np.lexsort((h, owner))
+            owner, h = owner[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+            yield a, b, owner[new], h[new], n
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     p = (toxic + PRIOR * share) / (toxic + clean + PRIOR)
     return np.log(p / (1 - p)) - math.log(share / (1 - share))
@@ -234,15 +274,13 @@ def summaries(texts: list[str], keys: np.ndarray, weights: np.ndarray, which: np
     """For each text: its three largest weights (0 where fewer) over distinct features, and the log of its word count.
     weights has a column for each way of counting; which names the column for each text."""
     out = np.zeros((len(texts), 4))
-    for a, b in chunks(texts, 1 << 19):
-        owner, h, n = features(texts[a:b])
+    for a, b, who, h, n in distinct_features(texts):
         out[a:b, 3] = np.log1p(n)
         if not len(keys) or not len(h):
             continue
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         hit = keys[at] == h
-        pair = np.unique(owner[hit].astype(np.int64) * len(keys) + at[hit])
-        who, what = pair // len(keys), pair % len(keys)
+        who, what = who[hit], at[hit]
         w = weights[what, which[a:b][who]]
         order = np.lexsort((-w, who))
         who, w = who[order], w[order]
@@ -294,10 +332,8 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
     def toxic_features(batches):
         for batch in sliced(batches):
             texts = _strings(batch.column("text"))
-            for a, b in chunks(texts):
-                owner, h, _ = features(texts[a:b])
-                pairs = np.unique(np.stack([owner.astype(np.uint64), h], 1), axis=0)[:, 1]
-                h, n = np.unique(pairs, return_counts=True)
+            for _, _, _, h, _ in distinct_features(texts):
+                h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n.astype(np.int64)})
 
     common = train.where("toxic > 0").mapInArrow(toxic_features, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -308,12 +344,10 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
         sums = np.zeros((2, len(keys)), np.int64)
         for batch in sliced(batches):
             texts, y = _strings(batch.column("text")), batch.column("toxic").to_numpy() > 0
-            for a, b in chunks(texts):
-                owner, h, _ = features(texts[a:b])
+            for a, b, owner, h, _ in distinct_features(texts):
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 hit = keys[at] == h
-                pair = np.unique(owner[hit].astype(np.int64) * len(keys) + at[hit])
-                np.add.at(sums, (y[a:b][pair // len(keys)].astype(int), pair % len(keys)), 1)
+                np.add.at(sums, (y[a:b][owner[hit]].astype(int), at[hit]), 1)
         at = np.flatnonzero(sums.sum(0))
         yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "bad": sums[1, at], "good": sums[0, at]})
 

@@ -154,12 +154,31 @@ def test_ids_equal_the_library(model, docs):
 
 def test_stream_holds_a_bounded_window(model):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    for text in ("a" * 4000, "the" * 2000, "=-" * 1500, "0123456789" * 300):
+    for text in ("a" * 4000, "the" * 2000, "=-" * 1500, "0123456789" * 300, " " * 3000 + "the", "a b\n" * 900 + "\n" * 99):
         search, out, held = pieces.Stream(model), [], 0
-        for i in range(0, len(text) + 1, 5):
-            out += search.feed(("▁" + text)[i : i + 5])
-            held = max(held, len(search.text))
-        assert out + search.finish() == library.encode(text) and held <= 6 * model.longest
+        marked = ("▁" + text).replace(" ", "▁")
+        for i in range(0, len(marked), 5):
+            out += search.feed(marked[i : i + 5])
+            held = max(held, len(search.text) + len(search.ahead))
+        out = np.frombuffer(b"".join(out + search.finish()), np.int32)
+        assert out.tolist() == library.encode(text) and held <= 6 * model.longest and search.commits > len(text) // (6 * model.longest)
+
+
+def test_every_document_is_streamed(model, docs):
+    """Whole documents through one search each, in blocks of any size: same ids, a bounded window, many commits."""
+    for r in docs.collect():
+        ids, search = pieces.encode_text(model, r.text, 37)
+        assert ids == pieces.encode_texts(model, [r.text])[0].tobytes()
+        assert search.widest <= 6 * model.longest and search.commits >= len((r.text or "").split())
+    assert model.widest <= 6 * model.longest
+
+
+def test_forgetting_does_not_change_ids(model, docs, monkeypatch):
+    texts = [r.text for r in docs.limit(40).collect()]
+    want = [x.tolist() for x in pieces.encode_texts(model, texts)]
+    for c in ("REMEMBERED", "FITS", "STRANGE"):
+        monkeypatch.setattr(pieces, c, 0)
+    assert [pieces.encode_texts(model, [t])[0].tolist() for t in texts] == want
 
 
 def test_unigram_search_matches_brute(tmp_path):

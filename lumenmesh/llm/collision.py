@@ -13,15 +13,15 @@ Queries go to every shard in blocks: a group is one shard and one block of queri
 queries nor all vectors meet in one task.
 
 Defined cases: vectors that are null, of zero length, all zero, or hold null or non-finite components, and rows without an
-id take no part; vectors of another length than the query's are no candidates; repeated rows count as one; ties go to the
-smaller id; other columns are ignored.
+id take no part; vectors of another length than the query's are no candidates; repeated rows count as one, of different vectors of an id the least
+in order counts; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -101,11 +101,11 @@ class Shard:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v (doubles) of the rows that take part, once each."""
+    """id and v (doubles) of the rows that take part, once each; of several vectors of an id the least in order."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    return rows.where(F.coalesce(fine, F.lit(False)))
+    return rows.where(F.coalesce(fine, F.lit(False))).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def search(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
@@ -120,7 +120,6 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embe
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left, right = left.drop_duplicates("id"), right.drop_duplicates("id")
             index = Shard(left["id"].to_numpy(), np.stack(left["v"].to_numpy()))
             for i, q in zip(right["id"], right["v"]):
                 ids, d = index.nearest(i, np.asarray(q), k)
@@ -129,9 +128,10 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embe
 
     keys = ["dim", "shard", "block"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k).alias("best"))
-    flat = best.select("query_id", F.posexplode("best").alias("rank", "b"))
-    return flat.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))
+    # the ten of each shard meet by query; the limit is taken before and after that shuffle, so nothing long is gathered
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

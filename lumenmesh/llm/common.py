@@ -103,7 +103,7 @@ def dealt(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, b
     counts: (keys, `rows`) of many, at least for the keys with most rows. Keys of more than HOT_ROWS rows (or of so many that
     there are half a million such keys at most) are dealt, by the column `by`, over as many tasks as they need; one's rows
     are copied for these. Only the list of such keys is broadcast."""
-    hot = written(counts.where(F.col("rows") > HOT_ROWS).select(*keys, F.col("rows").alias("_rows")), "hot-keys")
+    hot = counts.where(F.col("rows") > HOT_ROWS).select(*keys, F.col("rows").alias("_rows"))
     n, rows = hot.agg(F.count("*"), F.sum("_rows")).first()
     if not n:
         return many.join(one, keys, how)

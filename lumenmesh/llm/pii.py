@@ -1,23 +1,27 @@
 """Personal data by weak supervision.
 
 Strict patterns give base spans (email, ip, card, phone), which always stay. Looser patterns propose further candidates:
-spelled-out addresses, numbers without a plus, cards with other separators, IPv6. On every candidate, base spans
-included, three labelers vote yes, no or nothing: a shape labeler (check digits, lengths), a gazetteer labeler (top-level
-domains, issuer and dialling prefixes) and a context labeler (cue words before the span). The vote patterns of all documents
+spelled-out addresses, numbers without a plus, cards with other separators, IPv6; and kinds that have no base spans: bank
+account numbers, national identity numbers, keys and passwords (numbers within these are no phones or cards). On every candidate, base spans
+included, three labelers vote yes, no or nothing: a shape labeler (check digits, lengths, mixed characters), a gazetteer labeler (top-level
+domains, issuer, dialling, country and key prefixes) and a context labeler (cue words before the span). The vote patterns of all documents
 are counted; expectation-maximisation over the counts estimates each labeler's reliability for each kind, and its
 posteriors train the final classifier, a logistic model over votes and the form of the span. Candidates that it accepts
 and that overlap no base span are added.
 
 Defined cases: null and empty texts have no spans; the digest of no spans is that of the empty string; without candidates
-nothing is learned and nothing added; rows that share a doc_id are judged each; a null doc_id is kept; other columns are
-ignored. Offsets are code points, ends exclusive.
+nothing is learned and nothing added; of overlapping added spans the first, then the longest stays (ties by kind); repeated rows and
+rows that share a doc_id are judged each; a very long text is searched whole, in linear time; a null doc_id is kept; other
+columns are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that have no base spans: bank account numbers, national identity numbers, keys and passwords.
+ADDED = ("iban", "id", "secret")
+ALL = KINDS + ADDED
 #: Gazetteers and cue words (fixed values).
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io ai co uk us ca de fr es it nl be ch at eu ru cn jp br in au".split())
 DIALLING = ("00", "01", "02", "03", "04", "05", "06", "07", "08", "09", "1800", "800", "888", "555")
@@ -36,8 +43,17 @@ CUES = {
     "ip": ("ip", "host", "server", "address", "login", "client"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "payment", "tarjeta", "carte", "karte"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "contact", "llama", "telefon"),
+    "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
+    "id": ("ssn", "social security", "tax id", "passport", "identity", "ausweis", "seguridad social", "insurance"),
+    "secret": ("token", "secret", "passw", "pwd", "api", "key", "auth", "bearer", "credential", "clave", "passwort"),
 }
-COUNTER_CUES = ("version", "isbn", "serial", "order", "token", "sha", "hash", "build", "invoice", "date", "page")
+#: Country codes of bank accounts with the whole length, and beginnings of issued keys (fixed values).
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20,
+    "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24, "TR": 26,
+}
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "hf_", "npm_")
+COUNTER_CUES = ("version", "isbn", "serial", "order", "sha", "hash", "commit", "checksum", "digest", "build", "invoice", "date", "page")
 #: Characters before a span in which cues are looked for.
 WINDOW = 40
 
@@ -53,6 +69,10 @@ _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![0-9])")
 _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")
 _AT = re.compile(r"[\[( {]at[\]) }]", re.IGNORECASE)
 _SPELLED = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:(?:\s?[\[({]dot[\])}]\s?|\sdot\s|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_ID = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}([ -])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,512}={0,2}(?![A-Za-z0-9_+/=-])")
+_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|api[ _-]?key|token|passwort)\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,128})")
 _CUE = {k: re.compile("|".join(v)) for k, v in CUES.items()}
 _COUNTER = re.compile("|".join(COUNTER_CUES))
 _DIGITS = re.compile("[0-9]")
@@ -100,9 +120,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, *s) for k in KINDS for s in found[k]]
 
 
+def iban_valid(text: str) -> bool:
+    """The length of its country and the check digits."""
+    t = text.replace(" ", "")
+    return IBAN_LENGTHS.get(t[:2]) == len(t) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def _varied(text: str) -> bool:
+    """Digits and letters mixed, as in keys and not in words: at least a sixth of digits, or both cases with digits."""
+    digits, upper, lower = (sum(map(f, text)) for f in (str.isdigit, str.isupper, str.islower))
+    return bool(upper + lower) and (digits * 6 >= len(text) or bool(digits and upper and lower))
+
+
+def added_spans(text: str) -> list[tuple[str, int, int]]:
+    """Candidates of the kinds without base spans."""
+    out = [("iban", *m.span()) for m in _IBAN.finditer(text)]
+    out += [("id", *m.span()) for m in _ID.finditer(text)]
+    out += [("secret", *m.span()) for m in _TOKEN.finditer(text) if m[0].startswith(KEY_STARTS) or _varied(m[0])]
+    return out + [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if "[" not in m[1]]
+
+
+def _taken(spans: list[tuple[int, int]]):
+    """Whether a range overlaps one of the spans."""
+    spans = sorted(spans)
+    starts, tops = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def overlaps(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and tops[i - 1] > a
+
+    return overlaps
+
+
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
-    """Candidates beyond the strict patterns; they may overlap each other and base spans."""
-    out = []
+    """Candidates beyond the strict patterns; they may overlap each other and base spans. Numbers within those of the added
+    kinds are no cards and phones."""
+    own = added_spans(text)
+    out, taken = [], _taken([(a, b) for _, a, b in own])
     for m in _AT.finditer(text):
         start = m.start()
         if start and text[start - 1] == " ":
@@ -117,11 +171,13 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
     for run in _RUN.finditer(text):
         a, b = run.span()
         if b - a >= 9:
-            out += [("card", *m.span()) for m in _LOOSE_CARD.finditer(text, a, b)]
-            out += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text, a, b)]
+            numbers = [("card", *m.span()) for m in _LOOSE_CARD.finditer(text, a, b)]
+            numbers += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text, a, b)]
+            out += [n for n in numbers if not taken(n[1], n[2])]
     if text.count(":") >= 7:
         out += [("ip", *m.span()) for m in _LONG_IP.finditer(text)]
-    return out
+    # a failed check digit is final, but the digits of a mistyped account are no phone
+    return out + [o for o in own if o[0] != "iban" or iban_valid(text[o[1] : o[2]])]
 
 
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int, int, int, int]:
@@ -141,6 +197,18 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int
         shape = 1 if luhn(digits) else -1
         gazetteer = 1 if ISSUERS.match(digits) else -1
         form = (len(digits) < 16) + 2 * (not strict)
+    elif kind == "iban":
+        shape = 1 if iban_valid(span) else -1
+        gazetteer = 1 if span[:2] in IBAN_LENGTHS else -1
+        form = int(" " in span)
+    elif kind == "id":
+        shape = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
+        gazetteer = 0
+        form = int("-" in span)
+    elif kind == "secret":
+        shape = 1 if _varied(span) and len(set(span)) * 4 >= min(len(span), 40) else -1
+        gazetteer = 1 if span.startswith(KEY_STARTS) else 0
+        form = 0 if re.fullmatch("[0-9a-f]+", span) else 1
     else:
         shape = 1 if 8 <= len(digits) <= 15 and (strict or "-" in span or "(" in span) else (-1 if not 9 <= len(digits) <= 13 else 0)
         gazetteer = 1 if strict or digits.startswith(DIALLING) else -1
@@ -153,15 +221,10 @@ def candidates(text: str) -> list[tuple[str, int, int, bool, tuple]]:
     """Base spans and the loose ones that overlap none of them, each with its votes."""
     base = base_spans(text)
     out = [(k, a, b, True, votes(text, k, a, b, True)) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
-    loose = loose_spans(text)
-    if loose:
-        starts, ends = np.array([a for a, _ in taken]), np.array([b for _, b in taken])
-        tops = np.maximum.accumulate(ends) if len(ends) else ends
-        for k, a, b in sorted(loose, key=lambda s: (s[1], -s[2], s[0])):
-            i = int(np.searchsorted(starts, b)) if len(starts) else 0
-            if i == 0 or tops[i - 1] <= a:
-                out.append((k, a, b, False, votes(text, k, a, b, False)))
+    taken = _taken([(a, b) for _, a, b in base])
+    for k, a, b in sorted(loose_spans(text), key=lambda s: (s[1], -s[2], s[0])):
+        if not taken(a, b):
+            out.append((k, a, b, False, votes(text, k, a, b, False)))
     return out
 
 
@@ -203,8 +266,8 @@ def _vector(pattern: tuple) -> np.ndarray:
         one[1 + 2 * i] = v > 0
         one[2 + 2 * i] = v < 0
     one[7 + form] = 1
-    out = np.zeros(len(one) * len(KINDS))
-    at = KINDS.index(kind) * len(one)
+    out = np.zeros(len(one) * len(ALL))
+    at = ALL.index(kind) * len(one)
     out[at : at + len(one)] = one
     return out
 
@@ -212,7 +275,7 @@ def _vector(pattern: tuple) -> np.ndarray:
 def fit_classifier(counts: dict[tuple, int], posterior: dict[tuple, float]) -> np.ndarray:
     """Logistic weights fitted to the posteriors, each pattern weighted by the root of its count."""
     if not counts:
-        return np.zeros(11 * len(KINDS))
+        return np.zeros(11 * len(ALL))
     keys = sorted(counts)
     x, y, n = np.array([_vector(k) for k in keys]), np.array([posterior[k] for k in keys]), np.sqrt([counts[k] for k in keys])
     w = np.zeros(x.shape[1])
@@ -230,7 +293,7 @@ def _texts(batch) -> list[str]:
 
 
 def learn(docs: DataFrame) -> dict:
-    """Vote patterns of all documents, counted; at most 4 * 27 * 4 rows come to the driver."""
+    """Vote patterns of all documents, counted; at most 7 * 27 * 4 rows come to the driver."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -270,7 +333,7 @@ def find(docs: DataFrame, model: dict) -> DataFrame:
                     elif known[key] >= 0.5 and a >= free:
                         free = b
                         found.append({"kind": k, "start": a, "end": b, "base": False, "probability": known[key]})
-                spans.append(sorted(found, key=lambda s: (KINDS.index(s["kind"]), s["start"])))
+                spans.append(sorted(found, key=lambda s: (ALL.index(s["kind"]), s["start"])))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("probability", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
@@ -296,4 +359,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

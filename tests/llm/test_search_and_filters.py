@@ -86,7 +86,7 @@ def test_neighbours_recall(spark):
 
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 0.1]), (8, [1.0, 0.1]), (9, [1.0, 0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1.0, 0.1]), (8, [1.0, 0.1]), (8, [1.5, 0.0]), (9, [1.0, 0.0, 0.0])]
     rows += [(i, [0.0, 1.0]) for i in range(100, 150)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}

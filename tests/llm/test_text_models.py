@@ -265,6 +265,22 @@ def test_loose_spans_are_added(spark):
     assert got[5] == [("email", False), ("phone", False)] and got[105] == [("email", True), ("phone", True)] and got[200] == []
 
 
+def test_added_kinds(spark):
+    """Bank, identity and key spans are found whole; their digits aren't phones or cards; plain numbers and hashes stay out."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(i, f"my ssn 078-05-{1120 + i} and iban DE89 3704 0044 0532 0130 00 here") for i in range(30)]
+    rows += [(100 + i, f'token = "{key[i:]}{key[:i]}" or password: hunter2x{i}') for i in range(30)]
+    rows += [(200, "chapter 123 of 45 and 6789, invoice hash of nothing; internationalisation and counterrevolutionaries"), (201, None), (202, "GB82 WEST 1234 5698 7654 33")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(df, pii.learn(df)).collect()}
+    for i, text in rows[:30]:
+        assert got[i] == [("iban", text.index("DE89"), text.index(" here")), ("id", text.index("078"), text.index(" and"))]
+    for i, text in rows[30:60]:
+        assert got[i] == [("secret", 9, 49), ("secret", text.index("hunter"), len(text))]
+    assert got[200] == got[201] == [] and not any(k == "iban" for k, _, _ in got[202])
+    assert pii.iban_valid("GB82 WEST 1234 5698 7654 32") and not pii.iban_valid("GB82 WEST 1234 5698 7654 33")
+
+
 def test_estimation_finds_the_unreliable_labeler():
     rng = random.Random(8)
     counts = Counter()
@@ -278,6 +294,7 @@ def test_estimation_finds_the_unreliable_labeler():
 
 def test_pii_edges(odd_docs, no_docs):
     model = pii.learn(no_docs)
+    assert all(r.spans == [] for r in pii.find(odd_docs, model).collect())
     assert pii.find(odd_docs, model).count() == odd_docs.count() and pii.find(no_docs, model).count() == 0
 
 

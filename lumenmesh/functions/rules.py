@@ -23,22 +23,36 @@ def branch_slug(name: Column, longest: int = 80) -> Column:
     return F.coalesce(F.nullif(F.substring(s, 1, longest), F.lit("")), F.lit("main"))
 
 
+_GROUPED = "[0-9]+(_[0-9]+)*"
+
+
+def _bare(text: Column) -> Column:
+    """Without white space around it."""
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
 def cast_int(text: Column, default: int) -> Column:
-    return F.coalesce(text.try_cast("double").try_cast("bigint"), F.lit(default).cast("bigint"))
+    """Whole numbers only, with a sign and underscores between digits allowed; a fraction or an exponent gives the default."""
+    s = _bare(text)
+    whole = F.when(s.rlike(f"^[+-]?{_GROUPED}$"), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.coalesce(whole, F.lit(default).cast("bigint"))
 
 
 def cast_float(text: Column, default: float) -> Column:
-    x = text.try_cast("double")
-    return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x)
+    """Decimal numbers, exponents, inf and nan; underscores between digits allowed."""
+    s = F.lower(_bare(text))
+    fine = s.rlike(f"^[+-]?(({_GROUPED}\\.?|({_GROUPED})?\\.{_GROUPED})(e[+-]?{_GROUPED})?|inf|infinity|nan)$")
+    return F.coalesce(F.when(fine, F.replace(F.regexp_replace(s, "^[+-]nan$", "nan"), F.lit("_"), F.lit("")).try_cast("double")), F.lit(default))
 
 
 def cast_bool(text: Column, default: bool) -> Column:
-    s = F.lower(F.trim(text))
-    return F.when(s.isin("1", "true", "yes", "on"), True).when(s.isin("0", "false", "no", "off"), False).otherwise(F.lit(default))
+    s = F.lower(_bare(text))
+    return F.when(s.isin("1", "true", "yes", "on", "y"), True).when(s.isin("0", "false", "no", "off", "n"), False).otherwise(F.lit(default))
 
 
 def cast_choice(text: Column, choices: list[str], default: str) -> Column:
-    s = F.lower(F.trim(text))
+    """A choice as it is written, white space around it aside."""
+    s = _bare(text)
     return F.when(s.isin(*choices), s).otherwise(F.lit(default))
 
 
@@ -51,8 +65,8 @@ def first_of(*layers: Column) -> Column:
     return F.coalesce(*layers)
 
 
-#: Memory tiers (MB, name), largest first (fixed values).
-TIERS = [(17000, "t17"), (14000, "t14"), (10000, "t10"), (7000, "t7")]
+#: Least memory in MB of each tier and its name, which is output, largest first (fixed values).
+TIERS = [(17000, "t18"), (14000, "t16"), (10000, "t12"), (7000, "t8")]
 
 
 def memory_tier(mb: Column) -> Column:
@@ -71,27 +85,38 @@ def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Colu
 
 
 def resolve_checkpoint(text: Column, current: Column, spec: list[tuple[str, str]]) -> Column:
-    """Where a progress text stands: nothing said keeps the current one; starting is the first; waiting for and complete
-    are the last; else the first pattern of the specification that matches; else the current one."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    hit = current
+    """Where a progress text stands. Nothing said keeps the current checkpoint; a text about starting is the first, one that
+    waits for the confirmation of the next stage the last; else the first whose pattern (case aside) is found, even if it is
+    the current one; else the last for the word complete; else the current one. Without checkpoints null."""
+    if not spec:
+        return F.lit(None).cast("string")
+    t = _bare(F.coalesce(text, F.lit("")))
+    out = F.when(t.rlike("(?i)\\bcomplete\\b"), spec[-1][0]).otherwise(current)
     for name, pattern in reversed(spec):
-        hit = F.when(t.rlike(pattern), name).otherwise(hit)
-    first, last = spec[0][0], spec[-1][0]
-    return F.when(t == "", current).when(t.startswith("starting"), first).when(t.startswith("waiting for"), last).when(F.contains(t, F.lit("complete")) & (hit == current), last).otherwise(hit)
+        out = F.when(t.rlike(f"(?i){pattern}"), name).otherwise(out)
+    waiting = t.rlike("(?i)waiting for next-stage confirmation")
+    return F.when(t == "", current).when(F.contains(F.lower(t), F.lit("starting")), spec[0][0]).when(waiting, spec[-1][0]).otherwise(out)
 
 
 def frame_number(text: Column) -> Column:
-    """The only run of exactly five digits in a text; null for none or several."""
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![0-9])([0-9]{5})(?![0-9])"), F.lit(1)))
-    return F.when(F.size(runs) == 1, F.get(runs, F.lit(0)).cast("int"))
+    """The run of exactly five digits in the stem of a path's last part, else in that part, else in the whole text: the first
+    of these that has one such run, not more; null for none."""
+    part = F.regexp_extract(F.regexp_replace(text, "(?<=.)(/+\\.?)+$", ""), "[^/]*$", 0)
+    stem = F.regexp_replace(part, "(?<=.)\\.[^.]+$", "")
+
+    def only(where):
+        runs = F.regexp_extract_all(where, F.lit("(?<![0-9])([0-9]{5})(?![0-9])"), F.lit(1))
+        return F.when(F.size(runs) == 1, F.get(runs, F.lit(0)).cast("int"))
+
+    return F.coalesce(only(stem), only(part), only(text))
 
 
 def progress_of(line: Column, total: int) -> Column:
-    """Percent that a training or stereo line stands for: 5 + 45 i / total, or 55 + 0.25 p; null for other lines."""
-    i = F.nullif(F.regexp_extract(line, "\\[ITER\\s+([0-9]+)\\]", 1), F.lit("")).cast("double")
+    """Percent that a training or stereo line (case aside) stands for: 5 + 45 i / total, or 55 + 0.25 p; null for other
+    lines."""
+    i = F.nullif(F.regexp_extract(line, "(?i)\\[ITER\\s+([0-9]+)\\]", 1), F.lit("")).cast("double")
     p = F.nullif(F.regexp_extract(line, "([0-9]+)%", 1), F.lit("")).cast("double")
-    return F.when(i.isNotNull(), 5 + 45 * i / total).when(F.lower(line).rlike("stereo|disparity") & p.isNotNull(), 55 + 0.25 * p)
+    return F.when(i.isNotNull(), 5 + i / total * 45).when(F.lower(line).rlike("stereo|disparity") & p.isNotNull(), 55 + 0.25 * p)
 
 
 def face_budget(n: Column, ram_limit: Column) -> Column:

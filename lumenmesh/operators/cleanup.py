@@ -9,9 +9,11 @@ from pyspark.sql.window import Window as W
 from lumenmesh.operators import mesh
 
 
-def sample_visible(depth: Column, reference: Column, u: Column, v: Column, w: Column, h: Column, mask: Column) -> Column:
-    """In front, inside, on the mask and not behind what the depth buffer has there (no depth there hides nothing)."""
-    hidden = F.coalesce(depth > reference + F.greatest(F.lit(1e-4), 0.003 * F.abs(reference)), F.lit(False))
+def sample_visible(depth: Column, reference: Column, cos: Column, u: Column, v: Column, w: Column, h: Column, mask: Column) -> Column:
+    """In front, inside, on the mask and not behind what the depth buffer has there (no depth there hides nothing). The
+    tolerance grows with the depth and with how slanting the surface is seen (cos: of its angle to the view)."""
+    tolerance = F.greatest(F.lit(1e-4), 0.003 * reference / F.greatest(F.abs(cos), F.lit(0.1)))
+    hidden = F.coalesce(depth > reference + tolerance, F.lit(False))
     return (depth > 0.01) & (u >= 0) & (u < w - 1) & (v >= 0) & (v < h - 1) & F.coalesce(mask, F.lit(False)) & ~hidden
 
 
@@ -38,13 +40,14 @@ def flipped_pass(keep: Column, distance: Column, diagonal: Column, facing: Colum
 
 
 def islands(faces: DataFrame, vertices: DataFrame, share: float = 0.1, gap: float = 0.02) -> DataFrame:
-    """Faces of the largest component, and of those that are neither small against it nor far from its box."""
+    """Faces of the largest component, and of those that are neither small against it nor farther from its box than `gap`
+    times the box's diagonal."""
     of = mesh.face_components(faces)
     sizes = of.groupBy("component").agg(F.count("*").alias("size"))
     main = sizes.agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("main"), F.col("m.size").alias("largest"))
     corner = faces.join(of, "fid").select("component", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct().join(vertices, "vid").crossJoin(F.broadcast(main))
     box = corner.where("component = main").agg(*(f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
-    whole = vertices.agg(*((F.max(a) - F.min(a)).alias(f"w{a}") for a in "xyz")).select(mesh.norm(tuple(F.col(f"w{a}") for a in "xyz")).alias("diagonal"))
+    whole = box.select(mesh.norm(tuple(F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz")).alias("diagonal"))
     off = mesh.norm(tuple(F.greatest(F.col(f"lo_{a}") - F.col(a), F.lit(0.0), F.col(a) - F.col(f"hi_{a}")) for a in "xyz"))
     far = corner.crossJoin(F.broadcast(box)).groupBy("component").agg(F.min(off).alias("off"))
     judged = sizes.join(far, "component").crossJoin(F.broadcast(main)).crossJoin(F.broadcast(whole))
@@ -71,15 +74,18 @@ def loop_reasons(loops: DataFrame, band: float, most_diameter: float, least_down
     return loops.select("loop_id", reason.alias("reason"))
 
 
-def best_loop(loops: DataFrame, target: tuple[float, float] | None = None) -> DataFrame:
-    """loops: loop_id, area, cx. The largest; or, with a target (area, cx), that with the least mismatch, if it is close."""
+def best_loop(loops: DataFrame, target: tuple[float, float, float, float] | None = None, diagonal: float = 1.0) -> DataFrame:
+    """loops: loop_id, area, cx, cy, cz. The largest, of equals the first; or, with a target (area and centre), that with the
+    least mismatch of area and of centre (a quarter as much, in diagonals), unless its own area is off by more than 15 % or
+    its centre by more than 8 %: then none."""
     if target is None:
         m = loops.agg(F.max(F.struct("area", (-F.col("loop_id")).alias("l"))).alias("m"))
         return m.where("m IS NOT NULL").select((-F.col("m.l")).alias("loop_id"))
-    area, cx = target
-    err, off = F.abs(F.col("area") - area) / area, F.abs(F.col("cx") - cx)
-    m = loops.where((err <= 0.15) & (off <= 0.08)).agg(F.min(F.struct((err + 0.25 * off).alias("e"), "loop_id")).alias("m"))
-    return m.where("m IS NOT NULL").select("m.loop_id")
+    area, *centre = map(float, target)
+    err = F.abs(F.col("area") - area) / max(area, 1e-9)
+    off = mesh.norm(tuple(F.col(f"c{a}") - c for a, c in zip("xyz", centre))) / max(float(diagonal), 1e-6)
+    m = loops.agg(F.min(F.struct((err + 0.25 * off).alias("e"), "loop_id", err.alias("err"), off.alias("off"))).alias("m"))
+    return m.where("m.err <= 0.15 AND m.off <= 0.08").select("m.loop_id")
 
 
 def cap_groups(loops: DataFrame, diagonal: float) -> DataFrame:
@@ -122,8 +128,11 @@ def loop_flags(loops: DataFrame, least: int = 3) -> DataFrame:
     return ends.select("loop_id", n.alias("n"), flag.alias("flag"))
 
 
-def clip_offset(loops: DataFrame, lowest: float, height: float, share: float = 0.25, epsilon: float = 1e-4) -> DataFrame:
-    """loops: loop_id, distance (of each vertex above the plane). One row: how far to raise the cut so that it clears all
-    loops near the bottom, at most 30 % of the height."""
-    low = loops.groupBy("loop_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("top")).where(F.col("mean") - lowest <= share * height)
-    return low.agg(F.least(F.coalesce(F.max("top") + epsilon, F.lit(0.0)), F.lit(0.3 * height)).alias("offset"))
+def clip_offset(loops: DataFrame, lowest: float, height: float, share: float = 0.20, epsilon: float = 0.002) -> DataFrame:
+    """loops: loop_id, vid, distance (above the plane) of closed boundary loops, the closing vertex not repeated. One row: how
+    far to raise the cut so that it clears all loops of three vertices or more near the lowest point, at most 30 % of the
+    height deep; without such loops just above the lowest point; never less than epsilon."""
+    of = loops.groupBy("loop_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("top"), F.count_distinct("vid").alias("n"))
+    low = of.where((F.col("n") >= 3) & (F.col("mean") - lowest <= share * height))
+    clear = F.least(F.max("top") + epsilon, F.lit(lowest + 0.3 * height))
+    return low.agg(F.greatest(F.coalesce(clear, F.lit(lowest + epsilon)), F.lit(epsilon)).alias("offset"))

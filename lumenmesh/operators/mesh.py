@@ -146,15 +146,18 @@ def outward_ratio(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def bbox_vote(faces: DataFrame, vertices: DataFrame, share: float = 0.05, least: int = 2) -> DataFrame:
-    """One row: of the six sides of the bounding box, on how many the faces near it look outward or inward in the mean."""
-    box = vertices.agg(*(f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
-    g = face_geometry(faces, vertices).where("NOT degenerate").crossJoin(F.broadcast(box))
+    """One row: of the six ends of the three axes, at how many the faces whose centres lie within `share` of the centres'
+    range look outward or inward in the mean; an axis without a range has no say."""
+    every = face_geometry(faces, vertices)
+    box = every.agg(*(f(f"c{a}").alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    g = every.where("NOT degenerate").crossJoin(F.broadcast(box))
     sides = F.array(*(
         F.struct(F.lit(f"{sign}{a}").alias("side"), (F.lit(s) * F.col(f"n{a}") / norm(tuple(F.col(f"n{b}") for b in "xyz"))).alias("out"),
-                 ((F.col(f"hi{a}") - F.col(f"c{a}") if s > 0 else F.col(f"c{a}") - F.col(f"lo{a}")) <= share * (F.col(f"hi{a}") - F.col(f"lo{a}"))).alias("near"))
+                 ((F.col(f"hi{a}") - F.col(f"c{a}") if s > 0 else F.col(f"c{a}") - F.col(f"lo{a}")) <= share * (F.col(f"hi{a}") - F.col(f"lo{a}"))).alias("near"),
+                 (F.col(f"hi{a}") - F.col(f"lo{a}") >= 1e-12).alias("wide"))
         for a in "xyz" for sign, s in (("+", 1.0), ("-", -1.0))
     ))
-    near = g.select(F.inline(sides)).where("near").groupBy("side").agg(F.round(F.avg("out"), 9).alias("out"), F.count("*").alias("n")).where(F.col("n") >= least)
+    near = g.select(F.inline(sides)).where("near AND wide").groupBy("side").agg(F.round(F.avg("out"), 9).alias("out"), F.count("*").alias("n")).where(F.col("n") >= least)
     return near.agg(F.count_if(F.col("out") > 0).alias("outward"), F.count_if(F.col("out") <= 0).alias("inward")).withColumn(
         "looks_outward", F.when(F.col("outward") + F.col("inward") > 0, F.col("outward") >= F.col("inward"))
     )
@@ -258,12 +261,14 @@ def loop_area(loops: DataFrame) -> DataFrame:
     return at.groupBy("loop_id").agg((F.sum("cross") / 2).alias("area"))
 
 
-PATH = T.StructType([T.StructField("loop_id", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("vid", T.LongType()), T.StructField("closed", T.BooleanType())])
+PATH = "loop_id long, path long, pos long, vid long, closed boolean"
 
 
 def boundary_paths(faces: DataFrame) -> DataFrame:
-    """loop_id (smallest vertex of its boundary component), pos, vid, closed: boundary edges walked into paths, each step to
-    the lowest unused neighbour, an open end or else the smallest vertex first. A component of the boundary is one group."""
+    """loop_id (smallest vertex of its boundary component), path (number within the component), pos, vid, closed: boundary
+    edges walked into paths. The least unused edge begins a path, from its smaller end; each step goes to the smallest
+    neighbour over an unused edge; the path ends where it began or where no edge is left. Paths of fewer than three vertices
+    are left out. A component of the boundary is one group, walked in linear time."""
     edges = boundary_edges(faces).select("u", "v")
     roots = components(edges).withColumnRenamed("node", "u")
     edges = edges.join(roots, "u", "left").select("u", "v", F.coalesce("root", "u").alias("root"))
@@ -271,31 +276,43 @@ def boundary_paths(faces: DataFrame) -> DataFrame:
     def walk(pdf):
         import pandas as pd
 
-        nbrs: dict[int, set[int]] = {}
-        for u, v in zip(pdf["u"], pdf["v"]):
-            nbrs.setdefault(int(u), set()).add(int(v))
-            nbrs.setdefault(int(v), set()).add(int(u))
-        root, rows = int(pdf["root"].iloc[0]), []
-        while any(nbrs.values()):
-            open_ends = [k for k, s in nbrs.items() if len(s) % 2]
-            path = [min(open_ends or [k for k, s in nbrs.items() if s])]
-            while nbrs[path[-1]]:
-                step = min(nbrs[path[-1]])
-                nbrs[path[-1]].discard(step)
-                nbrs[step].discard(path[-1])
-                path.append(step)
-            shut = path[0] == path[-1]
-            if len(path) - shut >= 3:
-                base = rows[-1][1] + 1 if rows else 0
-                rows += [(root, base + i, v, shut) for i, v in enumerate(path)]
-        return pd.DataFrame(rows, columns=["loop_id", "pos", "vid", "closed"])
+        sides = sorted(zip(pdf["u"].tolist(), pdf["v"].tolist()))
+        around: dict[int, list[int]] = {}
+        for u, v in sides:
+            around.setdefault(u, []).append(v)
+            around.setdefault(v, []).append(u)
+        for near in around.values():
+            near.sort(reverse=True)
+        used, rows, number, root = set(), [], 0, int(pdf["root"].iloc[0])
+
+        def onward(at):
+            """The smallest neighbour over an unused edge, which is used up."""
+            near = around[at]
+            while near:
+                to = near.pop()
+                side = (min(at, to), max(at, to))
+                if side not in used:
+                    used.add(side)
+                    return to
+            return None
+
+        for start, _ in sides:
+            while (at := onward(start)) is not None:
+                path = [start, at]
+                while path[-1] != start and (at := onward(path[-1])) is not None:
+                    path.append(at)
+                if len(path) >= 3:
+                    rows += [(root, number, i, v, path[-1] == start) for i, v in enumerate(path)]
+                    number += 1
+        return pd.DataFrame(rows, columns=["loop_id", "path", "pos", "vid", "closed"])
 
     return edges.groupBy("root").applyInPandas(walk, PATH)
 
 
 def ear_clip(loops: DataFrame) -> DataFrame:
     """loops: loop_id, pos, vid, x, y (simple polygons). loop_id, fid, v0..v2: each polygon as triangles, ears cut in order
-    of position. A loop is one group; its cost grows with the square of its length."""
+    of position; nothing of a polygon that can't be cut to the end. A loop is one group; its cost grows with the square of its
+    length."""
 
     def clip(pdf):
         import pandas as pd
@@ -314,7 +331,8 @@ def ear_clip(loops: DataFrame) -> DataFrame:
                 if turn(pts[a], pts[b], pts[c]) > 0 and not any(min(turn(pts[a], pts[b], pts[p]), turn(pts[b], pts[c], pts[p]), turn(pts[c], pts[a], pts[p])) >= 0 for p in inside):
                     break
             else:
-                break  # no ear is left: the polygon isn't simple
+                out = []  # no ear is left: the polygon isn't simple
+                break
             out.append((int(pdf["loop_id"].iloc[0]), len(out), ids[a], ids[b], ids[c]))
             ring.pop(k)
         return pd.DataFrame(out, columns=["loop_id", "fid", "v0", "v1", "v2"])

@@ -70,22 +70,41 @@ def loop_plane_coordinates(loops: DataFrame, normal: tuple[float, float, float])
     return at.select("loop_id", "pos", "vid", along(u).alias("x"), along(v).alias("y"))
 
 
+def footprint_axes(normal: tuple[float, float, float]) -> tuple[tuple[float, ...], tuple[float, ...]] | None:
+    """Two unit axes across a normal of any length, seeded by X unless that is nearly the normal, then by Y; none for no
+    normal."""
+    size = math.sqrt(sum(float(c) * float(c) for c in normal))
+    if size < 1e-12:
+        return None
+    n = tuple(float(c) / size for c in normal)
+    seed = (1.0, 0.0, 0.0) if abs(n[0]) < 0.9 else (0.0, 1.0, 0.0)
+    dot = sum(a * b for a, b in zip(seed, n))
+    across = tuple(s - dot * c for s, c in zip(seed, n))
+    size = math.sqrt(sum(c * c for c in across))
+    u = tuple(c / size for c in across)
+    return u, cross(n, u)
+
+
 def planar_uvs(points: DataFrame, normal: tuple[float, float, float], pad: float = 0.02) -> DataFrame:
-    """points: vid, x, y, z -> vid, u, v within [pad, 1 - pad], the aspect kept; no rows for fewer than three points or a
-    shape that is thinner than 1e-4 of its length."""
-    a, b = tangent_axes(normal, 0.9)
-    at = points.select("vid", *(sum(F.lit(float(k)) * F.col(c) for k, c in zip(axis, XYZ)).alias(n) for axis, n in ((a, "p"), (b, "q"))))
+    """points: vid, x, y, z -> vid, u, v within [pad, 1 - pad], the aspect kept, the shorter side in the middle; no rows
+    without a normal, for fewer than three points or a shape that is thinner than 1e-4 of its length."""
+    axes = footprint_axes(normal)
+    if axes is None:
+        return points.where("1 = 0").select("vid", F.col("x").alias("u"), F.col("y").alias("v"))
+    at = points.select("vid", *(sum(F.lit(float(k)) * F.col(c) for k, c in zip(axis, XYZ)).alias(n) for axis, n in zip(axes, "pq")))
     box = at.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}{c}") for c in "pq" for k, f in (("lo", F.min), ("hi", F.max))))
     box = box.withColumns({"wp": F.col("hip") - F.col("lop"), "wq": F.col("hiq") - F.col("loq")}).withColumn("side", F.greatest("wp", "wq"))
-    box = box.where((F.col("n") >= 3) & (F.col("side") > 1e-12)).where(F.least("wp", "wq") >= 1e-4 * F.col("side"))
+    box = box.where((F.col("n") >= 3) & (F.col("side") >= 1e-9)).where(F.least("wp", "wq") >= 1e-4 * F.col("side"))
     scale = (1 - 2 * pad) / F.col("side")
-    return at.join(F.broadcast(box)).select("vid", (pad + (F.col("p") - F.col("lop")) * scale).alias("u"), (pad + (F.col("q") - F.col("loq")) * scale).alias("v"))
+    middle = {c: (F.col(f"lo{c}") + F.col(f"hi{c}")) / 2 for c in "pq"}
+    inside = lambda x: F.greatest(F.lit(pad), F.least(F.lit(1 - pad), x))
+    return at.join(F.broadcast(box)).select("vid", *(inside((F.col(c) - middle[c]) * scale + 0.5).alias(n) for c, n in (("p", "u"), ("q", "v"))))
 
 
 def barycentric(px: Column, py: Column, x: list[Column], y: list[Column]) -> tuple[Column, Column, Column]:
-    """Weights of the three corners; the denominator's size is floored at 1e-10, its sign kept."""
+    """Weights of the three corners; a denominator smaller than 1e-10 in size counts as 1e-10, whatever its sign."""
     d = (y[1] - y[2]) * (x[0] - x[2]) + (x[2] - x[1]) * (y[0] - y[2])
-    d = F.when(F.abs(d) < 1e-10, F.when(d < 0, -1e-10).otherwise(1e-10)).otherwise(d)
+    d = F.when(F.abs(d) < 1e-10, 1e-10).otherwise(d)
     a = ((y[1] - y[2]) * (px - x[2]) + (x[2] - x[1]) * (py - y[2])) / d
     b = ((y[2] - y[0]) * (px - x[2]) + (x[0] - x[2]) * (py - y[2])) / d
     return a, b, 1 - a - b

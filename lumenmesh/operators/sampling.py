@@ -56,9 +56,9 @@ def linspace_positions(n: int, most: int) -> list[int]:
     return [0] if m == 1 else [i * (n - 1) // (m - 1) for i in range(m)]
 
 
-def strided(rows: DataFrame, position: str, n: int, k: int) -> DataFrame:
-    """Every max(1, n // k)-th position, k of them."""
-    step = max(1, n // k)
+def strided(rows: DataFrame, position: str, k: int, n: int | None = None) -> DataFrame:
+    """Every max(1, n // k)-th position, k of them; n is the number of rows unless it is given."""
+    step = max(1, (rows.count() if n is None else n) // k)
     return rows.where((F.col(position) % step == 0) & (F.col(position) < step * k))
 
 

@@ -68,10 +68,16 @@ def nearest_camera(faces: DataFrame, cameras: DataFrame) -> DataFrame:
 
 def match_tolerant(left: DataFrame, right: DataFrame, near: float = 1e-3, far: float = 5e-2) -> DataFrame:
     """left: id, x, y, z. The nearest of right (rid, x, y, z) within `near`; or within `far`, if ten times nearer than the
-    second nearest."""
+    second nearest. Points meet by cells of ten times `far`, so that a second nearest that could matter is seen."""
+    cell = 10 * far
+    at = lambda prefix: [F.floor(F.col(f"{prefix}{a}") / cell).cast("long") for a in "xyz"]
     r = right.select("rid", *(F.col(a).alias(f"r{a}") for a in "xyz"))
+    r = r.select("rid", "rx", "ry", "rz", *(c.alias(f"k{a}") for a, c in zip("xyz", at("r"))))
+    l = left.select("id", "x", "y", "z", *(c.alias(f"k{a}") for a, c in zip("xyz", at(""))))  # noqa: E741
+    for a in "xyz":
+        l = l.withColumn(f"k{a}", F.explode(F.array(*(F.col(f"k{a}") + i for i in (-1, 0, 1)))))  # noqa: E741
     d = F.sqrt(sum((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in "xyz"))
-    pairs = with_all(left, r).select("id", F.struct(d.alias("d"), "rid").alias("m"))
+    pairs = l.join(r, ["kx", "ky", "kz"]).where(d <= cell).select("id", F.struct(d.alias("d"), "rid").alias("m"))
     first = pairs.groupBy("id").agg(F.min("m").alias("best"))
     second = pairs.join(first, "id").where(F.col("m") > F.col("best")).groupBy("id").agg(F.min("m.d").alias("second"))
     both = first.join(second, "id", "left").select("id", F.col("best.rid").alias("rid"), F.col("best.d").alias("d"), "second")
@@ -113,8 +119,10 @@ def conflicts(top: DataFrame, texels: DataFrame, cameras: DataFrame, ratio: floa
     """Texels whose two best scores are close but seen from directions at least so far apart."""
     close = two_best(top).where(F.col("score1") > 0).where((F.col("score0") < ratio * F.col("score1")) & (F.col("view0") != F.col("view1")))
     at = close.join(texels.select("texel", "x", "y", "z"), "texel")
+    few = cameras.limit(MOST_CAMERAS + 1).count() <= MOST_CAMERAS
     for r in (0, 1):
-        at = at.join(F.broadcast(cameras.limit(MOST_CAMERAS).select(F.col("cam").alias(f"view{r}"), *(F.col(f"c{a}").alias(f"c{a}{r}") for a in "xyz"))), f"view{r}")
+        of = cameras.select(F.col("cam").alias(f"view{r}"), *(F.col(f"c{a}").alias(f"c{a}{r}") for a in "xyz"))
+        at = at.join(F.broadcast(of) if few else of, f"view{r}")
     d = [[F.col(f"c{a}{r}") - F.col(a) for a in "xyz"] for r in (0, 1)]
     length = [F.greatest(F.sqrt(sum(c * c for c in v)), F.lit(1e-10)) for v in d]
     cos = sum(a * b for a, b in zip(*d)) / (length[0] * length[1])

@@ -105,7 +105,7 @@ def _zbuffer(s, d):
 
 
 def _rasterise(s, d):
-    t = T.dense_faces(s, d).where("fid % 50 = 0")
+    t = T.dense_faces(s, d)
     at = t.select(F.lit(0).cast("long").alias("view"), "fid", *(e.alias(f"{a}{i}") for i in range(3) for a, e in (("x", F.col(f"v{i}") % 10 * 1.5), ("y", F.floor(F.col(f"v{i}") / 10) * 1.5), ("z", 1 + F.col(f"v{i}") % 7 * 1.0))))
     return rounded(V.rasterise(at), "depth")
 
@@ -139,10 +139,6 @@ def _dominant(s, d):
     return V.dominant_view(top, _texel_face(top), V.conflicts(top, _texels(top), _views(s)), least=2)
 
 
-def _vertices_on(s, d):
-    return T.vertices(s, d).where("vid % 40 = 0")
-
-
 def _submesh(s, d):
     return M.submesh(T.faces(s, d).withColumn("part", F.col("fid") % 8))
 
@@ -222,7 +218,7 @@ def oracle_sql() -> dict:
     xyz = "round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z"
     vadj = "vadj AS (SELECT DISTINCT u AS vid, v AS nbr FROM sides UNION SELECT DISTINCT v, u FROM sides), s0 AS (SELECT * FROM vertices)"
     weld = "weld AS (SELECT vid, min(vid) OVER (PARTITION BY round_even(x/4,0), round_even(y/4,0), round_even(z/4,0)) AS new_vid FROM vertices)"
-    sides6 = " UNION ALL ".join(f"SELECT '{s}{a}' AS side, {k}*n{a}/{length} AS o FROM geo, box WHERE {length} > 1e-12 AND {near} <= 0.05*(hi{a}-lo{a})" for a in "xyz" for s, k, near in (("+", 1, f"hi{a}-c{a}"), ("-", -1, f"c{a}-lo{a}")))
+    sides6 = " UNION ALL ".join(f"SELECT '{s}{a}' AS side, {k}*n{a}/{length} AS o FROM geo, box WHERE {length} > 1e-12 AND hi{a}-lo{a} >= 1e-12 AND {near} <= 0.05*(hi{a}-lo{a})" for a in "xyz" for s, k, near in (("+", 1, f"hi{a}-c{a}"), ("-", -1, f"c{a}-lo{a}")))
     return {
         "boundary_edges": _q("SELECT u, v, n FROM edges WHERE n = 1", F_, E_),
         "nonmanifold_edges": _q("SELECT u, v, n FROM edges WHERE n > 2", F_, E_),
@@ -241,7 +237,7 @@ def oracle_sql() -> dict:
         "vertex_normals": _q("SELECT vid, " + ", ".join(f"round(n{a}/greatest({length},1e-10),6)+0.0 AS n{a}" for a in "xyz") + " FROM (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT v0 AS vid, nx, ny, nz FROM geo UNION ALL SELECT v1, nx, ny, nz FROM geo UNION ALL SELECT v2, nx, ny, nz FROM geo) GROUP BY vid)", F_, V_, C_),
         "outward_ratio": _q(f"SELECT round(avg(CASE WHEN nx*(cx-mx)+ny*(cy-my)+nz*(cz-mz) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6)+0.0 AS ratio, count(*) AS n FROM geo, (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM vertices) WHERE {length} > 1e-12", F_, V_, C_),
         "bbox_vote": _q("SELECT count(*) FILTER (o > 0) AS outward, count(*) FILTER (o <= 0) AS inward, CASE WHEN count(*) > 0 THEN count(*) FILTER (o > 0) >= count(*) FILTER (o <= 0) END AS looks_outward FROM (SELECT side, round(avg(o),9) AS o FROM six GROUP BY side HAVING count(*) >= 2)", F_, V_, C_,
-                        "box AS (SELECT " + ", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in "xyz") + " FROM vertices)", f"six AS ({sides6})"),
+                        "box AS (SELECT " + ", ".join(f"min(c{a}) AS lo{a}, max(c{a}) AS hi{a}" for a in "xyz") + " FROM geo)", f"six AS ({sides6})"),
         "face_components": _q("SELECT fid, component FROM comp", F_, E_, ADJACENCY, REACH),
         "small_components": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= greatest(1, floor(0.0003*(SELECT count(*) FROM faces))))", F_, E_, ADJACENCY, REACH),
         "largest_component": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)", F_, E_, ADJACENCY, REACH),
@@ -273,7 +269,7 @@ ON b.fid=n.fid AND b.k=1 WHERE bad >= 2 AND bad >= 0.2*n AND coverage >= 0.7*bad
         "zbuffer_min": "SELECT l_suppkey%8 AS view, l_partkey%64 AS px, l_orderkey%64 AS py, min(l_extendedprice/1000) AS depth FROM lineitem WHERE l_extendedprice/1000 > 0.01 GROUP BY 1, 2, 3",
         "rasterise_depth": _q("""SELECT CAST(0 AS BIGINT) AS view, fid, px, py, round(a*z0+b*z1+(1-a-b)*z2,6)+0.0 AS depth FROM (SELECT *, ((y1-y2)*(px+0.5-x2)+(x2-x1)*(py+0.5-y2))/det AS a, ((y2-y0)*(px+0.5-x2)+(x0-x2)*(py+0.5-y2))/det AS b
 FROM (SELECT *, (y1-y2)*(x0-x2)+(x2-x1)*(y0-y2) AS det FROM tri) t, (SELECT range AS px FROM range(20)), (SELECT range AS py FROM range(20)) WHERE abs(det) > 1e-12) WHERE least(a, b, 1-a-b) >= -1e-5""", D_,
-                              "tri AS (SELECT fid, " + ", ".join(f"v{i}%10*1.5::DOUBLE AS x{i}, v{i}//10*1.5::DOUBLE AS y{i}, 1+v{i}%7*1.0::DOUBLE AS z{i}" for i in range(3)) + " FROM faces WHERE fid % 50 = 0)"),
+                              "tri AS (SELECT fid, " + ", ".join(f"v{i}%10*1.5::DOUBLE AS x{i}, v{i}//10*1.5::DOUBLE AS y{i}, 1+v{i}%7*1.0::DOUBLE AS z{i}" for i in range(3)) + " FROM faces)"),
         "project_visible": PROJECT,
         "nearest_camera": _q("SELECT id AS fid, cam, round(d2,6)+0.0 AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cam) AS k FROM (SELECT id, cam, (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) AS d2 FROM points, cameras)) WHERE k = 1", T.POINTS, T.CAMERAS),
         "camera_match_tolerant": _q("""SELECT id, rid, round(d,6)+0.0 AS d FROM (SELECT *, lead(d) OVER (PARTITION BY id ORDER BY d, rid) AS second, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS k FROM

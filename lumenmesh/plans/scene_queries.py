@@ -48,7 +48,7 @@ SELECT l_returnflag, count(*) FILTER (k1) AS k1, count(*) FILTER (k2) AS k2, cou
 def _visible(s, d):
     li = T.read(s, d, "lineitem")
     ref = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_extendedprice") / 30000)
-    ok = U.sample_visible(F.col("l_quantity") / 25, ref, F.col("l_orderkey") % 70 * 1.0, F.col("l_partkey") % 50 * 1.0, F.lit(64), F.lit(48), F.when(F.col("l_tax") < 0.07, F.lit(True)))
+    ok = U.sample_visible(F.col("l_quantity") / 25, ref, F.col("l_discount") * 10 - 0.4, F.col("l_orderkey") % 70 * 1.0, F.col("l_partkey") % 50 * 1.0, F.lit(64), F.lit(48), F.when(F.col("l_tax") < 0.07, F.lit(True)))
     return li.groupBy("l_suppkey").agg(F.count_if(ok).alias("visible"), F.count("*").alias("n"))
 
 
@@ -101,7 +101,7 @@ def _upsert(s, d):
 
 
 def _settings(s, d):
-    p = T.read(s, d, "part").where("p_partkey <= 100")
+    p = T.read(s, d, "part")
     layer = lambda k, e: p.where(k).select(F.col("p_partkey").cast("string").alias("key"), F.expr(e).alias("value"))
     return C.settings([layer("p_partkey % 5 = 0", "if(p_partkey % 10 = 0, NULL, 'explicit')"), layer("p_partkey % 3 = 0", "'preset'"), layer("true", "'default'")])
 
@@ -135,11 +135,12 @@ def queries() -> dict:
     return {
         "bounding_box": lambda s, d: rounded(P.bounding_box(v(s, d)), "diagonal"),
         "signed_distances": lambda s, d: rounded(v(s, d).select("vid", P.signed_distance(PLANE).alias("distance")), "distance"),
-        "plane_toward_mesh": lambda s, d: rounded(P.orient_to_mesh(v(s, d).where("y < 11"), PLANE), "nx", "ny", "nz", "d"),
+        "plane_toward_mesh": lambda s, d: rounded(P.orient_to_mesh(v(s, d), PLANE), "nx", "ny", "nz", "d"),
         "default_plane": lambda s, d: rounded(P.default_plane(v(s, d)), "d"),
         "onto_plane": lambda s, d: rounded(P.onto_plane(v(s, d), PLANE, F.col("vid") % 2 == 0), "x", "y", "z"),
         "loop_plane_coordinates": lambda s, d: rounded(P.loop_plane_coordinates(_loops(s, d), (0.0, 1.0, 0.0)), "x", "y"),
         "planar_uvs": lambda s, d: rounded(P.planar_uvs(v(s, d), (0.0, 1.0, 0.0)), "u", "v"),
+        "planar_uvs_across": lambda s, d: rounded(P.planar_uvs(v(s, d), (2.0, 0.0, 0.0)), "u", "v"),
         "barycentric_weights": lambda s, d: rounded(T.read(s, d, "orders").select("o_orderkey", *(c.alias(n) for c, n in zip(P.barycentric(F.col("o_orderkey") % 7 / 7.0, F.col("o_custkey") % 5 / 5.0, [F.lit(0.0), F.lit(1.0), F.lit(0.2)], [F.lit(0.0), F.lit(0.1), F.lit(1.0)]), "abc")), P.in_triangle(F.col("o_orderkey") % 7 / 7.0, F.col("o_custkey") % 5 / 5.0, [F.lit(0.0), F.lit(1.0), F.lit(0.2)], [F.lit(0.0), F.lit(0.1), F.lit(1.0)]).alias("inside")), "a", "b", "c"),
         "texture_size": lambda s, d: T.read(s, d, "part").select("p_partkey", P.texture_size(F.col("p_size") % 3 * 512, F.col("p_size") * 40, F.col("p_partkey") % 100 * 30).alias("size")),
         "clean_up_passes": _passes,
@@ -169,20 +170,21 @@ def oracle_sql() -> dict:
     return {
         "bounding_box": _q("SELECT " + ", ".join(f"min({a}) AS lo_{a}, max({a}) AS hi_{a}" for a in "xyz") + ", round(sqrt((max(x)-min(x))**2+(max(y)-min(y))**2+(max(z)-min(z))**2),6)+0.0 AS diagonal FROM vertices", V),
         "signed_distances": _q(f"SELECT vid, round({DIST},6)+0.0 AS distance FROM vertices", V),
-        "plane_toward_mesh": _q(f"SELECT round(0*k,6)+0.0 AS nx, round(0.6*k,6)+0.0 AS ny, round(0.8*k,6)+0.0 AS nz, round(-12*k,6)+0.0 AS d FROM (SELECT CASE WHEN m < -1e-9 OR (abs(m) <= 1e-9 AND a < b) THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS k FROM (SELECT avg({DIST}) AS m, count(*) FILTER ({DIST} > 0) AS a, count(*) FILTER ({DIST} < 0) AS b FROM vertices WHERE y < 11))", V),
+        "plane_toward_mesh": _q(f"SELECT round(0*k,6)+0.0 AS nx, round(0.6*k,6)+0.0 AS ny, round(0.8*k,6)+0.0 AS nz, round(-12*k,6)+0.0 AS d FROM (SELECT CASE WHEN m < -1e-9 OR (abs(m) <= 1e-9 AND a < b) THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS k FROM (SELECT avg({DIST}) AS m, count(*) FILTER ({DIST} > 0) AS a, count(*) FILTER ({DIST} < 0) AS b FROM vertices))", V),
         "default_plane": _q("SELECT 0.0::DOUBLE AS nx, 1.0::DOUBLE AS ny, 0.0::DOUBLE AS nz, round(-min(y),6)+0.0 AS d FROM vertices", V),
         "onto_plane": _q("SELECT vid, " + r("x=x", f"y=CASE WHEN vid%2=0 THEN y-({DIST})*0.6 ELSE y END", f"z=CASE WHEN vid%2=0 THEN z-({DIST})*0.8 ELSE z END") + " FROM vertices", V),
         "loop_plane_coordinates": "WITH l AS (SELECT CAST(c_nationkey AS BIGINT) AS loop_id, c_custkey AS vid, c_acctbal/1000 AS x, CAST(c_custkey%11 AS DOUBLE) AS z FROM customer) SELECT loop_id, vid AS pos, vid, " + r("x=x-avg(x) OVER (PARTITION BY loop_id)", "y=avg(z) OVER (PARTITION BY loop_id)-z") + " FROM l",
-        "planar_uvs": _q("SELECT vid, " + r("u=0.02+(x-lx)*0.96/s", "v=0.02+(hz-z)*0.96/s") + " FROM vertices, (SELECT min(x) AS lx, max(z) AS hz, greatest(max(x)-min(x), max(z)-min(z)) AS s FROM vertices)", V),
+        "planar_uvs": _q("SELECT vid, " + r("u=0.5+(x-mx)*0.96/s", "v=0.5-(z-mz)*0.96/s") + " FROM vertices, (SELECT (min(x)+max(x))/2 AS mx, (min(z)+max(z))/2 AS mz, greatest(max(x)-min(x), max(z)-min(z)) AS s FROM vertices)", V),
+        "planar_uvs_across": _q("SELECT vid, " + r("u=0.5+(y-my)*0.96/s", "v=0.5+(z-mz)*0.96/s") + " FROM vertices, (SELECT (min(y)+max(y))/2 AS my, (min(z)+max(z))/2 AS mz, greatest(max(y)-min(y), max(z)-min(z)) AS s FROM vertices)", V),
         "barycentric_weights": "WITH p AS (SELECT o_orderkey, o_orderkey%7/7.0::DOUBLE AS x, o_custkey%5/5.0::DOUBLE AS y FROM orders), q AS (SELECT o_orderkey, ((0.1-1)*(x-0.2)+(0.2-1)*(y-1))/((0.1-1)*(0-0.2)+(0.2-1)*(0-1)) AS a, ((1-0)*(x-0.2)+(0-0.2)*(y-1))/((0.1-1)*(0-0.2)+(0.2-1)*(0-1)) AS b FROM p) SELECT o_orderkey, round(a,6)+0.0 AS a, round(b,6)+0.0 AS b, round(1-a-b,6)+0.0 AS c, least(a,b,1-a-b) >= -1e-9 AS inside FROM q",
         "texture_size": "SELECT p_partkey, least(2048, CASE WHEN p_size%3*512 > 0 THEN p_size%3*512 ELSE CAST(round_even(sqrt(p_size*40*(p_partkey%100*30)),0) AS BIGINT) END) AS size FROM part",
         "clean_up_passes": PASSES,
-        "sample_visibility": "SELECT l_suppkey, count(*) FILTER (l_quantity/25 > 0.01 AND l_orderkey%70 < 63 AND l_partkey%50 < 47 AND l_tax < 0.07 AND (l_linenumber%3 = 0 OR l_quantity/25 <= l_extendedprice/30000+greatest(1e-4, 0.003*l_extendedprice/30000))) AS visible, count(*) AS n FROM lineitem GROUP BY 1",
+        "sample_visibility": "SELECT l_suppkey, count(*) FILTER (l_quantity/25 > 0.01 AND l_orderkey%70 < 63 AND l_partkey%50 < 47 AND l_tax < 0.07 AND (l_linenumber%3 = 0 OR l_quantity/25 <= l_extendedprice/30000+greatest(1e-4, 0.003*(l_extendedprice/30000)/greatest(abs(l_discount*10-0.4),0.1)))) AS visible, count(*) AS n FROM lineitem GROUP BY 1",
         "islands": _q("SELECT f.* FROM faces f JOIN comp c USING (fid) WHERE c.component IN (SELECT component FROM judged)", Fc, E, V, ADJACENCY, REACH,
                       "sizes AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)", "main AS (SELECT component AS main, size AS largest FROM sizes ORDER BY size DESC, component LIMIT 1)",
                       "fv AS (SELECT fid, v0 AS vid FROM faces UNION ALL SELECT fid, v1 FROM faces UNION ALL SELECT fid, v2 FROM faces)", "cv AS (SELECT DISTINCT component, v.vid, v.x, v.y, v.z FROM comp JOIN fv USING (fid) JOIN vertices v ON v.vid = fv.vid)",
                       "box AS (SELECT " + ", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in "xyz") + " FROM cv, main WHERE component = main)",
-                      "diag AS (SELECT sqrt((max(x)-min(x))**2+(max(y)-min(y))**2+(max(z)-min(z))**2) AS d FROM vertices)",
+                      "diag AS (SELECT sqrt((hix-lox)**2+(hiy-loy)**2+(hiz-loz)**2) AS d FROM box)",
                       "far AS (SELECT component, min(sqrt(" + "+".join(f"greatest(lo{a}-{a},0,{a}-hi{a})**2" for a in "xyz") + ")) AS off FROM cv, box GROUP BY 1)",
                       "judged AS (SELECT component FROM sizes JOIN far USING (component), main, diag WHERE component = main OR (size >= greatest(1, floor(0.001*largest)) AND off <= 0.2*d))"),
         "split_faces": _q("SELECT fid, fid//2 AS source, v0, v1, v2 FROM (SELECT fid, v0, v1, v2 FROM faces) c WHERE fid//2 IN (SELECT fid FROM faces WHERE fid%3 > 0) AND NOT EXISTS (SELECT 1 FROM faces m WHERE m.fid%4=1 AND m.v0=c.v0 AND m.v1=c.v1 AND m.v2=c.v2)", Fc),
@@ -191,7 +193,7 @@ def oracle_sql() -> dict:
         "cap_groups": "WITH l AS (SELECT CAST(s_nationkey AS BIGINT) AS loop_id, count(*) AS n, min(s_suppkey)/10.0::DOUBLE-1 AS dist FROM supplier GROUP BY 1), g AS (SELECT loop_id AS ground FROM l WHERE n >= 4 AND abs(dist) < 1 ORDER BY n DESC, loop_id LIMIT 1) SELECT loop_id, CAST(coalesce(sum(n-2) OVER (ORDER BY loop_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS \"offset\", coalesce(loop_id = (SELECT ground FROM g), false) AS is_ground FROM l",
         "label_regions_grown": _q("SELECT fid, region FROM comp WHERE region IN (SELECT region FROM comp WHERE fid%4=0)", Fc, E, ADJACENCY, REGIONS),
         "metadata_upsert": "SELECT o_orderkey AS name, CASE WHEN o_orderkey%3=0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey%2=0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE 'now' END AS created_at FROM orders WHERE o_orderkey%2=0 OR o_orderkey%3=0",
-        "layered_settings": "SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey%5=0 AND p_partkey%10<>0 THEN 'explicit' WHEN p_partkey%3=0 THEN 'preset' ELSE 'default' END AS value, CASE WHEN p_partkey%5=0 AND p_partkey%10<>0 THEN 0 WHEN p_partkey%3=0 THEN 1 ELSE 2 END AS layer FROM part WHERE p_partkey <= 100",
+        "layered_settings": "SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey%5=0 AND p_partkey%10<>0 THEN 'explicit' WHEN p_partkey%3=0 THEN 'preset' ELSE 'default' END AS value, CASE WHEN p_partkey%5=0 AND p_partkey%10<>0 THEN 0 WHEN p_partkey%3=0 THEN 1 ELSE 2 END AS layer FROM part",
         "branch_migration": "WITH n AS (SELECT CASE WHEN n_nationkey%3=0 THEN 'main/N' || (n_nationkey+1) ELSE 'N' || n_nationkey END AS name FROM nation) SELECT name, 'main/' || name AS target FROM n WHERE NOT contains(name, '/') AND 'main/' || name NOT IN (SELECT name FROM n)",
         "colour_transfer": f"WITH {G}, c AS (SELECT px, py, value AS r, value/2 AS g, value+px AS b FROM grid), s AS (SELECT px < 20 AS p, " + ", ".join(f"avg({k}) AS m{k}, stddev_pop({k}) AS d{k}" for k in "rgb") + " FROM c GROUP BY 1) SELECT px, py, " + ", ".join(f"round(({k}-a.m{k})*t.d{k}/greatest(a.d{k},1e-6)+t.m{k},4)+0.0 AS {k}" for k in "rgb") + " FROM c, s a, s t WHERE px < 20 AND a.p AND NOT t.p",
         "cube_summary": "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag)*2+grouping(l_linestatus) AS BIGINT) AS level, count(*) AS n, count(DISTINCT q) AS distinct_values, CAST(sum(q) AS BIGINT) AS total FROM (SELECT l_returnflag, l_linestatus, CAST(trunc(l_quantity) AS BIGINT) AS q FROM lineitem) GROUP BY CUBE (l_returnflag, l_linestatus)",
@@ -204,6 +206,20 @@ def _consistency(s, d):
     return U.mask_consistency(T.read(s, d, "lineitem").select((F.col("l_discount") > 0.05).alias("outside"), (F.col("l_tax") > 0.06).alias("ground")))
 
 
+def _loop_rows(s, d):
+    """A loop a customer: area and centre of their orders."""
+    o = T.read(s, d, "orders").groupBy(F.col("o_custkey").alias("loop_id"))
+    return o.agg(F.round(F.sum("o_totalprice") / 1000, 3).alias("area"), (F.max("o_orderkey") % 100 / 1.0).alias("cx"), (F.max("o_orderkey") % 37 / 1.0).alias("cy"), (F.count("*") / 1.0).alias("cz"))
+
+
+def _best(s, d):
+    """The best loop without a target, with one that fits, and with one whose best match is too far off."""
+    loops = _loop_rows(s, d)
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "loop_id")
+    out = named("largest", U.best_loop(loops)).unionByName(named("near", U.best_loop(loops, (700.0, 50.0, 18.0, 6.0), 200.0)))
+    return out.unionByName(named("far", U.best_loop(loops, (1e6, 50.0, 18.0, 6.0), 200.0)))
+
+
 def _flags(s, d):
     o = T.read(s, d, "orders")
     pos = F.col("o_orderkey")
@@ -212,7 +228,7 @@ def _flags(s, d):
 
 def _offset(s, d):
     li = T.read(s, d, "lineitem")
-    return rounded(U.clip_offset(li.select(F.col("l_suppkey").alias("loop_id"), (F.col("l_quantity") / 10).alias("distance")), 0.0, 10.0), "offset")
+    return rounded(U.clip_offset(li.select(F.col("l_suppkey").alias("loop_id"), F.col("l_partkey").alias("vid"), (F.col("l_quantity") / 10).alias("distance")), 1.0, 10.0), "offset")
 
 
 def _sobel(s, d):
@@ -236,12 +252,16 @@ def _iso(s, d):
     return T.read(s, d, "events").select("event_id", rules.utc_iso(F.col("ts")).alias("at"), rules.alias_of(F.col("event_type"), {"click": "press", "view": "look"}, "other").alias("kind"))
 
 
-MORE = {"mask_consistency": _consistency, "loop_flags": _flags, "clip_offset": _offset, "sobel_gradient": _sobel, "median_colour": _median, "utc_iso_alias": _iso}
+MORE = {"best_loop": _best, "mask_consistency": _consistency, "loop_flags": _flags, "clip_offset": _offset, "sobel_gradient": _sobel, "median_colour": _median, "utc_iso_alias": _iso}
 
+_MISS = "abs(area-{0})/{0} AS err, sqrt((cx-50)**2+(cy-18)**2+(cz-6)**2)/200 AS far"
 MORE_SQL = {
+    "best_loop": "WITH l AS (SELECT o_custkey AS loop_id, round(sum(o_totalprice)/1000,3) AS area, max(o_orderkey)%100/1.0::DOUBLE AS cx, max(o_orderkey)%37/1.0::DOUBLE AS cy, count(*)/1.0::DOUBLE AS cz FROM orders GROUP BY 1), "
+    + ", ".join(f"{n} AS (SELECT loop_id, err, far FROM (SELECT loop_id, {_MISS.format(t)} FROM l) ORDER BY err+0.25*far, loop_id LIMIT 1)" for n, t in (("near", "700.0::DOUBLE"), ("off_", "1e6")))
+    + " SELECT 'largest' AS kind, loop_id FROM (SELECT loop_id FROM l ORDER BY area DESC, loop_id LIMIT 1) UNION ALL SELECT 'near', loop_id FROM near WHERE err <= 0.15 AND far <= 0.08 UNION ALL SELECT 'far', loop_id FROM off_ WHERE err <= 0.15 AND far <= 0.08",
     "mask_consistency": "SELECT count(*) AS n, round_even(avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END),4) AS outside, round_even(avg(CASE WHEN l_tax > 0.06 THEN 1.0::DOUBLE ELSE 0 END),4) AS ground, round_even((avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END)+avg(CASE WHEN l_tax > 0.06 THEN 1.0::DOUBLE ELSE 0 END))/2,4) AS score FROM lineitem",
     "loop_flags": "WITH e AS (SELECT o_custkey AS loop_id, count(*) AS k, count(DISTINCT o_orderkey%7) AS dv, arg_min(o_orderkey%7, o_orderkey) = arg_max(o_orderkey%7, o_orderkey) AS closed FROM orders GROUP BY 1) SELECT loop_id, k - CAST(closed AS INT) AS n, CASE WHEN NOT closed THEN 'open' WHEN k - CAST(closed AS INT) < 3 THEN 'small' WHEN dv < k - CAST(closed AS INT) THEN 'self_touching' ELSE 'fillable' END AS flag FROM e",
-    "clip_offset": "SELECT round(least(coalesce(max(top)+1e-4,0),3.0),6)+0.0 AS \"offset\" FROM (SELECT avg(l_quantity/10) AS mean, max(l_quantity/10) AS top FROM lineitem GROUP BY l_suppkey) WHERE mean <= 2.5",
+    "clip_offset": "SELECT round(greatest(0.002, coalesce(least(max(top)+0.002, 4.0), 1.002)),6)+0.0 AS \"offset\" FROM (SELECT avg(l_quantity/10) AS mean, max(l_quantity/10) AS top FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) >= 3) WHERE mean-1 <= 0.2*10",
     "sobel_gradient": f"WITH {T.GRID}, s AS (SELECT a.px, a.py, count(*) AS n, sum(b.value*(b.px-a.px)*(CASE WHEN b.py=a.py THEN 2 ELSE 1 END)) AS sx, sum(b.value*(b.py-a.py)*(CASE WHEN b.px=a.px THEN 2 ELSE 1 END)) AS sy FROM grid a JOIN grid b ON abs(a.px-b.px) <= 1 AND abs(a.py-b.py) <= 1 AND NOT (a.px=b.px AND a.py=b.py) GROUP BY 1, 2) SELECT px, py, round(sqrt(sx*sx+sy*sy),4)+0.0 AS gradient FROM s WHERE n = 8",
     "median_colour": f"WITH {T.GRID}, w AS (SELECT CAST(greatest(0, least(63, round_even(range*7%100/100.0::DOUBLE*63,0))) AS BIGINT) AS px, CAST(greatest(0, least(63, round_even((1-range*11%100/100.0::DOUBLE)*63,0))) AS BIGINT) AS py FROM range(300)) SELECT round(coalesce(median(value),176),5)+0.0 AS r, round(coalesce(median(value/2),176),5)+0.0 AS g, round(coalesce(median(value+1),176),5)+0.0 AS b FROM w JOIN grid USING (px, py)",
     "utc_iso_alias": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, CASE event_type WHEN 'click' THEN 'press' WHEN 'view' THEN 'look' ELSE 'other' END AS kind FROM events",

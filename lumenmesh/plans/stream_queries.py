@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenmesh.operators.graph import shared_folder
 from lumenmesh.streaming import logs
 
 FILES = T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name == "ts" else f.dataType) for f in logs.EVENT])
@@ -19,9 +19,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; a local one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _outcome(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -36,7 +35,7 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _outcome(spark, logs.progress_states(_events(spark, sf_dir).where("NOT (event_type = 'purchase' AND value = 0)")), "update")
+    out = _outcome(spark, logs.progress_states(_events(spark, sf_dir)), "update")
     return out.groupBy("user_id").agg(F.max_by("state", "updates").alias("state"), F.max("percent").alias("percent"), F.max("updates").alias("updates"))
 
 
@@ -53,6 +52,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-        "stream_progress": "SELECT user_id, CASE WHEN max(value) >= 100 THEN 'COMPLETE' ELSE 'RUNNING' END AS state, max(least(100, greatest(0, value))) AS percent, count(*) AS updates FROM events WHERE NOT (event_type = 'purchase' AND value = 0) GROUP BY 1",
+        "stream_progress": "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND value = 0) THEN 'FAILED' WHEN max(value) >= 100 THEN 'COMPLETE' ELSE 'RUNNING' END AS state, max(least(100, greatest(0, value))) AS percent, count(*) AS updates FROM events GROUP BY 1",
         "stream_once": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     }

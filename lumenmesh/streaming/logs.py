@@ -42,7 +42,8 @@ STATE = "state string, percent double, updates long"
 
 def progress_states(events: DataFrame) -> DataFrame:
     """user_id, state, percent, updates after each batch: pending until the first event, running while percent (the largest
-    value, kept within 0 to 100) is below 100, then complete; a `purchase` of value 0 fails it for good."""
+    value, kept within 0 to 100) is below 100, then complete; a `purchase` of value 0 fails it for good, while percent goes on.
+    The outcome doesn't depend on the order of events within a batch."""
 
     def step(key, batches, held):
         import pandas as pd
@@ -51,13 +52,11 @@ def progress_states(events: DataFrame) -> DataFrame:
         for pdf in batches:
             for kind, value in zip(pdf["event_type"], pdf["value"]):
                 updates += 1
-                if state == "FAILED":
-                    continue
+                percent = max(percent, min(100.0, max(0.0, float(value))))
                 if kind == "purchase" and value == 0:
                     state = "FAILED"
-                    continue
-                percent = max(percent, min(100.0, max(0.0, float(value))))
-                state = "COMPLETE" if percent >= 100 else "RUNNING"
+                elif state != "FAILED":
+                    state = "COMPLETE" if percent >= 100 else "RUNNING"
         held.update((state, percent, updates))
         yield pd.DataFrame({"user_id": [key[0]], "state": [state], "percent": [percent], "updates": [updates]})
 

@@ -67,7 +67,7 @@ def test_orientation(spark):
 
 def test_boundary_paths_and_ear_clip(spark):
     square = faces(spark, (0, 1, 2), (0, 2, 3))
-    assert got(mesh.boundary_paths(square)) == [(0, i, v, True) for i, v in enumerate((0, 1, 2, 3, 0))]
+    assert got(mesh.boundary_paths(square)) == [(0, 0, i, v, True) for i, v in enumerate((0, 1, 2, 3, 0))]
     loop = spark.createDataFrame([(1, i, 10 + i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 0.5), (0.0, 2.0)])], "loop_id long, pos int, vid long, x double, y double")
     tris = got(mesh.ear_clip(loop))
     assert len(tris) == 3 and {v for t in tris for v in t[2:]} == set(range(10, 15))

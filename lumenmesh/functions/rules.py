@@ -146,3 +146,72 @@ def alias_of(text: Column, aliases: dict[str, str], default: str) -> Column:
     for name, canonical in aliases.items():
         out = F.when(s == name, canonical).otherwise(out)
     return out
+
+
+def env_int(text: Column, default: int, least: int) -> Column:
+    """A setting as text: the default if it is blank or no whole number, else at least `least`."""
+    s = _bare(F.coalesce(text, F.lit("")))
+    whole = F.when(s.rlike(f"^[+-]?{_GROUPED}$"), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.coalesce(F.greatest(whole, F.when(whole.isNotNull(), F.lit(least).cast("bigint"))), F.lit(default).cast("bigint"))
+
+
+def env_float(text: Column, default: float, lo: float, hi: float) -> Column:
+    """A setting as text: the default if it is blank or no number, else kept between the bounds."""
+    x = F.nullif(cast_float(text, float("nan")), F.lit(float("nan")))
+    return F.coalesce(F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))), F.lit(default))
+
+
+def env_bool(text: Column, default: bool) -> Column:
+    s = F.lower(_bare(F.coalesce(text, F.lit(""))))
+    return F.when(s.isin("1", "true", "yes", "on"), True).when(s.isin("0", "false", "no", "off"), False).otherwise(F.lit(default))
+
+
+#: Classes of failures and what a lower-cased text says for each, in order: any of the groups, all of a group's phrases
+#: (fixed values).
+FAILURES = [
+    ("cuda_illegal_memory_access", [["illegal memory access"]]),
+    ("cuda_rasterizer_failure", [["diff_gaussian_rasterization", "cuda error"]]),
+    ("renderer_signature_mismatch", [["unexpected keyword argument"], ["camera.__init__"], ["train_test_exp"], ["antialiasing"], ["depths"], ["not enough values to unpack"]]),
+    ("missing_rasterizer_extension", [["no module named 'diff_gaussian_rasterization'"]]),
+    ("missing_output_artifacts", [["missing stereo outputs"], ["camera_data.json"]]),
+]
+
+
+def failure_class(text: Column) -> Column:
+    """The first class of failure that the text speaks of, else unclassified."""
+    t, out = F.lower(text), F.lit("unclassified")
+    for name, groups in reversed(FAILURES):
+        said = F.lit(False)
+        for phrases in groups:
+            every = F.lit(True)
+            for p in phrases:
+                every = every & F.contains(t, F.lit(p))
+            said = said | every
+        out = F.when(said, name).otherwise(out)
+    return out
+
+
+def out_of_memory(text: Column) -> Column:
+    t = F.lower(text)
+    return F.contains(t, F.lit("out of memory")) & (F.contains(t, F.lit("cuda")) | F.contains(t, F.lit("open3d")))
+
+
+def preset_of(fields: dict[str, Column], presets: dict[str, dict[str, object]], custom: str = "custom") -> Column:
+    """The first preset all of whose values the fields have, else custom. fields: the public ones, by name."""
+    out = F.lit(custom)
+    for name, values in reversed(presets.items()):
+        same = F.lit(True)
+        for field, column in fields.items():
+            same = same & F.coalesce(column == F.lit(values[field]), F.lit(False))
+        out = F.when(same, name).otherwise(out)
+    return out
+
+
+def normal_preset(text: Column, names: list[str], default: str) -> Column:
+    s = F.lower(_bare(F.coalesce(text, F.lit(""))))
+    return F.when(s.isin(*names), s).otherwise(F.lit(default))
+
+
+def loop_document(loop_id: Column, vertices: Column, diameter: Column, centroid: Column, normal_y: Column, points: Column) -> Column:
+    """One loop as JSON; centroid: an array of three, points: an array of such."""
+    return F.to_json(F.struct(loop_id.alias("loop_id"), F.size(vertices).alias("vertex_count"), diameter.alias("diameter"), centroid.alias("centroid"), normal_y.alias("normal_y"), points.alias("points")))

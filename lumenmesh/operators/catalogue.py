@@ -56,3 +56,18 @@ def colour_transfer(patch: DataFrame, reference: DataFrame, columns: tuple[str,
 def grouping_summary(rows: DataFrame, *keys: str, measure: str) -> DataFrame:
     """Counts, distinct values and sums over the cube of keys, with the grouping number."""
     return rows.cube(*keys).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_distinct(measure).alias("distinct_values"), F.sum(measure).alias("total"))
+
+
+def by_support(stats: DataFrame) -> DataFrame:
+    """fid, stats: the views of each face as (support, view) structs, the best supported first, of equals the lower."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "view", "support")))
+    return stats.groupBy("fid").agg(F.transform(order, lambda s: F.struct(s["view"].alias("view"), s["support"].alias("support"))).alias("stats"))
+
+
+def hydrated(stages: DataFrame, artefacts: DataFrame) -> DataFrame:
+    """stages: object, stage, path (what the stage leaves). object, stage, state: complete where the artefact exists, else
+    pending; current: the first pending stage of the object, null if there is none."""
+    there = artefacts.select("object", "path").distinct().withColumn("_there", F.lit(True))
+    of = stages.join(there, ["object", "path"], "left").groupBy("object", "stage").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("done"))
+    first = of.groupBy("object").agg(F.min(F.when(~F.col("done"), F.col("stage"))).alias("current"))
+    return of.join(first, "object").select("object", "stage", F.when(F.col("done"), "complete").otherwise("pending").alias("state"), "current")

@@ -21,7 +21,7 @@ def shared_folder(spark) -> str:
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which is deleted when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/edges-{uuid.uuid4().hex}"
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     """From (u, v) edges: (node, root), root being the smallest node reachable; nodes without an edge and roots are absent.
     A round links every neighbour to the least node around (two group minima and the joins back), so no node's neighbours
     are gathered, and the number of rounds grows with the logarithm of the longest path."""
-    now = _cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     sign = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         far = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = far.groupBy("u").agg(F.min("v").alias("m"))
         near = far.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _cut(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         last, sign = sign, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if sign == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from lumenmesh.operators.graph import components
@@ -402,3 +401,24 @@ def section_loops(segments: DataFrame, positions: DataFrame, least_area: float =
 
     loops = at.groupBy("root").applyInPandas(walk, "loop_id long, pos int, vid long, area double")
     return loops.where(F.col("area") > least_area)
+
+
+def cluster_to_budget(faces: DataFrame, vertices: DataFrame, target: int, tolerance: float = 0.15, steps: int = 30) -> tuple[DataFrame, float]:
+    """Faces after welding vertices in cells, and the size of the cells: a binary search over it until the number of faces is
+    within `tolerance` of the target (or `steps` are taken; then the nearest so far). Few enough faces stay as they are. One
+    count is all that comes to the driver in a step."""
+    total = faces.count()
+    if total <= target:
+        return faces, 0.0
+    box = vertices.agg(*((F.max(a) - F.min(a)).alias(a) for a in "xyz")).first()
+    lo, hi, best = 0.0, max(box) or 1.0, None
+    for _ in range(steps):
+        size = (lo + hi) / 2
+        found = weld_faces(faces, weld_vertices(vertices, size))
+        n = found.count()
+        if best is None or abs(n - target) < best[0]:
+            best = abs(n - target), found, size
+        if abs(n - target) <= tolerance * target:
+            break
+        lo, hi = (size, hi) if n > target else (lo, size)
+    return best[1], best[2]

@@ -146,3 +146,66 @@ def sobel(values: DataFrame, *keys: str) -> DataFrame:
     g = moved.groupBy(*keys, (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("gx")).alias("sx"), F.sum(F.col("value") * F.col("gy")).alias("sy"))
     whole = g.where("n = 8").join(values.select(*keys, "px", "py"), [*keys, "px", "py"], "left_semi")
     return whole.select(*keys, "px", "py", F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")).alias("gradient"))
+
+
+def unsharp(values: DataFrame, amount: float, sigma: float = 1.0, radius: int = 3, *keys: str) -> DataFrame:
+    """What the Gaussian takes away is added `amount` times, kept within 0 to 1."""
+    low = gaussian(values, sigma, radius, *keys).withColumnRenamed("value", "_low")
+    sharp = F.col("value") + amount * (F.col("value") - F.col("_low"))
+    return values.join(low, [*keys, "px", "py"]).select(*keys, "px", "py", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sharp)).alias("value"))
+
+
+def pixel_components(mask: DataFrame, width: int) -> DataFrame:
+    """px, py, component (number of its first pixel, row by row) of set pixels of an image so wide; 8 neighbours touch."""
+    from lumenmesh.operators.graph import components
+
+    number = lambda dx, dy: (F.col("py") + dy) * width + F.col("px") + dx
+    here = mask.select("px", "py", number(0, 0).cast("long").alias("u")).distinct()
+    ahead = [(1, 0), (-1, 1), (0, 1), (1, 1)]
+    pairs = here.select("u", F.explode(F.array(*(F.when(F.col("px").between(-dx, width - 1 - dx) & (F.col("px") + dx >= 0), number(dx, dy).cast("long")) for dx, dy in ahead))).alias("v"))
+    edges = pairs.join(here.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v")
+    roots = components(edges).withColumnRenamed("node", "u")
+    return here.join(roots, "u", "left").select("px", "py", F.coalesce("root", "u").alias("component"))
+
+
+def detail_advantage(reference: DataFrame, candidate: DataFrame, sigma: float = 1.0, radius: int = 3) -> DataFrame:
+    """One row, 0 to 1.5: by how much the fine structure (a grey value less its Gaussian) of the candidate exceeds the
+    reference's in the mean over the pixels that both have, in shares of the reference's; 0 without such pixels."""
+
+    def fine(values, name):
+        low = gaussian(values, sigma, radius).withColumnRenamed("value", "_low")
+        return values.join(low, ["px", "py"]).select("px", "py", F.abs(F.col("value") - F.col("_low")).alias(name))
+
+    shared = reference.select("px", "py").join(candidate.select("px", "py"), ["px", "py"], "left_semi")
+    both = fine(reference.join(shared, ["px", "py"], "left_semi"), "a").join(fine(candidate.join(shared, ["px", "py"], "left_semi"), "b"), ["px", "py"])
+    gain = F.avg(F.greatest(F.col("b") - F.col("a"), F.lit(0.0))) / F.greatest(F.avg("a"), F.lit(1e-4))
+    return both.agg(F.coalesce(F.least(gain, F.lit(1.5)), F.lit(0.0)).alias("advantage"), F.count("*").alias("n"))
+
+
+def fill_region(values: DataFrame, region: DataFrame, rounds: int = 300, *channels: str) -> DataFrame:
+    """values: px, py and channels; region: px, py. In each round every empty pixel of the region with set 4-neighbours takes
+    their mean, until nothing is empty or can be filled; all other pixels stay. Lineage is cut every round."""
+    from lumenmesh.operators.graph import cut
+
+    channels = channels or ("value",)
+    now = values.select("px", "py", *channels)
+    empty = cut(region.select("px", "py").distinct().join(now, ["px", "py"], "left_anti"))
+    for _ in range(rounds):
+        fresh = cut(spread(now, CROSS).join(empty, ["px", "py"], "left_semi").groupBy("px", "py").agg(*(F.avg(c).alias(c) for c in channels)))
+        if fresh.isEmpty():
+            break
+        empty = cut(empty.join(fresh.select("px", "py"), ["px", "py"], "left_anti"))
+        now = cut(now.unionByName(fresh))
+    return now
+
+
+def level_seams(values: DataFrame, labels: DataFrame, reach: int = 2, sigma: float = 2.0, share: float = 0.7) -> DataFrame:
+    """Values within `reach` steps of a border between labels move towards their Gaussian, the nearer the more: by
+    share * (1 - d / (reach + 1)), d being the least number of steps (of 8 neighbours) to the border."""
+    border = label_boundary(labels).select("px", "py")
+    off = F.greatest(F.abs("dx"), F.abs("dy"))
+    near = spread(border, square(reach)).groupBy("px", "py").agg(F.min(off).alias("d"))
+    low = gaussian(values, sigma, math.ceil(3 * sigma)).withColumnRenamed("value", "_low")
+    w = F.coalesce(share * (1 - F.col("d") / (reach + 1)), F.lit(0.0))
+    at = values.join(low, ["px", "py"]).join(near, ["px", "py"], "left")
+    return at.select("px", "py", (F.col("value") + w * (F.col("_low") - F.col("value"))).alias("value"))

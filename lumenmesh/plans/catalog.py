@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenmesh.operators import mesh
-from lumenmesh.plans import mesh_queries, scene_queries, stream_queries, table_queries, tables
+from lumenmesh.plans import bake_queries, mesh_queries, scene_queries, stream_queries, table_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary edges of the mesh that the order lines make."""
-    return mesh.boundary_edges(tables.faces(spark, sf_dir))
+    """Colours of surface points, blended from the views that show them."""
+    return bake_queries.queries()["bake_texels"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return mesh_queries.queries() | table_queries.queries() | scene_queries.queries() | scene_queries.MORE | stream_queries.queries()
+    return mesh_queries.queries() | table_queries.queries() | scene_queries.queries() | scene_queries.MORE | bake_queries.queries() | stream_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return mesh_queries.oracle_sql() | table_queries.oracle_sql() | scene_queries.oracle_sql() | scene_queries.MORE_SQL | stream_queries.oracle_sql()
+    return mesh_queries.oracle_sql() | table_queries.oracle_sql() | scene_queries.oracle_sql() | scene_queries.MORE_SQL | bake_queries.oracle_sql() | stream_queries.oracle_sql()

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 _LIBC = ctypes.CDLL(None)
 if hasattr(_LIBC, "mallopt"):
-    # arrays from 1 MB on go back to the system when freed (M_MMAP_THRESHOLD), and threads share an arena (M_ARENA_MAX)
-    _LIBC.mallopt(-3, 1 << 20)
+    # arrays beyond those of a chunk go back to the system when freed (M_MMAP_THRESHOLD), up to 64 MB of smaller ones are kept
+    # for the next chunk (M_TRIM_THRESHOLD), and threads share an arena (M_ARENA_MAX)
+    _LIBC.mallopt(-3, 8 << 20)
+    _LIBC.mallopt(-1, 64 << 20)
     _LIBC.mallopt(-8, 1)
 #: White space that separates words: space and \x09-\x0D.
 SPACE = "[\\x20\\x09-\\x0D]"

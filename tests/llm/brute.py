@@ -94,3 +94,68 @@ def benchmark_overlaps(docs, items, span=10, masks=((0, 1, 3, 6, 7, 9), (0, 2, 3
                     if k >= 10 and 4 * n >= 3 * k:
                         best[doc, item] = max(best.get((doc, item), (0, 0, 0)), (n / k, n, k))
     return {k: v[1:] for k, v in best.items()}
+
+
+def context_tree(texts, depth, least, end=255):
+    """A plain context tree over the bits of bytes, weighted by recursion: text -> log10 probability of its bytes and end."""
+    import math
+    from functools import cache
+
+    def positions(text):
+        data = bytes([end]) * depth + text + bytes([end])
+        for i in range(depth, len(data)):
+            yield tuple(data[i - 1 - k] for k in range(depth)), data[i]
+
+    def bits(byte):
+        return [(1 << k | byte >> 8 - k, byte >> 7 - k & 1) for k in range(8)]
+
+    seen = [(c, b) for t in texts for c, b in positions(lower(t).encode())]
+    often = defaultdict(int)
+    for c, _ in seen:
+        for d in range(depth + 1):
+            often[c[:d]] += 1
+    nodes, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for c, b in seen:
+        for d in range(depth + 1):
+            if d and often[c[:d]] < least:
+                break
+            for head, bit in bits(b):
+                nodes[c[:d], head][bit] += 1
+                if d:
+                    below[c[: d - 1], head].add(c[:d])
+
+    def estimate(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(sum(n) + 1)
+
+    def ahead(n):
+        return (n[1] + 0.5) / (sum(n) + 1)
+
+    @cache
+    def weighted(c, head):
+        """Log weighted probability, the share of the own estimate, and the counts of the rest."""
+        n = nodes[c, head]
+        if len(c) == depth:
+            return estimate(n), 1.0, n
+        rest = [n[x] - sum(nodes[k, head][x] for k in below[c, head]) for x in (0, 1)]
+        own, more = estimate(n), sum(weighted(k, head)[0] for k in below[c, head]) + estimate(rest)
+        top = max(own, more)
+        both = top + math.log(math.exp(own - top) + math.exp(more - top))
+        return both - math.log(2), math.exp(own - both), rest
+
+    def one(c, head):
+        if ((), head) not in nodes:
+            return 0.5
+        sofar, left, d = 0.0, 1.0, 0
+        while True:
+            _, stop, rest = weighted(c[:d], head)
+            if d == depth:
+                return sofar + left * ahead(nodes[c[:d], head])
+            sofar, left = sofar + left * stop * ahead(nodes[c[:d], head]), left * (1 - stop)
+            if c[: d + 1] not in below[c[:d], head]:
+                return sofar + left * ahead(rest)
+            d += 1
+
+    def score(text):
+        return sum(math.log10(p if bit else 1 - p) for c, b in positions(lower(text or "").encode()) for head, bit in bits(b) for p in [one(c, head)])
+
+    return score

@@ -75,7 +75,7 @@ def test_tree_probabilities_sum_to_one():
         of = {c: total[context == c].sum() for c in np.unique(context)}
         kept = np.array([of[c] >= (20 if d > 1 else 0) for c in context])
         levels.append((key[kept], total[kept]))
-    tree = ctw.Tree(levels)
+    tree = ctw.Tree.of(levels)
     for context in (0, int(full[0]) >> 8, int.from_bytes(b"abca", "big"), int.from_bytes(b"zzza", "big"), int.from_bytes(b"\xff\xff\xffb", "big")):
         every = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert math.isclose((10 ** tree.log10(every)).sum(), 1, rel_tol=1e-9)
@@ -89,7 +89,7 @@ def test_tree_weights_by_hand():
     a, b = 0x00, 0x80  # differ in the first bit
     counts = {(a, a): 8, (a, b): 1, (b, a): 2, (b, b): 9}
     deep = np.array([(c << 8) | x for c, x in counts], np.uint64)
-    tree = ctw.Tree([(np.array([a, b], np.uint64), np.array([10.0, 10.0])), (deep, np.array(list(counts.values()), float))], depth=1)
+    tree = ctw.Tree.of([(np.array([a, b], np.uint64), np.array([10.0, 10.0])), (deep, np.array(list(counts.values()), float))])
     own, below = kt(10, 10), kt(8, 1) * kt(2, 9)
     stop = own / (own + below)
     first = stop * (10.5 / 21) + (1 - stop) * (1.5 / 10)
@@ -115,6 +115,34 @@ def test_scores_match_plain_version(spark, docs):
     assert np.mean([r.bits_per_byte for r in held]) < 3  # bytes of this text take 4.2 bits without any context
 
 
+@pytest.mark.parametrize("depth, least", [(5, 1), (5, 4), (3, 2), (2, 3), (1, 1), (0, 1)])
+def test_scores_equal_a_plain_tree(spark, docs, monkeypatch, depth, least):
+    """Trained by tasks of a few grams each, and by the recursion of the definition."""
+    texts = [r.text[:400] for r in docs.orderBy("doc_id").limit(14).collect()]
+    plain = brute.context_tree(texts[:10], depth, least)
+    rows = spark.createDataFrame(list(enumerate([*texts, "", None, "Zq\x00 日本"])), "doc_id long, text string")
+    model = ctw.train(rows.where("doc_id < 10"), depth, least)
+    got = {r.doc_id: (r.text, r.score) for r in ctw.score(rows, model).join(rows, "doc_id").collect()}
+    for text, score in got.values():
+        assert math.isclose(score, plain(text), rel_tol=1e-9)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    text = b"some words that go on and on, " * 40
+    whole = ctw.grams([text])[0]
+    for most in (7, 100, len(text), len(text) - 1):
+        assert (np.concatenate(list(ctw.cut_grams(text, ctw.DEPTH, most))) == whole).all()
+    batch = type("B", (), {"num_rows": 10, "column": lambda self, c: {"key": self.key, "n": self.n}[c]})
+    groups = []
+    for i in range(9):
+        b = batch()
+        b.key, b.n = (ctw.pa.array(x) for x in (((np.arange(10) + 10 * i) // 16 << 8), np.ones(10, np.int64)))
+        groups.append(b)
+    found = [k >> np.uint64(8) for k, _ in ctw._whole_groups(groups, 2, 12)]
+    assert sum(map(len, found)) == 90 and len(found) > 3
+    assert all(not set(a) & set(b) for i, a in enumerate(found) for b in found[:i])
+
+
 def test_scores_with_joined_words(spark, docs, monkeypatch):
     part = docs.limit(30).select("doc_id", "text")
     whole = {r.doc_id: r.base_score for r in ctw.score(part, ctw.train(part)).collect()}

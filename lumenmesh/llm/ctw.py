@@ -20,10 +20,10 @@ parts, with the bytes before as context; a null doc_id is scored and counts as t
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import os
 import shutil
-import tempfile
 from functools import lru_cache
 from math import lgamma
 
@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, crc_mod, parts, sliced, table, word_bounds, word_hashes, written
+from .common import byte_texts, chunks, crc_mod, forget, parts, sliced, table, word_bounds, word_hashes, written
 
 DEPTH = 5
 #: Occurrences from which on a context is kept.
@@ -225,6 +225,11 @@ def top_down(nodes: list, first: int, shares: list, sofar: np.ndarray, left: np.
     return out, sofar, left
 
 
+def logit(p: np.ndarray) -> np.ndarray:
+    """Log odds: they keep the precision of probabilities near 0 and near 1."""
+    return np.log(p) - np.log1p(-p)
+
+
 def seen_logs(packed: np.ndarray, key: np.ndarray, one: np.ndarray) -> np.ndarray:
     """log10 probability of each packed byte in its context, all of whose nodes are among the keys."""
     out = np.zeros(len(packed))
@@ -236,12 +241,12 @@ def seen_logs(packed: np.ndarray, key: np.ndarray, one: np.ndarray) -> np.ndarra
 
 
 class Tree:
-    """The frozen, weighted tree. By depth: sorted node keys with the probability of a one there where no deeper node applies;
+    """The frozen, weighted tree. By depth: sorted node keys with the log odds of a one there where no deeper node applies;
     and the sorted bytes seen in the kept contexts with their log10 probability where no deeper context is kept. The arrays
     may be mapped from files."""
 
-    def __init__(self, keys: list, ones: list, seen: list, logs: list) -> None:
-        self.depth, self.keys, self.ones, self.seen, self.logs = len(keys) - 1, keys, ones, seen, logs
+    def __init__(self, keys: list, odds: list, seen: list, logs: list) -> None:
+        self.depth, self.keys, self.odds, self.seen, self.logs = len(keys) - 1, keys, odds, seen, logs
 
     @classmethod
     def of(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
@@ -251,7 +256,7 @@ class Tree:
         size = len(nodes[0][0])
         ones, _, _ = top_down(nodes, 0, shares, np.zeros(size), np.ones(size), True)
         seen = [np.sort(g) for g, _ in levels]
-        return cls([x[0] for x in nodes], ones, seen, [seen_logs(g, x[0], o) for g, x, o in zip(seen, nodes, ones)])
+        return cls([x[0] for x in nodes], [logit(o) for o in ones], seen, [seen_logs(g, x[0], o) for g, x, o in zip(seen, nodes, ones)])
 
     def _by_bits(self, packed: np.ndarray, deepest: int) -> np.ndarray:
         """log10 probability of each packed byte given its context, bit by bit from the deepest node there is."""
@@ -259,15 +264,15 @@ class Tree:
         context, byte = packed >> np.uint64(8), packed & np.uint64(255)
         for k in range(8):
             key = (context << np.uint64(8)) | (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
-            one, open_ = np.full(len(packed), 0.5), np.arange(len(packed))
+            odds, open_ = np.zeros(len(packed)), np.arange(len(packed))
             for d in range(deepest, -1, -1):
                 if not len(open_):
                     break
                 at, found = _find(self.keys[d], _parent(key[open_], d))
-                one[open_[found]] = self.ones[d][at[found]]
+                odds[open_[found]] = self.odds[d][at[found]]
                 open_ = open_[~found]
             bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-            out += np.log10(np.where(bit == 1, one, 1 - one))
+            out -= np.logaddexp(0, np.where(bit == 1, -odds, odds)) / np.log(10)
         return out
 
     def log10(self, packed: np.ndarray) -> np.ndarray:
@@ -316,7 +321,7 @@ def _whole_groups(batches, base: int, most: int = 200_000):
 
 
 def _rows(level: int, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"level": np.full(len(key), level, np.int32), "key": key.view(np.int64), "value": value})
+    return pa.RecordBatch.from_pydict({"level": np.full(len(key), level, np.int32), "key": key.view(np.int64), "value": value.astype(np.float32)})
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> tuple[str, ...]:
@@ -355,7 +360,7 @@ def grow(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> tuple[str
         parent = np.searchsorted(nodes[-2][0], _parent(key, base - 1))
         sofar, left = sofar[parent], left[parent]
         for d, ((g, _), x, o) in enumerate(zip(levels, nodes, one)):
-            above += [_rows(2 * d, x[0], o), _rows(2 * d + 1, g, seen_logs(g, x[0], o))]
+            above += [_rows(2 * d, x[0], logit(o)), _rows(2 * d + 1, g, seen_logs(g, x[0], o))]
     held = spark.sparkContext.broadcast((key, sofar, left))
 
     def finish(batches):
@@ -365,16 +370,17 @@ def grow(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> tuple[str
             at = np.searchsorted(key, nodes[0][0])
             one, _, _ = top_down(nodes, base, shares, sofar[at], left[at], True)
             for d, ((g, _), x, o) in enumerate(zip(levels, nodes, one), base):
-                yield _rows(2 * d, x[0], o)
+                yield _rows(2 * d, x[0], logit(o))
                 yield _rows(2 * d + 1, g, seen_logs(g, x[0], o))
 
-    schema = "level int, key long, value double"
+    schema = "level int, key long, value float"
     rows = together.mapInArrow(finish, schema)
     if above:
         rows = rows.unionByName(spark.createDataFrame(pa.Table.from_batches(above), schema))
     rows = written(rows, "tree-rows")
     files = -(-rows.count() // ROWS_OF_A_FILE) or 1
     ordered = written(rows.repartitionByRange(files, "level", "key").sortWithinPartitions("level", "key"), "tree")
+    forget(rows)
     paths = sorted(ordered.inputFiles())
     for path in paths:
         spark.sparkContext.addFile(path)
@@ -386,23 +392,23 @@ def opened(names: tuple[str, ...], depth: int) -> Tree:
     """The tree of these files, mapped from arrays that the first task on a machine makes of them."""
     root = SparkFiles.getRootDirectory()
     home = os.path.join(root, "tree-" + hashlib.md5(repr((names, depth)).encode()).hexdigest())
-    if not os.path.isdir(home):
-        made = tempfile.mkdtemp(dir=root)
-        for level in range(2 * depth + 2):
-            for part in ("key", "value"):
-                open(f"{made}/{level}.{part}", "wb").close()
-        for name in names:
-            for batch in pq.ParquetFile(os.path.join(root, name)).iter_batches(1 << 18):
-                level, key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("level", "key", "value"))
-                for x in np.unique(level):
-                    here = slice(np.searchsorted(level, x), np.searchsorted(level, x, "right"))
-                    for part, data in (("key", key[here]), ("value", value[here])):
-                        with open(f"{made}/{x}.{part}", "ab") as f:
-                            f.write(data.tobytes())
-        try:
+    with open(home + ".lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)  # one task makes the arrays, the others wait; the lock ends with its process
+        if not os.path.isdir(home):
+            made = home + ".new"
+            shutil.rmtree(made, ignore_errors=True)
+            os.mkdir(made)
+            files = {(level, part): open(f"{made}/{level}.{part}", "wb") for level in range(2 * depth + 2) for part in ("key", "value")}
+            for name in names:
+                for batch in pq.ParquetFile(os.path.join(root, name)).iter_batches(1 << 18):
+                    level, key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("level", "key", "value"))
+                    for x in np.unique(level).tolist():
+                        here = slice(np.searchsorted(level, x), np.searchsorted(level, x, "right"))
+                        files[x, "key"].write(key[here].tobytes())
+                        files[x, "value"].write(value[here].tobytes())
+            for f in files.values():
+                f.close()
             os.rename(made, home)
-        except OSError:  # another task was first
-            shutil.rmtree(made)
 
     def mapped(level, part, kind):
         path = f"{home}/{level}.{part}"
@@ -411,7 +417,7 @@ def opened(names: tuple[str, ...], depth: int) -> Tree:
     def each(x, part, kind):
         return [mapped(2 * d + x, part, kind) for d in range(depth + 1)]
 
-    return Tree(each(0, "key", np.uint64), each(0, "value", float), each(1, "key", np.uint64), each(1, "value", float))
+    return Tree(each(0, "key", np.uint64), each(0, "value", np.float32), each(1, "key", np.uint64), each(1, "value", np.float32))
 
 
 def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> dict:

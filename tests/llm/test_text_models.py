@@ -124,7 +124,7 @@ def test_scores_equal_a_plain_tree(spark, docs, monkeypatch, depth, least):
     model = ctw.train(rows.where("doc_id < 10"), depth, least)
     got = {r.doc_id: (r.text, r.score) for r in ctw.score(rows, model).join(rows, "doc_id").collect()}
     for text, score in got.values():
-        assert math.isclose(score, plain(text), rel_tol=1e-9)
+        assert math.isclose(score, plain(text), rel_tol=1e-6)  # the files hold single precision
 
 
 def test_long_texts_are_scored_in_parts(monkeypatch):

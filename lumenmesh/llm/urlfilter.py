@@ -7,7 +7,8 @@ binary search and confirm every hit against the stored string, so that equal dig
 A rule is ``host/path``: it fits its host and all subdomains if the url's path starts with the rule's; the longest
 fitting rule wins (of equally long ones that with the longer host). Defined cases: null urls and urls without ``://``
 have an empty host and path and fit no rule; a url that fits no rule gets the list's default verdict; repeated rules
-count once, where the verdicts differ ``block`` wins; an empty list or table is fine.
+count once, where the verdicts differ ``block`` wins; an empty list or table is fine; a null page_id, repeated rows and very
+long urls are judged like any other row; columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations

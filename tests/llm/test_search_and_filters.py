@@ -43,6 +43,37 @@ def test_batching_does_not_change_scores():
     assert np.allclose(together, np.concatenate([langid.bit_scores([t], weights) for t in texts]))
 
 
+def test_predictions_equal_a_plain_version():
+    """Sums of the weights of every n-gram, byte by byte, and the decoding by its definition."""
+    rng = np.random.default_rng(5)
+    code = langid.codebook(4)
+    weights = rng.standard_normal((langid.BUCKETS, code.shape[1])).astype(np.float32)
+    trust = rng.uniform(0.5, 1.5, code.shape)
+    texts = [b"Some text", "pr\u00eate-moi ta plume".encode(), b"x"]
+
+    def plain(text):
+        total, data = np.zeros(code.shape[1]), text.lower() + b" " * (langid.ORDERS - 1)
+        for i in range(len(text)):
+            h = 0
+            for k in range(langid.ORDERS):
+                h = (h + data[i + k] + 1) * 0x9E3779B1 % 2**32
+                total += weights[((h ^ h >> 15) * 0x85EBCA6B % 2**32) >> 19]
+        z = total * langid.TEMPER
+        loss = [sum(t * np.logaddexp(0, -s * c) for t, s, c in zip(trust[i], z, code[i])) for i in range(4)]
+        return np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+
+    got = langid.decode(langid.bit_scores(texts, weights), code, trust)
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4)
+
+
+def test_url_edges(spark):
+    """Null ids, repeated rows and clashing columns: every row is judged by its url."""
+    rows = [(None, "http://a.net/es/", "x"), (1, "http://a.net/es/", "x"), (1, "http://a.net/es/", "x"), (2, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = sorted(((r.page_id or 0), r["rule"]) for r in urlfilter.judge(pages.select("page_id", "url"), urlfilter.RULES).collect())
+    assert got == [(0, "net/es/"), (1, "net/es/"), (1, "net/es/"), (2, None)]
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.com/x": ("a.com", "/x", "com/", "allow"), "http://a.com": ("a.com", "", None, "allow"),

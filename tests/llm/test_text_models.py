@@ -1,6 +1,7 @@
 """Toxicity, language-model scores, SentencePiece, personal data, the pipeline."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -33,6 +34,44 @@ def test_channel_restores(channel, seen, meant):
     assert toxicity.restored([f"the {seen} here"], channel) == [f"the {meant} here"]
 
 
+def test_readings_are_the_cheapest_of_all(channel):
+    """Every reading of short stretches, tried one by one under the channel's and the character model's costs."""
+    T = toxicity
+
+    def readings(text):
+        options = []
+        for i, c in enumerate(text):
+            own = 0.0 if c.isalpha() else T.COST_SEPARATOR if c in T.SEPARATORS else T.COST_ANY
+            some = [(c, own), *((x, T.COST_LEET) for x in T.LEET.get(c, ""))]
+            if c in T.SEPARATORS and 0 < i < len(text) - 1:
+                some.append(("", T.COST_GAP))
+            if i and c == text[i - 1] and c.isalpha():
+                some.append(("", T.COST_REPEAT if i < 2 or c != text[i - 2] else 0.05))
+            options.append(some)
+        for path in itertools.product(*options):
+            word, total = "".join(x for x, _ in path), sum(x for _, x in path)
+            at = [0, 0, *(int(T._INDEX[ord(c)]) if c.isalpha() else 1 for c in word), 0]
+            yield total + sum(channel.cost[(a * T.SIZE + b) * T.SIZE + c] for a, b, c in zip(at, at[1:], at[2:])), word
+
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice("aaeosst01345$@!.- ") for _ in range(rng.randrange(1, 7)))
+        every = sorted(readings(text))
+        best = channel.restore(text)
+        assert math.isclose(min(c for c, w in every if w == best), every[0][0], rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_scores_equal_a_plain_sum():
+    """The features and summaries of a text by loops over its words."""
+    texts = ["Bad baad dog, BAD dogs", "", "nothing here", "bad"]
+    words = {"bad": 2.0, "dog": 1.0, "not": 0.5}
+    keys = {w: toxicity.features([w])[1][0] for w in ("bad", "dog")} | {"not": toxicity.features(["not"])[1][0]}
+    order = sorted(words, key=lambda w: keys[w])
+    out = toxicity.summaries(texts, np.array([keys[w] for w in order], np.uint64), np.array([[words[w]] for w in order]), np.zeros(4, int))
+    assert out[:, 3].tolist() == [math.log1p(n) for n in (5, 0, 2, 1)]
+    assert out[:, :3].tolist() == [[2.0, 1.0, 0.0], [0.0] * 3, [0.0] * 3, [2.0, 0.0, 0.0]]
+
+
 def test_channel_leaves_the_rest(channel):
     texts = ["", "call 555 1234 on 2021-03-04!", "The plain words stay, all of them.", "thea*** of%%% wh$$$", "a\nb\n\nc", "日本 🙂 ñandú"]
     assert toxicity.restored(texts, channel) == texts

@@ -31,19 +31,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes with their least neighbours that may be broadcast; beyond it the joins below are shuffled.
+BROADCAST_NODES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From (u, v) edges: (node, root), root being the smallest node reachable; nodes without an edge and roots are absent.
     A round links every neighbour to the least node around (two group minima and the joins back), so no node's neighbours
-    are gathered, and the number of rounds grows with the logarithm of the longest path."""
+    are gathered, and the number of rounds grows with the logarithm of the longest path. Rounds end when each node is
+    either a root or a leaf with one edge."""
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = None
     while True:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        rows, most = ends.agg(F.sum("up"), F.max(F.col("up") + F.col("down"))).first()
+        if not rows or most == 1:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        side = F.broadcast if 2 * rows <= BROADCAST_NODES else lambda x: x
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        far = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        far = both.where("v > u").join(side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = far.groupBy("u").agg(F.min("v").alias("m"))
-        near = far.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = far.join(side(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(near.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        last, sign = sign, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if sign == last:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,7 +1,9 @@
 """Operators on small hand-made inputs."""
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenmesh.functions import rules
@@ -106,6 +108,19 @@ def test_components_of_nothing_and_of_a_path(spark):
     assert got(graph.components(e.where("1=0"))) == []
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components_match_a_plain_union(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+    rng = random.Random(4)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(200, 201), (201, 200), (300, 300)] + [(400, i) for i in range(401, 440)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    found = graph.components(spark.createDataFrame(edges, "u long, v long"))
+    assert got(found) == sorted((x, r) for x, r in root.items() if x != r)
+
+
 def test_rules(spark):
     r = spark.createDataFrame([(" a/b  c!!",), ("...",), ("ünï-code.",)], "s string")
     assert [tuple(x) for x in r.select(rules.sanitize_name(F.col("s")), rules.branch_slug(F.col("s"))).collect()] == [("a-b-c", "a-b-c"), (None, "main"), ("ünï-code", "ünï-code")]

@@ -1,5 +1,6 @@
 """Every registered query of the library beside its SQL in DuckDB, on the smallest tables."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -39,6 +40,21 @@ def test_query_equals_sql(spark, duck, name):
     assert got
 
 
+def test_progress_is_rounded_as_in_sql_in_any_order(spark, tmp_path):
+    tied = [71.42, 88.68, 91.6, 100.0, 100.0, 100.0]  # 91.95 or just below it, by the order of summing
+    orders = sorted(set(itertools.permutations(tied)))[::3]
+    rows = [(6 * u + k, u, v) for u, order in enumerate(orders) for k, v in enumerate(order)]
+    beside = {1000: 20.099999999999998, 1001: 41.699999999999996, 1002: 5.1000000000000005, 1003: 594.9}  # next to ties
+    rows += [(6 * u + k, u, min(v - 100.0 * k, 100.0)) for u, v in beside.items() for k in range(6) if v > 100.0 * k]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = dict(tuple(r) for r in catalog.queries()["progress_rollup"](spark, str(tmp_path)).select("user_id", "progress").collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(c.sql(f"SELECT user_id, progress FROM ({catalog.oracle_sql()['progress_rollup']})").fetchall())
+    assert {u: got[u] for u in beside} == {u: want[u] for u in beside}
+    assert {got[u] for u in range(len(orders))} == {92.0}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

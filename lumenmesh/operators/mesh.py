@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lumenmesh.operators.graph import components
+from lumenmesh.operators.graph import components, cut
 
 CORNERS = ("v0", "v1", "v2")
 
@@ -261,51 +261,123 @@ def loop_area(loops: DataFrame) -> DataFrame:
 
 
 PATH = "loop_id long, path long, pos long, vid long, closed boolean"
+#: Sides that are walked at a time, if they end with a component; rows of a batch of vertices of paths.
+WALKED_SIDES, PATH_ROWS = 1 << 18, 1 << 16
 
 
 def boundary_paths(faces: DataFrame) -> DataFrame:
     """loop_id (smallest vertex of its boundary component), path (number within the component), pos, vid, closed: boundary
     edges walked into paths. The least unused edge begins a path, from its smaller end; each step goes to the smallest
     neighbour over an unused edge; the path ends where it began or where no edge is left. Paths of fewer than three vertices
-    are left out. A component of the boundary is one group, walked in linear time."""
-    edges = boundary_edges(faces).select("u", "v")
+    are left out. A component of the boundary is walked by one task, as each step depends on those before, in linear time; it
+    is read in order, held as flat arrays (some ten bytes for either end of an edge), and paths leave as they end."""
+    edges = cut(boundary_edges(faces).select("u", "v"))
     roots = components(edges).withColumnRenamed("node", "u")
-    edges = edges.join(roots, "u", "left").select("u", "v", F.coalesce("root", "u").alias("root"))
-
-    def walk(pdf):
-        import pandas as pd
-
-        sides = sorted(zip(pdf["u"].tolist(), pdf["v"].tolist()))
-        around: dict[int, list[int]] = {}
-        for u, v in sides:
-            around.setdefault(u, []).append(v)
-            around.setdefault(v, []).append(u)
-        for near in around.values():
-            near.sort(reverse=True)
-        used, rows, number, root = set(), [], 0, int(pdf["root"].iloc[0])
-
-        def onward(at):
-            """The smallest neighbour over an unused edge, which is used up."""
-            near = around[at]
-            while near:
-                to = near.pop()
-                side = (min(at, to), max(at, to))
-                if side not in used:
-                    used.add(side)
-                    return to
-            return None
-
-        for start, _ in sides:
-            while (at := onward(start)) is not None:
-                path = [start, at]
-                while path[-1] != start and (at := onward(path[-1])) is not None:
-                    path.append(at)
-                if len(path) >= 3:
-                    rows += [(root, number, i, v, path[-1] == start) for i, v in enumerate(path)]
-                    number += 1
-        return pd.DataFrame(rows, columns=["loop_id", "path", "pos", "vid", "closed"])
-
-    return edges.groupBy("root").applyInPandas(walk, PATH)
+    edges = edges.join(roots, "u", "left").select(F.coalesce("root", "u").alias("root"), "u", "v")
+    ends = lambda a, b: F.struct(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    both = F.when(F.col("u") == F.col("v"), F.array(ends("u", "v"))).otherwise(F.array(ends("u", "v"), ends("v", "u")))
+    sides = edges.select(F.col("root").cast("long").alias("root"), F.inline(both))
+    return sides.repartition("root").sortWithinPartitions("root", "u", "v").mapInArrow(_walked, PATH)
+
+
+def _walked(batches):
+    """Arrow batches of sides root, u, v, each edge from both ends, in that order -> batches of PATH."""
+    import numpy as np
+
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        root, u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = np.flatnonzero(root[1:] != root[:-1]) + 1
+        if held and held[-1][0][-1] != root[0]:
+            new = np.concatenate([[0], new])
+        if len(new) and rows + new[-1] >= WALKED_SIDES:
+            if last := int(new[-1]):
+                held.append(_runs(root[:last], u[:last], v[:last]))
+            yield from _paths(held)
+            rows, root, u, v = 0, root[last:], u[last:], v[last:]
+        held.append(_runs(root, u, v))
+        rows += len(u)
+    yield from _paths(held)
+
+
+def _runs(root, u, v):
+    """Of sorted sides: root, u and number of each run of one u; all v, in 32 bits where they fit."""
+    import numpy as np
+
+    at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    small = -(1 << 31) <= v.min() and v.max() < 1 << 31
+    return root[at], u[at], np.diff(at, append=len(u)), v.astype(np.int32 if small else np.int64)
+
+
+def _paths(held: list):
+    """Batches of the paths of whole components; `held` is emptied."""
+    from array import array
+    from bisect import bisect_left
+
+    import numpy as np
+    import pyarrow as pa
+
+    if not held:
+        return
+    root, node, count = (np.concatenate([h[i] for h in held]) for i in range(3))
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))  # a run may go on in the next batch
+    root, node, count = root[first], node[first], np.add.reduceat(count, first)
+    start = np.concatenate([[0], np.cumsum(count)])
+    order = np.argsort(node, kind="stable")
+    known, to, at = node[order], np.empty(start[-1], np.int32 if len(node) < 1 << 31 else np.int64), 0
+    for i, h in enumerate(held):
+        to[at : at + len(h[3])] = order[np.searchsorted(known, h[3])]
+        at += len(h[3])
+        held[i] = None
+    held.clear()
+    del known, order, count
+    # sides of a node before `past` are used; of those behind it, the ones marked in `used` are
+    past, begin, near, used = memoryview(start[:-1].copy()), memoryview(start), memoryview(to), bytearray(len(to))
+
+    def onward(x):
+        """The smallest neighbour over an unused edge, which is used up; -1 without one."""
+        i, end = past[x], begin[x + 1]
+        while i < end and used[i]:
+            i += 1
+        if i == end:
+            past[x] = i
+            return -1
+        past[x], y = i + 1, near[i]
+        used[bisect_left(near, x, begin[y], begin[y + 1])] = 1
+        return y
+
+    def batch(paths):
+        """paths: component's first node, number, position of the first vertex, vertices, closed."""
+        long = np.array([len(p[3]) for p in paths])
+        flat = np.concatenate([np.frombuffer(p[3], np.int64) for p in paths])
+        one = lambda i, kind: np.repeat(np.array([p[i] for p in paths], kind), long)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(long) - long, long) + one(2, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (root[one(0, np.int64)], one(1, np.int64), pos, node[flat], one(4, bool))], ["loop_id", "path", "pos", "vid", "closed"])
+
+    ready, rows, number, of = [], 0, 0, None
+    for s in range(len(node)):
+        if past[s] == begin[s + 1]:
+            continue
+        while (x := onward(s)) >= 0:
+            path = array("q", (s, x))
+            while x != s and (x := onward(x)) >= 0:
+                path.append(x)
+            if len(path) < 3:
+                continue
+            if root[s] != of:
+                number, of = 0, root[s]
+            closed = path[-1] == s
+            for i in range(0, len(path), PATH_ROWS):
+                ready.append((s, number, i, path[i : i + PATH_ROWS], closed))
+                rows += len(ready[-1][3])
+                if rows >= PATH_ROWS:
+                    yield batch(ready)
+                    ready, rows = [], 0
+            number += 1
+    if ready:
+        yield batch(ready)
 
 
 def ear_clip(loops: DataFrame) -> DataFrame:

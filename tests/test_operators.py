@@ -115,6 +115,73 @@ def test_boundary_paths_and_ear_clip(spark):
     assert got(mesh.loop_area(loop)) == [(1, 2.5)]
 
 
+def roots_of(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    return root
+
+
+def paths_of(edges):
+    """(loop_id, path, pos, vid, closed) of boundary edges, walked over sets."""
+    root, left, out, number = roots_of(edges), {tuple(e) for e in edges}, [], {}
+    while left:
+        path = list(min(left, key=lambda e: (root[e[0]], e)))
+        left.remove(tuple(path))
+        while path[-1] != path[0] and (near := [e for e in left if path[-1] in e]):
+            to, side = min((e[0] + e[1] - path[-1], e) for e in near)
+            left.remove(side)
+            path.append(to)
+        if len(path) >= 3:
+            k = number[root[path[0]]] = number.get(root[path[0]], -1) + 1
+            out += [(root[path[0]], k, i, v, path[-1] == path[0]) for i, v in enumerate(path)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sides, rows", [(1, 1), (40, 7), (1 << 18, 1 << 16)])
+def test_boundary_paths_equal_walks_over_sets(spark, monkeypatch, sides, rows):
+    import pyarrow as pa
+
+    rng = random.Random(sides)
+    edges = set()
+    for k in range(12):  # components whose ids are mixed
+        some = [12 * i + k - 50 for i in range(rng.choice((2, 3, 6, 20)))]
+        edges |= {tuple(sorted(rng.sample(some, 2))) for _ in range(3 * len(some))}
+    edges = sorted(edges | {(2**40 + i, 2**40 + i + 1) for i in range(5)})
+    triangles = faces(spark, *((u, v, 2**50 + i) for i, (u, v) in enumerate(edges)))
+    want = paths_of([e for u, v, w in ((r.v0, r.v1, r.v2) for r in triangles.collect()) for e in ((u, v), (u, w), (v, w))])
+    assert got(mesh.boundary_paths(triangles)) == want
+    monkeypatch.setattr(mesh, "WALKED_SIDES", sides)
+    monkeypatch.setattr(mesh, "PATH_ROWS", rows)
+    plain, root = paths_of(edges), roots_of(edges)
+    ends = sorted((root[a], a, b) for u, v in edges for a, b in ((u, v), (v, u)))
+    batches = [pa.RecordBatch.from_pylist([dict(zip("ruv", e)) for e in ends[i : i + 9]]) for i in range(0, len(ends), 9)]
+    made = [tuple(r.values()) for b in mesh._walked(iter(batches)) for r in b.to_pylist()]
+    assert made == plain
+
+
+def test_boundary_walk_of_a_large_component_stays_small():
+    """A component of 100,000 edges in one group: the walk holds few bytes a side."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    gen = np.random.default_rng(1)
+    e = np.unique(np.sort(gen.integers(0, 5000, (105_000, 2)), axis=1), axis=0)
+    e = e[e[:, 0] < e[:, 1]]
+    u, v = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
+    by = np.lexsort((v, u))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(c), np.int64)), pa.array(u[c]), pa.array(v[c])], ["root", "u", "v"]) for c in np.array_split(by, 30)]
+    tracemalloc.start()
+    steps = sum(int(np.count_nonzero(b.column(2).to_numpy())) for b in mesh._walked(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0.95 * len(e) < steps <= len(e)  # of edges; a path of one edge is left out
+    assert peak < 40 * len(u)
+
+
 def test_even_sample_rounds_half_to_even():
     assert sampling.even_positions(10, 4) == [0, 3, 6, 9] and sampling.even_positions(3, 10) == [0, 1, 2]
     assert sampling.even_positions(5, 0) == [] and sampling.even_positions(5, 1) == [2]

@@ -5,9 +5,10 @@ representative first. Each set keeps 256 minima: 48 bands of 5 minima make the c
 bits of all minima, packed as two bit planes, give a collision-corrected estimate of similarity by bit counts. What the
 estimate lets through (five standard deviations below the threshold) is confirmed on the full sets.
 
-A bucket is never expanded into all its pairs. Its members are compared with one pivot; the links found are closed into
-components; in buckets that still hold several components the members outside the largest one are compared with the members
-of other components, by their packed bits alone. Pairs within one component change nothing and aren't compared. Only pairs
+A bucket is never expanded into all its pairs. Its members are compared with one pivot, the member that shares buckets with
+most others; the links found are closed into components; in buckets that still hold several components the members outside
+the largest one are compared with the members of other components, by their packed bits and by maps of 2,048 bits in which
+each set marks its hashes: where more bits differ than elements may, there is no link. Pairs within one component change nothing and aren't compared. Only pairs
 that the estimate lets through leave a bucket; each full set is made once for them. Buckets, pivots, components and groups of
 copies that hold very many rows are dealt over several tasks. A pair at exactly the threshold shares no band with a chance
 of 2e-6.
@@ -38,6 +39,8 @@ _LONG_WORDS = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % LONG_WORD)
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 HASHES, BANDS, ROWS = 256, 48, 5
+#: Bits of the map that a set's hashes are marked in.
+MARKS = 2048
 #: Five standard deviations of a 256-minima, 2-bit estimate below 0.75.
 LEAST_ESTIMATE = 0.585
 _GEN = np.random.Generator(np.random.PCG64(3))
@@ -109,17 +112,20 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, the prints of the text, n (size of the set), a 128-bit print of the set, the packed bits and the band keys."""
+    """doc_id, the prints of the text, n (size of the set), a 128-bit print of the set, the packed bits, the band keys and the
+    map of the set."""
 
     def run(batches):
         for batch in sliced(batches):
             texts = byte_texts(batch.column("text"))
             n, prints, low = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)), np.uint64), np.zeros((len(texts), HASHES), np.uint32)
+            marks = np.zeros((len(texts), MARKS), bool)
             for i, s in enumerate(shingle_sets(texts)):
                 n[i] = len(s)
                 if len(s):
                     prints[0, i], prints[1, i] = mix64(s ^ _STEP).sum(dtype=np.uint64), mix64(s + _STEP).sum(dtype=np.uint64)
                     low[i] = minima(s)
+                    marks[i, s & np.uint64(MARKS - 1)] = True
             low ^= low >> np.uint32(16)
             low *= np.uint32(0x7FEB352D)
             low ^= low >> np.uint32(15)
@@ -130,11 +136,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = mix64(keys * _STEP + band[:, :, k])
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c) for c in ("doc_id", "_p", "_q")}, "n": n, "p1": prints[0].view(np.int64), "p2": prints[1].view(np.int64),
-                "bits": _lists(np.ascontiguousarray(planes).view(np.uint64)), "bands": _lists(np.ascontiguousarray(keys)),
+                "bits": _lists(np.ascontiguousarray(planes).view(np.uint64)), "bands": _lists(np.ascontiguousarray(keys)), "marks": _lists(np.packbits(marks, axis=1).view(np.uint64)),
             })
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return identified(docs).mapInArrow(run, f"doc_id {key}, _p long, _q long, n long, p1 long, p2 long, bits array<long>, bands array<long>")
+    return identified(docs).mapInArrow(run, f"doc_id {key}, _p long, _q long, n long, p1 long, p2 long, bits array<long>, bands array<long>, marks array<long>")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -167,6 +173,13 @@ def may_link() -> Column:
     return sizes & (estimate("bits_a", "bits_b") >= LEAST_ESTIMATE)
 
 
+def marks_allow() -> Column:
+    """For rows with n, marks of both sides: no more bits differ than elements may. Each bit that one map alone has stands for
+    an element that one set alone has, so this drops no link."""
+    differ = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
+
+
 def _counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("rows"))
 
@@ -200,10 +213,13 @@ def similar(a: str, b: str) -> Column:
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, root) over representatives: reps has one row per distinct set; nodes linked with nothing are absent."""
     bands = reps.select("node", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("rows"))
-    buckets = written(buckets.where("a < z").drop("z"), "buckets")
-    members = written(dealt(bands, buckets.select("key", "a"), ["key"], buckets, "node"), "members")
-    star = written(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    buckets = written(bands.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "buckets")
+    members = written(dealt(bands, buckets.select("key", F.col("rows").alias("size")), ["key"], buckets, "node"), "members")
+    # the pivot of a bucket is the member that meets most others: of copies with changes, one that was changed least
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    pivots = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("pivot")).select("key", F.col("pivot.node").alias("a"))
+    star = dealt(members.select("key", "node"), pivots, ["key"], buckets, "node")
+    star = written(star.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     roots = components(confirm(written(likely(star, reps), "pairs"), docs, reps))
     # what is left: buckets that still hold several components. First the likeliest partner of a member in each other
     # component is confirmed, then all likely partners in those that are still others
@@ -224,10 +240,10 @@ def _across(members: DataFrame, roots: DataFrame, reps: DataFrame, likeliest: bo
     open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("rows"), F.count("*").alias("roots"))
     open_ = written(open_.where("roots > 1").select("key", F.col("main.root").alias("main"), "rows"), "open-buckets")
     live = dealt(known, open_.select("key", "main"), ["key"], open_, "node")
-    live = written(live.join(reps.select("node", "n", "bits"), "node"), "live")
+    live = written(live.join(reps.select("node", "n", "bits", "marks"), "node"), "live")
     others = live.where("root <> main").drop("main")
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits"))) for rows, side in ((live, "a"), (others, "b")))
-    found = dealt(left, right, ["key"], open_, "node_a").where(F.expr("root_a <> root_b") & may_link())
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits", "marks"))) for rows, side in ((live, "a"), (others, "b")))
+    found = dealt(left, right, ["key"], open_, "node_a").where(F.expr("root_a <> root_b") & may_link() & marks_allow())
     if not likeliest:
         return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     best = found.groupBy("node_b", "root_a").agg(F.max(F.struct(estimate("bits_a", "bits_b").alias("e"), "node_a")).alias("best"))
@@ -240,9 +256,9 @@ def judged(docs: DataFrame) -> DataFrame:
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
     # one representative for each distinct set, and how many rows have it
     firsts = real.groupBy("p1", "p2", "n").agg(
-        F.min(F.struct("doc_id", "_p", "_q")).alias("first"), F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"), F.count("*").alias("rows")
+        F.min(F.struct("doc_id", "_p", "_q")).alias("first"), F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"), F.count("*").alias("rows")
     )
-    reps = written(firsts.select(F.monotonically_increasing_id().alias("node"), "first.*", "p1", "p2", "n", "bits", "bands", "rows"), "representatives")
+    reps = written(firsts.select(F.monotonically_increasing_id().alias("node"), "first.*", "p1", "p2", "n", "bits", "bands", "marks", "rows"), "representatives")
     roots = written(links(docs, reps), "components")
     placed = written(reps.select("node", "doc_id", "p1", "p2", "n", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = written(placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "least")

@@ -39,6 +39,27 @@ def test_near_duplicates_in_a_family(spark):
     assert len({c for _, c in want.values()}) > 52
 
 
+def test_near_duplicates_take_up_few_pairs_beside_links(spark):
+    """Of a family that is alike by 0.6 to 0.8 hardly more pairs than the links leave the buckets, and every link does."""
+    rng = random.Random(9)
+    seed = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(150):
+        w = list(seed)
+        for j in rng.sample(range(150), rng.randrange(0, 9)):
+            w[j] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = lambda p: {(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = minhash.signatures(rows).withColumn("node", F.col("doc_id")).localCheckpoint()
+    members = reps.select("node", F.explode("bands").alias("key"))
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = {(r.b, r.a) for r in minhash._across(members, none, reps, False).collect()}
+    assert near(75) <= pairs <= near(68) and len(pairs) < 1.3 * len(near(75))
+    assert len(near(60)) > 1.5 * len(near(75)) > 300
+
+
 def test_near_duplicates_edges(odd_docs, no_docs):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd_docs).collect()), key=str)
     by = {r[0]: r[1:] for r in got}

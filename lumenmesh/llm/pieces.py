@@ -10,6 +10,8 @@ and it is the merge result, so the ids equal the library's. Characters outside t
 
 Every text runs whole through one `Stream`. Pieces never reach across a word start (checked on loading), so there all paths
 have met: the stream commits, and what it found for a stretch between two such boundaries is remembered for the next time.
+Under a BPE model the new stretches of a chunk of texts are searched together, end position by end position; those beyond
+2 * longest characters go through `Stream` alone.
 
 Defined cases: null and empty texts have no ids; U+2581 counts as a space, as in the library, so it decodes to one; control
 strings such as ``<s>`` in a text are ordinary characters; repeated rows are encoded alike; a null doc_id is kept; other
@@ -18,6 +20,7 @@ columns pass by in `encode`.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from functools import lru_cache
@@ -34,13 +37,111 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What a Python worker remembers: bytes of words of one generation of two, pairs of pieces, characters that no piece is.
 #: These bound memory, not what is encoded.
-REMEMBERED, FITS, STRANGE = 14 << 20, 250_000, 10_000
+REMEMBERED, FITS, STRANGE = 14 << 20, 100_000, 10_000
 #: Characters that a stream is fed at a time.
 BLOCK = 1 << 16
 UNKNOWN_PENALTY = 10.0
 #: Two places in one number; the place that stands for the start of a text.
 SHIFT = 32
 START = (1 << 31) - 1
+#: Stretches that are searched at a time; bits of a character.
+TOGETHER = 1 << 13
+CHAR = 21
+#: Of the pairs of pieces that were asked for, so many (a power of two) can be looked up together; a factor that spreads them.
+SLOTS, SPREAD = 19, np.uint64(0x9E3779B97F4A7C15)
+
+
+def code_points(words: list[str], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted strings as rows of code points (0 beyond their ends), and how many each shares with the one before."""
+    longest = max(int(lens.max()), 1)
+    grid = np.array(words, f"U{longest}").view(np.uint32).reshape(len(words), longest)
+    same = np.zeros(len(words), np.int64)
+    differ = grid[1:] != grid[:-1]
+    same[1:] = np.where(differ.any(1), differ.argmax(1), longest)
+    np.minimum(same[1:], np.minimum(lens[1:], lens[:-1]), out=same[1:])
+    return grid, same
+
+
+class Suffixes:
+    """The longest piece that ends at a place, and from a piece the next shorter one that ends there too.
+
+    A state stands for the longest beginning of a piece that ends at a place (0: none); `falls` leads to the next shorter one."""
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        words = sorted(filter(None, ids))
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        self.longest, self.shorter, self.length = np.full(1, -1, np.int32), {}, {}
+        self.keys = self.to = np.zeros(0, np.int64)
+        if not words:
+            self.falls = np.zeros(1, np.int64)
+            return
+        grid, same = code_points(words, lens)
+        # states are the distinct beginnings, numbered by length
+        depths = np.arange(1, grid.shape[1] + 1)
+        new = (depths > same[:, None]) & (depths <= lens[:, None])
+        state, count, rows = np.zeros(len(words), np.int64), 1, []
+        keys, to, whole = [], [], np.zeros(len(words), np.int64)
+        for d in depths:
+            r = np.flatnonzero(new[:, d - 1])
+            keys.append(state[r] << CHAR | grid[r, d - 1])
+            to.append(count + np.arange(len(r)))
+            state = count + np.maximum(np.cumsum(new[:, d - 1]) - 1, 0)
+            whole[lens == d] = state[lens == d]
+            count += len(r)
+            rows.append((keys[-1], to[-1]))
+        keys, to = np.concatenate(keys), np.concatenate(to)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[order]
+        self.falls, self.longest = np.zeros(count, np.int64), np.full(count, -1, np.int32)
+        place = np.fromiter((ids[w] for w in words), np.int32, len(words))
+        self.longest[whole] = place
+        self.shorter, self.length = np.full(place.max() + 1, -1, np.int32), np.zeros(place.max() + 1, np.int64)
+        self.length[place] = lens
+        for k, s in rows:
+            before = k >> CHAR
+            below = np.where(before > 0, self.step(self.falls[before], k & (1 << CHAR) - 1), 0)
+            self.falls[s] = below
+            own = self.longest[s]
+            self.shorter[own[own >= 0]] = self.longest[below[own >= 0]]
+            self.longest[s] = np.where(own >= 0, own, self.longest[below])
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states after one more character each."""
+        out, todo = np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(todo) and len(self.keys):
+            key = state << CHAR | char
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == key
+            out[todo[hit]] = self.to[at[hit]]
+            rest = ~hit & (state > 0)
+            todo, state, char = todo[rest], self.falls[state[rest]], char[rest]
+        return out
+
+
+class Fits(dict):
+    """Which two places may follow each other on a BPE path, found out when asked for."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.find, self.slots = model.allowed, np.full(1 << SLOTS, ~np.uint64(0))
+
+    def __missing__(self, key: int) -> bool:
+        return self.find(key)
+
+    def all(self, keys: np.ndarray) -> np.ndarray:
+        """The same for many at once; a slot holds the last key that came to it and, in the lowest bit, the answer."""
+        keys = keys.astype(np.uint64)
+        slot = (keys * SPREAD >> np.uint64(64 - SLOTS)).astype(np.int64)
+        held, keys = self.slots[slot], keys << np.uint64(1)
+        out = held != keys
+        miss = np.flatnonzero(out & (held != keys | np.uint64(1)))
+        if len(miss):
+            keys = keys[miss]
+            found = np.fromiter(map(self.__getitem__, (keys >> np.uint64(1)).tolist()), bool, len(miss))
+            out[miss] = found
+            self.slots[slot[miss]] = keys | found
+        return out
 
 
 class Model:
@@ -76,7 +177,9 @@ class Model:
         #: Place -> string; beyond the pieces come characters that no piece is, as they turn up.
         self.names = [p[0] for p in self.pieces]
         self.strange: dict[str, int] = {}
-        self.fits: dict[int, bool] = {}
+        self.fits = Fits(self)
+        self.grown: dict[int, tuple | None] = {}
+        self.suffixes = Suffixes(self.ids) if self.bpe else None
         across = any(MARK in t.lstrip(MARK) for t in usable)
         used = set("".join(usable))
         alone = "".join(c for c in "\n\r\t" if c not in used)
@@ -96,19 +199,19 @@ class Model:
         #: What a stretch ends before.
         self.stops = MARK + alone
 
-    def remember(self, word: str, ids: bytes) -> None:
-        self.held += 150 + 2 * len(word) + len(ids)
-        self.seen[word] = ids
+    def remember(self, words: list[str], ids: list[bytes]) -> None:
+        self.held += 150 * len(words) + 2 * sum(map(len, words)) + sum(map(len, ids))
+        self.seen.update(zip(words, ids))
 
     def forget(self) -> None:
         """Keeps what is remembered within bounds: words not seen again for a generation go."""
         if self.held > REMEMBERED:
             self.seen, self.older, self.held = {}, self.seen, 0
         if len(self.fits) > FITS:
-            self.fits = {}
+            self.fits.clear()
         if len(self.strange) > STRANGE:
             del self.names[len(self.pieces) :]
-            self.strange, self.fits = {}, {}
+            self.strange, self.fits, self.grown = {}, Fits(self), {}
 
     def _raw(self, i: int) -> bytes:
         text, _, kind = self.pieces[i]
@@ -116,26 +219,63 @@ class Model:
             return bytes([int(text[3:5], 16)])
         return b"" if kind == 3 else (" ⁇ " if kind == 2 else text.replace(MARK, " ")).encode()
 
-    def merged(self, text: str) -> list[str]:
-        """What merging by rank makes of a short text: the best-scored neighbouring pair first, the leftmost of equals."""
-        parts, score = list(text), self.score
+    def ends(self, place: int) -> tuple | None:
+        """How the first and the last part of a piece grow while merging by rank makes it from its characters (the best-scored
+        neighbouring pair first, the leftmost of equals): for either end (part, the least score until it grows) in turn. None if
+        merging doesn't make the piece."""
+        if place in self.grown:
+            return self.grown[place]
+        score, parts = self.score, list(self.names[place])
+        first, last, left, right = parts[0], parts[-1], [], []
+        low_left = low_right = math.inf
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
-            if at < 0:
-                break
+            if best is None:
+                self.grown[place] = None
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            low_left, low_right = min(low_left, best), min(low_right, best)
+            if at == 0:
+                left.append((first, low_left))
+                first, low_left = parts[0], math.inf
+            if at == len(parts) - 1:
+                right.append((last, low_right))
+                last, low_right = parts[-1], math.inf
+        found = self.grown[place] = (*left, (first, -math.inf)), (*right, (last, -math.inf))
+        return found
 
     def allowed(self, key: int) -> bool:
-        """May a BPE path go on from one place to another? key: the first (START for none), shifted, and the second."""
-        before, piece = key >> SHIFT, self.names[key & (1 << SHIFT) - 1]
-        parts = [piece] if before == START else [self.names[before], piece]
-        known = self.fits[key] = self.merged("".join(parts)) == parts
-        return known
+        """May a BPE path go on from one place to another? key: the first (START for none), shifted, and the second.
+
+        It may if merging the joined characters makes both: as the two grow, each by its own merges in order of score, no pair
+        across their border is ever the best one."""
+        self.fits[key] = False
+        before, after = key >> SHIFT, self.ends(key & (1 << SHIFT) - 1)
+        if after is None:
+            return False
+        if before != START:
+            there = self.ends(before)
+            if there is None:
+                return False
+            (_, a), (b, _), score = there, after, self.score.get
+            i = j = 0
+            while True:
+                (x, to_left), (y, to_right) = a[i], b[j]
+                s = score(x + y)
+                if s is not None and s > to_left and s >= to_right:
+                    return False
+                if to_left >= to_right:
+                    if to_left == -math.inf:
+                        break
+                    i += 1
+                else:
+                    j += 1
+        self.fits[key] = True
+        return True
 
     def lengths(self, text: str, end: int) -> tuple[int, ...]:
         """Lengths of the pieces that may end there."""
@@ -313,19 +453,86 @@ class Stream:
         return out
 
 
+def merge_all(m: Model, words: list[str]) -> list[bytes]:
+    """The ids of sorted stretches under a BPE model: the search of `Stream._merge` over all of them at once, end position by
+    end position. What a stretch shares with the one before is searched once: `own` are the positions that are its own."""
+    count = len(words)
+    lens = np.fromiter(map(len, words), np.int64, count)
+    grid, same = code_points(words, lens)
+    deepest, tails = grid.shape[1], m.suffixes
+    # by end position and stretch: the place of the piece that ends there, and its length
+    last, size = np.full((deepest + 1, count), START, np.int32), np.zeros((deepest + 1, count), np.int32)
+    state = np.zeros(count, np.int64)
+    alone = {c: m.place(c) if (i := m.ids.get(c)) is None else i for c in set().union(*words)}
+    chars = np.array(sorted(map(ord, alone)), np.int64)
+    single = np.array([alone[chr(c)] for c in chars], np.int32)
+    for end in range(1, deepest + 1):
+        mine = (same < end) & (lens >= end)
+        own = np.flatnonzero(mine)
+        char = grid[own, end - 1].astype(np.int64)
+        now = tails.step(state[own], char)
+        place, length = single[np.searchsorted(chars, char)], np.ones(len(own), np.int32)
+        left, piece = np.arange(len(own)), tails.longest[now]
+        while True:
+            some = piece >= 0
+            left, piece = left[some], piece[some]
+            if not len(left):
+                break
+            n = tails.length[piece]
+            key = last[end - n, own[left]].astype(np.int64) << SHIFT | piece
+            ok = m.fits.all(key)
+            place[left[ok]], length[left[ok]] = piece[ok], n[ok]
+            left, piece = left[~ok], tails.shorter[piece[~ok]]
+        # those that share this position have it from the last one before them whose own it is
+        whose = np.maximum(np.cumsum(mine) - 1, 0)
+        state, last[end], size[end] = now[whose], place[whose], length[whose]
+    return paths(m, lens, last, size)
+
+
+def paths(m: Model, lens: np.ndarray, last: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The ids along the backpointers from the ends of stretches."""
+    at, row, steps = lens, np.arange(len(lens)), []
+    while len(row):
+        steps.append((row, last[at, row]))
+        at = at - size[at, row]
+        row, at = row[at > 0], at[at > 0]
+    n = np.zeros(len(lens), np.int64)
+    for row, _ in steps:
+        n[row] += 1
+    ends = np.cumsum(n)
+    flat = np.zeros(int(ends[-1]), np.int32)
+    for k, (row, place) in enumerate(steps):
+        flat[ends[row] - 1 - k] = place
+    if (flat >= len(m.pieces)).any():  # characters that no piece is
+        given = [m.emit(p) for p in flat.tolist()]
+        ends = np.cumsum([0, *map(len, given)])[ends]
+        flat = np.array([i for g in given for i in g], np.int32)
+    data, cuts = flat.tobytes(), [0, *(4 * ends).tolist()]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def learn(model: Model, words: set[str]) -> None:
-    """Searches the stretches that aren't remembered; in sorted order one goes on from what it shares with the one before."""
+    """Searches the stretches that aren't remembered, in sorted order, so that one goes on from what it shares with the one
+    before."""
     model.forget()
-    search, before = Stream(model), ""
-    for word in sorted(w for w in words if w not in model.seen):
-        ids = model.older.get(word)
-        if ids is None and len(word) > 2 * model.longest:
+    new = words.difference(model.seen)
+    unknown = new.difference(model.older)
+    again = list(new - unknown)
+    model.remember(again, [model.older[w] for w in again])
+    ordered, search, before = sorted(unknown), Stream(model), ""
+    most = 2 * model.longest
+    short = [w for w in ordered if len(w) <= most] if model.bpe else []
+    for word in [w for w in ordered if len(w) > most] if model.bpe else ordered:
+        if len(word) > most:
             search._fresh()
             ids, before = search.search(word) + search.close(), ""
-        elif ids is None:
+        else:
             ids, before = search.go_on(word, before), word
-        model.remember(word, ids)
-    model.widest = max(model.widest, search.widest)
+        model.remember([word], [ids])
+    for i in range(0, len(short), TOGETHER):
+        some = short[i : i + TOGETHER]
+        model.remember(some, merge_all(model, some))
+    model.widest = max([model.widest, search.widest, *map(len, short)])
 
 
 def encode_text(model: Model, text: str | None, step: int = BLOCK) -> tuple[bytes, Stream]:

@@ -248,6 +248,62 @@ def test_forgetting_does_not_change_ids(model, docs, monkeypatch):
     assert [pieces.encode_texts(model, [t])[0].tolist() for t in texts] == want
 
 
+def test_stretches_are_searched_together(monkeypatch):
+    """Stretches that aren't remembered go through one search over all of them, whatever slots their pairs share."""
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    rng = random.Random(7)
+    syllables = ["an", "the", "tion", "ä", "ño", "Qu", "eau", "x", "00", "?!", "日", "🙂", "\x00", "ing"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)]
+    for slots, together in ((19, 1 << 13), (3, 7)):
+        monkeypatch.setattr(pieces, "SLOTS", slots, raising=False)
+        monkeypatch.setattr(pieces, "TOGETHER", together, raising=False)
+        m = pieces.Model(data)
+        monkeypatch.setattr(pieces.Stream, "_merge", lambda *a: pytest.fail("a short stretch was searched alone"))
+        assert [x.tolist() for x in pieces.encode_texts(m, texts)] == [library.encode(t) for t in texts]
+        monkeypatch.undo()
+
+
+def test_small_models_merge_as_by_hand():
+    """Models with equal scores, with pieces that merging doesn't make and with characters that are no pieces."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(8)
+    for _ in range(60):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.trainer_spec.model_type = 2
+        proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = False, False, True
+        table = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))): -float(rng.randrange(6)) for _ in range(rng.randrange(1, 25))}
+        for t, s, k in [*((t, s, 1) for t, s in table.items()), ("<unk>", 0, 2)]:
+            p = proto.pieces.add()
+            p.piece, p.score, p.type = t, s, k
+        m = pieces.Model(proto.SerializeToString())
+
+        def by_hand(text):
+            parts = list(text)
+            while True:
+                pairs = [(table[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in table]
+                if not pairs:
+                    return parts
+                i = -max(pairs)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+        names = [t for t in table] + [c for c in "abcx" if c not in table]
+        place = {t: m.ids[t] if t in m.ids else m.place(t) for t in names}
+        for a, b in itertools.product(names, names):
+            assert m.allowed(place[a] << pieces.SHIFT | place[b]) == (by_hand(a + b) == [a, b])
+        words = sorted({"".join(rng.choice("abcx") for _ in range(rng.randrange(1, 2 * m.longest + 1))) for _ in range(60)})
+        found = pieces.merge_all(m, words)
+        for w, ids in zip(words, found):
+            search = pieces.Stream(m)
+            search._advance(w)
+            assert ids == search._path(len(w))
+        if m.longest > 1 and all(by_hand(t) == [t] for t in table):
+            assert [np.frombuffer(x, np.int32).tolist() for x in found] == [[place[t] if place[t] < len(m.pieces) else m.unknown for t in by_hand(w)] for w in words]
+
+
 def test_unigram_search_matches_brute(tmp_path):
     from sentencepiece import sentencepiece_model_pb2
 

@@ -132,7 +132,9 @@ def _advantage(s, d):
 
 def _fill(s, d):
     g = T.grid(s, d)
-    return rounded(R.fill_region(g.where("(px + py) % 9 = 0"), g.where("px > 20 AND py < 30").select("px", "py"), 2), "value", digits=6)
+    # the region is the whole rectangle, also where no event gives the grid a pixel
+    region = s.range(64 * 30).select((F.col("id") % 64).alias("px"), F.floor(F.col("id") / 64).cast("long").alias("py")).where("px > 20")
+    return rounded(R.fill_region(g.where("(px + py) % 9 = 0"), region, 2), "value", digits=6)
 
 
 def _level(s, d):

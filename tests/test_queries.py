@@ -55,6 +55,16 @@ def test_progress_is_rounded_as_in_sql_in_any_order(spark, tmp_path):
     assert {got[u] for u in range(len(orders))} == {92.0}
 
 
+def test_region_is_filled_where_the_grid_has_no_pixel(spark, tmp_path):
+    rows = [(px + 64 * py, 3.0 * px + py) for px, py in ((20, 16), (27, 18), (60, 30), (63, 0), (21, 24), (45, 45))]
+    spark.createDataFrame(rows, "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = Counter((r.px, r.py, plain(r.value)) for r in catalog.queries()["fill_region2"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = Counter((px, py, plain(v)) for px, py, v in c.sql(f"SELECT px, py, value FROM ({catalog.oracle_sql()['fill_region2']})").fetchall())
+    assert got == want and len(want) > 20
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

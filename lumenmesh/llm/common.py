@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import io
 import tempfile
 import uuid
@@ -32,6 +33,8 @@ BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 18
 #: Rows of one key in one task of a `dealt` join.
 HOT_ROWS = 2000
+#: Caches of what operators load in a Python worker; see `sliced`.
+MODELS: list = []
 
 
 def put(spark: SparkSession, name: str, data: bytes) -> str:
@@ -172,15 +175,27 @@ def parts(text: bytes, most: int = CHUNK_BYTES, ends: bytes = b" \t\n\v\f\r") ->
     return [*out, text[at:]] if at < len(text) or not out else out
 
 
-def sliced(batches, rows: int = 1000):
+def _trim() -> None:
+    """Gives free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def sliced(batches, rows: int = 1000, keeps=None):
     """Batches of so many rows at most, so that few texts are copied at a time; at the end the worker gives free memory back,
-    as it lives on for other tasks."""
+    as it lives on for other tasks. What tasks of other operators have loaded in this worker goes first: all of MODELS but
+    `keeps`."""
+    left = [m for m in MODELS if m is not keeps and m.cache_info().currsize]
+    for m in left:
+        m.cache_clear()
+    if left:
+        gc.collect()
+        _trim()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-    pa.default_memory_pool().release_unused()
-    if hasattr(_LIBC, "malloc_trim"):
-        _LIBC.malloc_trim(0)
+    _trim()
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

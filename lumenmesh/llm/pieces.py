@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, sliced, table
+from .common import MODELS, chunks, sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -40,6 +40,8 @@ MARK = "▁"
 REMEMBERED, FITS, STRANGE = 14 << 20, 100_000, 10_000
 #: Characters that a stream is fed at a time.
 BLOCK = 1 << 16
+#: Characters of the texts whose new stretches are searched together.
+AT_ONCE = 1 << 20
 UNKNOWN_PENALTY = 10.0
 #: Two places in one number; the place that stands for the start of a text.
 SHIFT = 32
@@ -199,6 +201,10 @@ class Model:
         #: What a stretch ends before.
         self.stops = MARK + alone
 
+    def split(self, text: str) -> list[str]:
+        """The stretches of a whole text."""
+        return self.splitter.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+
     def remember(self, words: list[str], ids: list[bytes]) -> None:
         self.held += 150 * len(words) + 2 * sum(map(len, words)) + sum(map(len, ids))
         self.seen.update(zip(words, ids))
@@ -550,13 +556,18 @@ def encode_text(model: Model, text: str | None, step: int = BLOCK) -> tuple[byte
 def encode_texts(model: Model, texts: list) -> list[np.ndarray]:
     """The ids of whole texts, each streamed; what the texts of a chunk have in common is searched once beforehand."""
     out: list[np.ndarray] = []
-    mark = MARK if model.prefix else ""
-    for a, b in chunks([t or "" for t in texts], 1 << 21):
-        # texts of one block: all their stretches are known at once
-        short = {i: model.splitter.findall(mark + t.replace(" ", MARK)) for i, t in enumerate(texts[a:b]) if t and len(t) <= BLOCK} if model.splitter else {}
-        learn(model, set().union(*short.values()))
-        for i, t in enumerate(texts[a:b]):
-            ids = b"".join(Stream(model).take(short[i])) if i in short else encode_text(model, t)[0]
+    for a, b in chunks([t or "" for t in texts], AT_ONCE):
+        # texts of one block: their stretches are known beforehand. They are split twice, as all at once would take far more
+        # memory than the few new ones
+        model.forget()
+        new: set[str] = set()
+        for t in texts[a:b] if model.splitter else []:
+            if t and len(t) <= BLOCK:
+                new |= set(model.split(t)).difference(model.seen)
+        learn(model, new)
+        del new
+        for t in texts[a:b]:
+            ids = b"".join(Stream(model).take(model.split(t))) if t and len(t) <= BLOCK and model.splitter else encode_text(model, t)[0]
             out.append(np.frombuffer(ids, np.int32))
     return out
 
@@ -576,6 +587,9 @@ def _loaded(key: str, data: bytes) -> Model:
     return Model(data)
 
 
+MODELS.append(_loaded)
+
+
 def read_model(spark: SparkSession, path: str):
     """The file's bytes, for all executors; a model of more than 64 MB is refused."""
     with open(path, "rb") as f:
@@ -591,7 +605,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", ids: st
 
     def run(batches):
         model = _loaded("", held.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, keeps=_loaded):
             found = encode_texts(model, batch.column(text).to_pylist())
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
@@ -609,7 +623,7 @@ def decode(rows: DataFrame, model_path: str = MODEL, ids: str = "ids", text: str
 
     def run(batches):
         model = _loaded("", held.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, keeps=_loaded):
             texts = [decode_ids(model, np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             names = [n for n in batch.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, text])
@@ -625,7 +639,7 @@ def round_trip(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
 
     def run(batches):
         model = _loaded("", held.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, keeps=_loaded):
             texts = batch.column("text").to_pylist()
             found = encode_texts(model, texts)
             same = [decode_ids(model, x) == (t or "").replace(MARK, " ").encode() for t, x in zip(texts, found)]

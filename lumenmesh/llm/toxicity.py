@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, CHUNK_BYTES, _powers, chunks, crc_mod, mix64, sliced, small, table, written
+from .common import _BASE, _BASE_INV, CHUNK_BYTES, MODELS, _powers, chunks, crc_mod, mix64, sliced, small, table, written
 
 #: Expected number of labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -389,6 +389,9 @@ def _channel(data: bytes) -> Channel:
     return Channel(np.frombuffer(data, np.float32))
 
 
+MODELS.append(_channel)
+
+
 def _probabilities(texts: list[str], m: dict) -> np.ndarray:
     if not len(m["keys"]):
         return np.full(len(texts), m["share"])
@@ -405,7 +408,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     held = _sent(docs, model)
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, keeps=_channel):
             p = _probabilities(_strings(batch.column("text")), held.value)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
@@ -418,7 +421,7 @@ def screen(docs: DataFrame, model: dict) -> DataFrame:
     held = _sent(docs, model)
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, keeps=_channel):
             yield batch.filter(pa.array(_probabilities(_strings(batch.column("text")), held.value) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,8 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -16,7 +18,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from lumenmesh.llm import ctw, pieces, pii, toxicity
-from lumenmesh.llm.common import written
+from lumenmesh.llm.common import sliced, written
 
 
 # ---- toxicity
@@ -248,6 +250,29 @@ def test_forgetting_does_not_change_ids(model, docs, monkeypatch):
     assert [pieces.encode_texts(model, [t])[0].tolist() for t in texts] == want
 
 
+def test_a_chunk_is_not_held_word_by_word(model):
+    """Texts whose words recur take little more memory than they have: not all their stretches are held at once."""
+    words = [f"w{i:04d}" for i in range(500)]
+    texts = [" ".join(words[j % 500] for j in range(i, i + 10_000)) for i in range(30)]
+    pieces.encode_texts(model, texts[:1])
+    tracemalloc.start()
+    try:
+        found = pieces.encode_texts(model, texts)
+        peak = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in found)
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 30 and peak < 8 << 20
+
+
+def test_workers_forget_models_of_other_operators():
+    """A worker that goes on with another operator's task has the memory of the model again."""
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    held = weakref.ref(pieces._loaded("", data))
+    assert not list(sliced(iter([]), keeps=pieces._loaded)) and held() is not None
+    assert not list(sliced(iter([]))) and held() is None
+
+
 def test_stretches_are_searched_together(monkeypatch):
     """Stretches that aren't remembered go through one search over all of them, whatever slots their pairs share."""
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
